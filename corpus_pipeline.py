@@ -1,15 +1,68 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline over ``documents``: reject toxic texts, keep one of each near-duplicate group, cut repeated passages, drop benchmark leaks, pack.
+
+Every stage takes what its predecessor kept, is written as Parquet in the shared
+folder, and is read again; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.llm import decontaminate, ngram_join, packing, substring_dedup, toxicity
+from eventloom.llm.common import materialize, read_table
+from eventloom.llm.tokens import tokenizer_path
+
+#: Near duplicates: five words a shingle, a similarity of 0.8 or more.
+SHINGLE, NUM, DEN = 5, 80, 100
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5."""
+    return toxicity.reject(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")), 0.5)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity the one with the smallest doc_id; of repeated rows one; null ids stay."""
+    groups = ngram_join.jaccard_components(docs, SHINGLE, NUM, DEN)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that windows of an earlier document cover; documents of which nothing is left go."""
+    cut = substring_dedup.remove_repeats(docs)
+    text = F.coalesce("new_text", "text")
+    out = {"text": text, "n_chars": F.when(F.col("new_text").isNull(), F.col("n_chars")).otherwise(F.length("new_text").cast("long"))}
+    kept = cut.filter(F.coalesce(F.col("new_text") != "", F.lit(True)))
+    return kept.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window is a benchmark item."""
+    return decontaminate.clean_documents(docs, read_table(spark, sf_dir, "benchmark"), SHINGLE, NUM, DEN)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 token ids."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_join", one_of_each_group),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Trained and graph stages have no SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages in order, over the whole of ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -74,14 +74,14 @@ def put_file(uri: str, name: str, data: bytes) -> None:
     store, base = open_store(uri)
     store.create_dir(base, recursive=True)
     part = f"{base}/.{name}.{uuid.uuid4().hex[:8]}"
-    with store.open_output_stream(part) as f:
+    with store.open_output_stream(part, compression=None) as f:
         f.write(data)
     store.move(part, f"{base}/{name}")
 
 
 def get_file(uri: str, name: str) -> bytes:
     store, base = open_store(uri)
-    with store.open_input_stream(f"{base}/{name}") as f:
+    with store.open_input_stream(f"{base}/{name}", compression=None) as f:
         return f.read()
 
 
