@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from eventloom.config import LEVELS
 from eventloom.functions.columns import rank
@@ -73,8 +73,9 @@ evidence_path string ? evidence
 evidence_files string ? evidence
 notes string ? evidence
 """
+_TYPES = {"string": StringType(), "double": DoubleType(), "bigint": LongType(), "boolean": BooleanType()}
 _ROWS = [x.split() for x in _TABLE.strip().splitlines()]
-EVENT_SCHEMA = StructType([StructField(n, _parse_datatype_string(t), q == "?", {"group": g}) for n, t, q, g in _ROWS])
+EVENT_SCHEMA = StructType([StructField(n, _TYPES[t], q == "?", {"group": g}) for n, t, q, g in _ROWS])
 JSON_COLUMNS = ("risk_factors", "risk_gates", "evidence_files", "notes")
 #: Allowed values of the enumerated columns.
 ALLOWED = {

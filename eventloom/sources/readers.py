@@ -119,7 +119,7 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None, conte
     """(path relative to root, length[, content]) of all files under a folder; contents are read only if asked for."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     d = (r.option("pathGlobFilter", pattern) if pattern else r).load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1] + "/")
+    base = root.rstrip("/").split("://")[-1] + "/"
     rel = F.substring_index(F.col("path"), base, -1)
     return d.select(rel.alias("path"), "length", *(["content"] if content else []))
 
