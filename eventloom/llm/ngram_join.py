@@ -4,9 +4,10 @@ Tokens are 64-bit hashes of k-word shingles.  Two sets with Jaccard >= t share a
 token in the first ``n - ceil(t n) + 1`` places under *every* global order, so
 a pair has to pass all of them before its sets are compared:
 
-1. A fixed-size count sketch of all shingles of all documents gives each token a
-   frequency level; every order puts lower levels first (any total order is
-   correct, so the sketch only decides how few candidates there are).
+1. A fixed-size count sketch of all shingles of all documents ranks tokens: order A
+   goes by the count itself, orders B and C by hash within coarse frequency
+   levels (any total order is correct, so the sketch only decides how few
+   candidates there are).
 2. Exact copies (equal sets) fold into one class before any posting is shipped.
 3. Postings of order A meet by token; a lossless count bound (how many prefix
    tokens a pair has to share given both sizes) thins the pairs.
@@ -24,6 +25,8 @@ often as they came in; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,8 +45,8 @@ from .common import (
     text_chunks,
 )
 
-SKETCH_BITS = 20
-SKETCH_BLOCK = 4096
+SKETCH_BITS = 22
+SKETCH_BLOCK = 1 << 16
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 _ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -56,8 +59,8 @@ def _sets(batch: pa.RecordBatch, k: int):
             yield lo + i, s
 
 
-def token_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """Frequency level of every sketch cell, from counts over all documents (2**SKETCH_BITS bytes)."""
+def token_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(count, coarse frequency level) of every sketch cell over all documents: 5 * 2**SKETCH_BITS bytes."""
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -66,7 +69,7 @@ def token_levels(docs: DataFrame, k: int) -> np.ndarray:
             for _, s in _sets(b, k):
                 held.append((s >> _SHIFT).astype(np.int64))
                 size += len(s)
-                if size > 1 << 20:
+                if size > 1 << 21:
                     total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
                     held, size = [], 0
             if held:
@@ -74,12 +77,12 @@ def token_levels(docs: DataFrame, k: int) -> np.ndarray:
         blocks = total.reshape(-1, SKETCH_BLOCK)
         full = np.flatnonzero(blocks.any(1))
         if len(full):
-            yield pa.record_batch({"block": pa.array(full, pa.int32()), "counts": pa.array([blocks[i].tobytes() for i in full], pa.binary())})
+            yield pa.record_batch({"block": pa.array(full, pa.int32()), "counts": pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in full], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_BLOCK, np.int64)
         for x in t.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint32)
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         return pa.table({"block": t.column("block")[:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
 
     parts = docs.mapInArrow(count, "block int, counts binary")
@@ -88,24 +91,25 @@ def token_levels(docs: DataFrame, k: int) -> np.ndarray:
         cells[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int64)
     mean = cells.mean()
     over = np.maximum(cells - (mean + 6 * np.sqrt(mean) + 4), 0)
-    return np.minimum(np.ceil(2 * np.log2(1 + over)), 255).astype(np.uint8)
+    return np.minimum(cells, (1 << 24) - 1).astype(np.int32), np.minimum(np.ceil(2 * np.log2(1 + over)), 255).astype(np.uint8)
 
 
-def _prefixes(s: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _prefixes(s: np.ndarray, sketch: tuple[np.ndarray, np.ndarray], num: int, den: int, others: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
     """Prefix tokens under order A (whole hashes) and under the other orders (32 bits: only false positives)."""
     n = len(s)
     p = n - -(-num * n // den) + 1
     if not n:
         return s, [s.astype(np.int32) for _ in _ORDERS]
-    lv = level[(s >> _SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(56)
-    eight = np.uint64(8)
+    cell = (s >> _SHIFT).astype(np.int64)
 
-    def first(rank: np.ndarray) -> np.ndarray:
-        key = lv | (rank >> eight)
+    def first(rank: np.ndarray, high: np.ndarray, shift: int) -> np.ndarray:
+        key = (high.astype(np.uint64) << np.uint64(shift)) | (rank >> np.uint64(64 - shift))
         return s[np.argpartition(key, p - 1)[:p]] if p < n else s
 
-    others = [first(mix(s * c)) for c in _ORDERS]
-    return first(mix(s)), [np.unique((x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)) for x in others]
+    if not others:
+        return first(mix(s), sketch[0][cell], 40), []
+    rest = [first(mix(s * c), sketch[1][cell], 56) for c in _ORDERS]
+    return first(mix(s), sketch[0][cell], 40), [np.unique((x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)) for x in rest]
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -129,7 +133,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
                 with np.errstate(over="ignore"):
                     s1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                     s2.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)))
-                toks.append(_prefixes(s, lv, num, den)[0].view(np.int64))
+                toks.append(_prefixes(s, lv, num, den, others=False)[0].view(np.int64))
             if at:
                 yield pa.record_batch(
                     {"doc_id": ids, "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "toks": _lists(toks, pa.int64())}
@@ -215,7 +219,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    level = spark.sparkContext.broadcast(token_levels(docs, k))
+    level = spark.sparkContext.broadcast(token_counts(docs, k))
     prof = materialize(profiles(docs, k, num, den, level), "profiles")
 
     classes = prof.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
