@@ -45,7 +45,7 @@ from .common import (
     text_chunks,
 )
 
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 SKETCH_BLOCK = 1 << 16
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 _ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
@@ -69,7 +69,7 @@ def token_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             for _, s in _sets(b, k):
                 held.append((s >> _SHIFT).astype(np.int64))
                 size += len(s)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
                     held, size = [], 0
             if held:

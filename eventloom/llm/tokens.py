@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 2
-GENERATION = 500_000
+GENERATION = 400_000
 
 
 def tokenizer_path(name: str) -> str:

@@ -9,7 +9,7 @@ from .common import crc_fold
 
 #: Most labelled rows that a model is fitted on.  A documented bound: the sample
 #: is broadcast and its features go to the driver.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE_ROWS) -> DataFrame:
