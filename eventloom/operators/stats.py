@@ -186,3 +186,33 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], n: int) -> D
     d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
     at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (F.col("_n") - 1) / float(max(1, n - 1))).cast("int"))
     return d.filter((F.col("_n") <= n) | F.array_contains(at, F.col("_i"))).drop("_i", "_n")
+
+
+def without_preroll(df: DataFrame, t: str) -> DataFrame:
+    """Rows from time 0 on: warm-up rows before it feed the state of earlier operators only."""
+    return df.filter(F.col(t) >= 0)
+
+
+def summary_text(e: DataFrame, backend=None) -> str:
+    """A few sentences about an event table; ``backend(prompt)`` may word them, and its failure falls back to these.
+
+    Collects single-row aggregates only.
+    """
+    o = event_overview(e).first()
+    if not o["total_events"]:
+        return "No events were recorded."
+    levels = ", ".join(f"{x} {o[f'level_{x.lower()}']}" for x in LEVELS)
+    out = [f"{o['total_events']} events in {o['sessions']} session(s).", f"Levels: {levels}."]
+    top = find_patterns(e).filter("events > 0 and pattern <> 'risk_escalation'").orderBy(F.desc("events"), "pattern").first()
+    if top:
+        out.append(f"Most frequent pattern: {top['label'].lower()} ({top['events']} in {top['sessions']} session(s)).")
+    advice = aggregate_recommendations(e).filter("not informational").limit(3).collect()
+    if advice:
+        out.append("Review first: " + ", ".join(r["key"] for r in advice) + ".")
+    text = " ".join(out)
+    if backend is not None:
+        try:
+            return str(backend(text)) or text
+        except Exception:  # the summary must not depend on an outside service
+            return text
+    return text

@@ -366,3 +366,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(rows_of(got, "session_id", "i")) == sorted(rows_of(folds.cooldown(df.select("session_id", "i", "t"), S, ["t", "i"], "t", 7.0), "session_id", "i"))
     got = stateful.run_once(stateful.debounce_stream(stream(), "session_id", "t", "i", "v"), "d", f"{tmp_path}/c3")
     assert sorted(rows_of(got, "session_id", "i", "previous", "value")) == sorted(rows_of(folds.debounced(df, S, ["t", "i"], "v", 3), "session_id", "i", "previous", "v"))
+
+
+def test_summary_text(spark, events):
+    text = stats.summary_text(events)
+    assert text.startswith("8 events in 3 session(s).") and "pedestrian hazards (3 in 1 session(s))" in text
+    assert stats.summary_text(events, lambda p: 1 / 0) == text and stats.summary_text(events, lambda p: "worded") == "worded"
+    assert stats.summary_text(events.limit(0)) == "No events were recorded."
+    assert stats.without_preroll(spark.createDataFrame([(-1.0,), (0.0,)], "t double"), "t").count() == 1
