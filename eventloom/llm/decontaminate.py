@@ -5,11 +5,12 @@ as the item, has a multiplicity-weighted Jaccard similarity of word shingles of
 at least ``t`` with it (a document shorter than the item is one window).
 
 * Where to look: a similarity of t leaves at most ``y = m (1-t)`` of an item's m
-  shingles out, and ``x = m (1-t) / (1+t)`` if the window is as long.  Inner
-  words at least ``k`` places apart, more than y / k of them and as long as can
-  be had, serve as anchors: one of them must stand in the window with one of its
-  shingles whole, displaced by at most x.  So only windows around such places
-  are taken, and no window that reaches t is lost.
+  shingles out.  Inner words at least ``k`` places apart, more than y / k of them
+  and as long as can be had, serve as anchors: one of them must stand in the
+  window with one of its shingles whole, at any place, as a moved block costs
+  only the shingles at its seams.  So every window over such a place is looked
+  at.  Of these, windows with too few shingles that are the item's at all (a
+  bound on the similarity, from running sums) go; none that reaches t is lost.
 * Each window and item gets a 64-bit SimHash of its shingles.  A fingerprint
   within RADIUS of another agrees with it on at least one of RADIUS + 1 blocks,
   so an equality join on (length, block, bits) finds every pair within RADIUS.
@@ -64,28 +65,28 @@ def _block_keys(fp: str) -> str:
 
 
 def items_of(benchmark: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(item_id, words, len, sh, m, x, y, fp) of every item with words."""
+    """(item_id, words, len, sh, m, ih, y, fp) of every item with words; ih names the text."""
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.expr(_words("text")).alias("words")).filter("size(words) > 0")
-    items = items.withColumn("len", F.size("words")).withColumn("sh", F.expr(_shingles("words", k))).withColumn("m", F.size("sh"))
+    items = items.withColumn("len", F.size("words")).withColumn("sh", F.expr(_shingles("words", k))).withColumn("m", F.size("sh")).withColumn("ih", F.xxhash64("len", "sh"))
     # Written out: an array of hashes that an expression walks 64 times must not be worked out 64 times.
     items = materialize(items, "bench-items")
-    # Most item shingles that a window of the same size (x) or a shorter document (y) may lack.
-    items = items.withColumn("x", F.expr(f"cast((m * {den - num}L) div {den + num}L as int)")).withColumn("y", F.expr(f"cast((m * {den - num}L) div {den}L as int)"))
+    # Most item shingles that a window or a shorter document may lack.
+    items = items.withColumn("y", F.expr(f"cast((m * {den - num}L) div {den}L as int)"))
     return items.withColumn("fp", F.expr(_simhash("sh")))
 
 
 def anchors_of(items: DataFrame, k: int) -> DataFrame:
-    """(word, item_id, o, len, x, y, near): anchor words, their places, and the hashes of the item's shingles that hold them."""
-    a = items.withColumn("a", F.expr(f"y div {k} + 1"))
+    """(word, ih, o, len, y, near): anchor words, their places, and the hashes of the item's shingles that hold them."""
+    a = items.dropDuplicates(["ih"]).withColumn("a", F.expr(f"y div {k} + 1"))
     # Inner places 4 .. len - 5 cost k shingles each; where there are none any word serves, as y is 0 then.
     a = a.withColumn("from", F.expr(f"if(len >= {2 * k - 1}, {k - 1}, 0)")).withColumn("room", F.expr(f"if(len >= {2 * k - 1}, len - {2 * k - 2}, len)"))
     a = a.withColumn("tight", F.expr(f"a > 1 and room div a < {k} or (y > 0 and len < {2 * k - 1})"))
     a = a.withColumn("from", F.expr("if(tight, 0, from)")).withColumn("a", F.expr("if(tight, len, a)")).withColumn("seg", F.expr("if(tight, 1, cast(room div a as int))"))
-    p = a.select("item_id", "len", "x", "y", "a", "from", "seg", "tight", "sh", "m", F.posexplode("words").alias("o", "word"))
+    p = a.select("ih", "len", "y", "a", "from", "seg", "tight", "sh", "m", F.posexplode("words").alias("o", "word"))
     p = p.withColumn("s", F.expr("if(o >= from, cast((o - from) div seg as int), -1)")).filter(f"s >= 0 and s < a and (a = 1 or tight or (o - from) - s * seg <= seg - {k})")
-    best = p.groupBy("item_id", "s").agg(F.max_by(F.struct("word", "o", "len", "x", "y", "sh", "m"), F.struct(F.length("word"), -F.col("o"))).alias("z"))
+    best = p.groupBy("ih", "s").agg(F.max_by(F.struct("word", "o", "len", "y", "sh", "m"), F.struct(F.length("word"), -F.col("o"))).alias("z"))
     near = F.expr(f"slice(sh, greatest(0, o - {k - 1}) + 1, least(o, m - 1) - greatest(0, o - {k - 1}) + 1)")
-    return best.select("item_id", "z.*").select("word", "item_id", "o", "len", "x", "y", near.alias("near"))
+    return best.select("ih", "z.*").select("word", "ih", "o", "len", "y", near.alias("near"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -99,16 +100,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
         # Only documents that hold an anchor word go on, once for each id.
         held = materialize(texts.filter(F.arrays_overlap("words", part.agg(F.collect_set("word")).scalar())).dropDuplicates(["doc_id", "words"]), "anchored")
         at = held.select("doc_id", F.size("words").alias("n"), F.xxhash64("words").alias("h"), F.posexplode("words").alias("pos", "word")).join(F.broadcast(part), "word").filter("n >= len - y")
-        at = at.withColumn("lo", F.expr("greatest(0, least(pos - o - x, n - len))")).withColumn("hi", F.expr("greatest(0, least(pos - o + x, n - len))"))
+        at = at.withColumn("lo", F.expr("greatest(0, least(pos - len + 1, n - len))")).withColumn("hi", F.expr("greatest(0, least(pos, n - len))"))
         at = at.join(held.withColumn("h", F.xxhash64("words")), ["doc_id", "h"])
         around = _shingles("slice(words, greatest(0, pos - {0}) + 1, pos + {1} - greatest(0, pos - {0}))".format(k - 1, k), k)
         at = at.filter(F.expr(f"n < len or arrays_overlap({around}, near)"))
-        return at.select("doc_id", "h", "len", "lo", "hi", F.expr("slice(words, lo + 1, hi - lo + len)").alias("part"))
+        return at.select("doc_id", "h", "ih", "len", "lo", "hi", F.expr("slice(words, lo + 1, hi - lo + len)").alias("part"))
 
     slice_of = lambda i: anchors.filter(F.pmod(F.xxhash64("word"), F.lit(slices)) == i) if slices > 1 else anchors
     shingled = reduce(DataFrame.unionAll, [regions(slice_of(i)) for i in range(slices)]).withColumn("rs", F.expr(_shingles("part", k)))
-    windows = shingled.select("doc_id", "h", "len", F.explode(F.expr("sequence(lo, hi)")).alias("start"), "lo", "rs", F.expr("size(part)").alias("held"))
-    windows = windows.select("doc_id", "h", "len", "start", F.expr(f"slice(rs, start - lo + 1, greatest(1, least(len, held) - {k - 1}))").alias("sh")).dropDuplicates(["doc_id", "h", "len", "start"])
+    # before[i]: how many of the first i shingles are the item's; bound outside the lambda so that it is worked out once.
+    before = "aggregate(transform(rs, r -> if(array_contains(ish, r), 1, 0)), array(0), (c, f) -> concat(c, array(element_at(c, -1) + f)))"
+    size = f"greatest(1, least(len, size(part)) - {k - 1})"
+    enough = f"{num + den}L * (get(c, s - lo + {size}) - get(c, s - lo)) >= {num}L * (size(ish) + {size})"
+    starts = F.expr(f"flatten(transform(array({before}), c -> filter(sequence(lo, hi), s -> {enough})))")
+    shingled = shingled.join(items.dropDuplicates(["ih"]).select("ih", F.col("sh").alias("ish")), "ih")
+    windows = shingled.select("doc_id", "h", "len", F.explode(starts).alias("start"), "lo", "rs", F.expr(size).alias("size"))
+    windows = windows.select("doc_id", "h", "len", "start", F.expr("slice(rs, start - lo + 1, size)").alias("sh")).dropDuplicates(["doc_id", "h", "len", "start"])
     windows = materialize(windows.drop("h"), "windows").withColumn("fp", F.expr(_simhash("sh")))
 
     w = windows.withColumn("b", F.explode(F.expr(_block_keys("fp")))).select("doc_id", "len", "start", "sh", "fp", "b.k", "b.v")

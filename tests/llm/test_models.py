@@ -172,6 +172,38 @@ def test_decontamination_equals_brute_force(spark):
     assert find_leaks(df.limit(0), bench).count() == 0 and find_leaks(df, bench.limit(0)).count() == 0
 
 
+def _brute_leaks(docs, items):
+    want = {}
+    for i, t, *_ in docs:
+        d = [x.decode().lower() for x in words(t)]
+        for j, it in items:
+            w = [x.decode().lower() for x in words(it)]
+            n = min(len(w), len(d))
+            best = max(_similarity(_grams(d[s : s + n]), _grams(w)) for s in range(len(d) - n + 1))
+            if best >= 0.8:
+                want[i, j] = best
+    return want
+
+
+def test_decontamination_finds_reordered_items(spark):
+    """Blocks moved far inside an item cost only the shingles at their seams."""
+    from eventloom.llm.decontaminate import find_leaks
+
+    rng = random.Random(5)
+    items = [(i, " ".join(f"item{i}word{j}" for j in range(n))) for i, n in enumerate((45, 50, 60, 200))] + [(4, prose(rng, 90))]
+    docs = []
+    for i, it in items:
+        w = it.split()
+        for c in (len(w) // 2, len(w) // 3, len(w) - 10):
+            docs.append((len(docs), " ".join([prose(rng, 70), *w[c:], *w[:c], prose(rng, 70)]), "", "", 0, ""))
+        c = len(w) // 3
+        docs.append((len(docs), " ".join([prose(rng, 9), *w[2 * c :], *w[c : 2 * c], *w[:c], prose(rng, 30)]), "", "", 0, ""))
+    want = _brute_leaks(docs, items)
+    assert {(0, 0), (4, 1), (8, 2), (12, 3), (15, 3), (16, 4)} <= set(want)
+    got = find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == want
+
+
 def test_decontamination_stays_native(spark):
     from eventloom.llm.decontaminate import find_leaks
 
