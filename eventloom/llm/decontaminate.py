@@ -44,9 +44,9 @@ def _words(col: str) -> str:
     return f"filter(split(lower({col}), '{_SPLIT}'), x -> x != '')"
 
 
-def _shingles(words: str, k: int) -> str:
+def _shingles(words: str, k: int | str) -> str:
     """Hashes of the k-word shingles of an array; a shorter array is one shingle."""
-    return f"transform(sequence(1, greatest(1, size({words}) - {k - 1})), i -> xxhash64(concat_ws(' ', slice({words}, i, {k}))))"
+    return f"transform(sequence(1, greatest(1, size({words}) - {k} + 1)), i -> xxhash64(concat_ws(' ', slice({words}, i, {k}))))"
 
 
 def _simhash(hashes: str) -> str:
@@ -96,21 +96,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
     slices = -(-anchors.count() // ANCHOR_ROWS) or 1
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(_words("text")).alias("words"))
 
+    # Words a shingle: an item of fewer than k words is one shingle.
+    width = f"least(len, {k})"
+
     def regions(part: DataFrame) -> DataFrame:
         # Only documents that hold an anchor word go on, once for each id.
         held = materialize(texts.filter(F.arrays_overlap("words", part.agg(F.collect_set("word")).scalar())).dropDuplicates(["doc_id", "words"]), "anchored")
         at = held.select("doc_id", F.size("words").alias("n"), F.xxhash64("words").alias("h"), F.posexplode("words").alias("pos", "word")).join(F.broadcast(part), "word").filter("n >= len - y")
         at = at.withColumn("lo", F.expr("greatest(0, least(pos - len + 1, n - len))")).withColumn("hi", F.expr("greatest(0, least(pos, n - len))"))
         at = at.join(held.withColumn("h", F.xxhash64("words")), ["doc_id", "h"])
-        around = _shingles("slice(words, greatest(0, pos - {0}) + 1, pos + {1} - greatest(0, pos - {0}))".format(k - 1, k), k)
+        around = _shingles(f"slice(words, greatest(0, pos - {width} + 1) + 1, pos + {width} - greatest(0, pos - {width} + 1))", width)
         at = at.filter(F.expr(f"n < len or arrays_overlap({around}, near)"))
         return at.select("doc_id", "h", "ih", "len", "lo", "hi", F.expr("slice(words, lo + 1, hi - lo + len)").alias("part"))
 
     slice_of = lambda i: anchors.filter(F.pmod(F.xxhash64("word"), F.lit(slices)) == i) if slices > 1 else anchors
-    shingled = reduce(DataFrame.unionAll, [regions(slice_of(i)) for i in range(slices)]).withColumn("rs", F.expr(_shingles("part", k)))
+    shingled = reduce(DataFrame.unionAll, [regions(slice_of(i)) for i in range(slices)]).withColumn("rs", F.expr(_shingles("part", width)))
     # before[i]: how many of the first i shingles are the item's; bound outside the lambda so that it is worked out once.
     before = "aggregate(transform(rs, r -> if(array_contains(ish, r), 1, 0)), array(0), (c, f) -> concat(c, array(element_at(c, -1) + f)))"
-    size = f"greatest(1, least(len, size(part)) - {k - 1})"
+    size = f"greatest(1, least(len, size(part)) - {width} + 1)"
     enough = f"{num + den}L * (get(c, s - lo + {size}) - get(c, s - lo)) >= {num}L * (size(ish) + {size})"
     starts = F.expr(f"flatten(transform(array({before}), c -> filter(sequence(lo, hi), s -> {enough})))")
     shingled = shingled.join(items.dropDuplicates(["ih"]).select("ih", F.col("sh").alias("ish")), "ih")

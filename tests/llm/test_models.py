@@ -204,6 +204,16 @@ def test_decontamination_finds_reordered_items(spark):
     assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == want
 
 
+def test_decontamination_finds_short_items_in_longer_documents(spark):
+    from eventloom.llm.decontaminate import find_leaks
+
+    items = [(0, "a b c"), (1, "lone"), (2, "one two three four"), (3, "five words are one shingle")]
+    texts = ["x y a b c z w", "a b", "A b C", "c b a b c", "the lone word", "lone", "one two three four five six", "zero one two three", "lone a b c lone", "so five words are one shingle it is"]
+    docs = [(i, t, "", "", 0, "") for i, t in enumerate(texts)]
+    got = find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == dict.fromkeys([(0, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 2), (8, 0), (8, 1), (9, 3)], 1.0)
+
+
 def test_decontamination_stays_native(spark):
     from eventloom.llm.decontaminate import find_leaks
 
