@@ -15,6 +15,7 @@ ignored by ``score`` and pass through ``reject``.
 from __future__ import annotations
 
 import math
+import os
 import re
 
 import numpy as np
@@ -30,7 +31,8 @@ OTHER, FOREIGN = 0, 27
 #: Signs and the letters that they stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = " .-_*~'`,:;/\\^·"
-LONGEST = 40
+#: After so many characters what all paths have in common is set aside: time and memory stay linear in the length.
+SETTLE = 64
 MEMORY = 100_000
 _PUNCT = ".,;:!?\"'()[]{}<>|$%&*#@+-_=~/\\^`«»¡¿"
 _APART = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S)")
@@ -77,10 +79,12 @@ class Channel:
     def restore(self, word: str) -> str | None:
         """The likeliest letters behind a disguised word; None where there is nothing to decode."""
         word = word.lower()
-        if len(word) > LONGEST:
-            return None
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        settled: list[str] = []
         for k, ch in enumerate(word):
+            if k % SETTLE == SETTLE - 1:
+                settled.append(os.path.commonprefix([p for _, p in states.values()]))
+                states = {key: (s, p[len(settled[-1]) :]) for key, (s, p) in states.items()}
             arcs: list[tuple[str, float]] = []
             if ch.isalpha():
                 arcs.append((ch, 0.0))
@@ -104,7 +108,7 @@ class Channel:
                         new[key] = (s, p)
             states = new
         best = max(((s + self.logp[a][b][0], p) for (a, b), (s, p) in states.items()), default=(0, ""))[1]
-        return best.strip() or None
+        return ("".join(settled) + best).strip() or None
 
 
 def disguised(word: str) -> bool:

@@ -55,6 +55,29 @@ def test_toxicity_held_out_and_disguises(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < 0.5}
 
 
+def _channel():
+    from eventloom.llm import toxicity as x
+
+    text = "you are a worthless idiot and a pathetic moron or clown with all the other people of this town who call that good food better than a letter from the little moor " * 20
+    c = x._CLASS[np.frombuffer(text.encode(), np.uint8)].astype(int)
+    c = np.concatenate([[0, 0], c, [0]])
+    return x.Channel(np.bincount((c[:-2] << 10) | (c[1:-1] << 5) | c[2:], minlength=x.CLASSES**3).reshape(x.CLASSES, x.CLASSES, x.CLASSES))
+
+
+def _features(text):
+    from eventloom.llm.toxicity import _tokens, features
+
+    channel = _channel()
+    return set().union(*(features(t, channel) for t in _tokens(text)))
+
+
+def test_toxicity_reads_long_tokens_to_the_end():
+    assert "idiot" in _features("y o u a r e a w o r t h l e s s i d i o t")
+    assert "idiot" in _features("idi" + "o" * 60 + "t")
+    assert {"pathetic", "idiot", "clown"} <= _features("you-are-a-pathetic-worthless-1d10t-and-clown")
+    assert "moron" in _features("people-of-this-town-" * 400 + "m0r0n")
+
+
 def test_models_ignore_held_out_labels(spark):
     from eventloom.llm.toxicity import score, train
 
