@@ -36,6 +36,7 @@ SETTLE = 64
 MEMORY = 100_000
 _PUNCT = ".,;:!?\"'()[]{}<>|$%&*#@+-_=~/\\^`«»¡¿"
 _APART = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S)")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DRAWN = re.compile(r"(.)\1\1")
 MIN_DOCS = 4
 _CLASS = np.zeros(256, np.uint8)
@@ -92,10 +93,8 @@ class Channel:
                     arcs.append(("", -0.5))
             if ch in LEET:
                 arcs += [(x, -1.0) for x in LEET[ch]]
-            if ch in SEPARATORS:
+            if ch in SEPARATORS or not arcs:  # any sign not known otherwise separates too
                 arcs += [("", -0.3), (" ", -1.5)]
-            if not arcs:
-                return None
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, path) in states.items():
                 for x, cost in arcs:
@@ -125,12 +124,12 @@ def _spelled(word: str) -> list[str]:
 
 
 def features(token: str, channel: Channel) -> set[str]:
-    """What a white-space token contributes: the word, its beginnings, and those of its restored form."""
+    """What a white-space token contributes: the word or its runs of letters, their beginnings, and those of its restored form."""
     low = token.lower()
     core = low.strip(_PUNCT)
     if not core:
         core = low
-    out = set(_spelled(core)) if core.isalpha() else set()
+    out = set(_spelled(core)) if core.isalpha() else {f for part in _LETTERS.findall(core) for f in _spelled(part)}
     if disguised(core) or (core != low and disguised(low) and not core.isalpha()):
         # Letters spelled apart may have a lone word before or after them.
         forms = [core] + [core[2:], core[:-2]] * (_APART.fullmatch(core) is not None and len(core) > 6)

@@ -78,6 +78,12 @@ def test_toxicity_reads_long_tokens_to_the_end():
     assert "moron" in _features("people-of-this-town-" * 400 + "m0r0n")
 
 
+def test_toxicity_reads_around_any_sign():
+    for text in ("“idiot”", "idiot…", "idiot—you", "idiot&clown", "‘idiot’", "a=idiot%", "«“idiot”»,", "1d10t—you", "“1d10t”", "i—d—i—o—t"):
+        assert "idiot" in _features(text), text
+    assert {"clown", "clow^"} <= _features("idiot&clown")
+
+
 def test_models_ignore_held_out_labels(spark):
     from eventloom.llm.toxicity import score, train
 
