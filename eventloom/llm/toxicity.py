@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents.  Words that look
-disguised (digits or signs among letters, letters spelled apart, letters drawn
-out) become lattices: signs may stand for letters, separators may be dropped,
+disguised (digits or signs among letters, letters spelled apart, letters doubled
+or drawn out) become lattices: signs may stand for letters, separators may be dropped,
 repeats may be one letter.  The best path under the character model is the
 restored word.  A linear model over words and word beginnings, plain and
 restored, gives the score; its vocabulary and weights are learnt from labels.
@@ -35,9 +35,10 @@ SEPARATORS = " .-_*~'`,:;/\\^·"
 SETTLE = 64
 MEMORY = 100_000
 _PUNCT = ".,;:!?\"'()[]{}<>|$%&*#@+-_=~/\\^`«»¡¿"
-_APART = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S)")
+#: A run starts and ends at white space or signs, but not after the apostrophe of "it's".
+_APART = re.compile(r"(?<![^\W_])(?<![^\W_]['’])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_DRAWN = re.compile(r"(.)\1\1")
+_DRAWN = re.compile(r"(.)\1")
 MIN_DOCS = 4
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = np.arange(1, 27)

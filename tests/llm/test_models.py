@@ -84,6 +84,13 @@ def test_toxicity_reads_around_any_sign():
     assert {"clown", "clow^"} <= _features("idiot&clown")
 
 
+def test_toxicity_reads_spelled_and_doubled_words():
+    for text in ("i d i o t.", "you are an i d i o t! really", "it's i d i o t, clown", "(i d i o t)", "“i d i o t”", "i.d.i.o.t.", "i-d-i-o-t; no", "iddiioott", "idiott", "IIDDIIOOTT!"):
+        assert "idiot" in _features(text), text
+    assert "moron" in _features("m o r o n! ")
+    assert {"letter", "good"} <= _features("good letter")
+
+
 def test_models_ignore_held_out_labels(spark):
     from eventloom.llm.toxicity import score, train
 
