@@ -1,7 +1,9 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by a minimiser-partitioned hash of word windows.
 
-Suffixes are grouped by a prefix, and each group's tree is handled on its own.
-Of the suffixes only those that can share a long path are ever shipped:
+This stands in for prefix-partitioned suffix trees: no subtree, LCP or
+variable-length prefix is built.  As the window is fixed, only the nodes at that
+depth would decide, and their fingerprints give the same results up to 64-bit
+hashes.  Of the suffixes only those that can share a window are ever shipped:
 
 1. Every window of ``window`` words holds one least ``PREFIX``-word gram (ties to
    the left), the same one in each copy of the window.  Grams at such places are
@@ -10,9 +12,8 @@ Of the suffixes only those that can share a long path are ever shipped:
    pass a fixed-size filter (false positives only cost time), and their suffixes
    are shipped: prefix, document, place, and the fingerprints of the paths of
    ``window`` words that run through the prefix.
-3. A group's tree is kept as its nodes at depth ``window``: path -> smallest
-   document.  Nodes with several documents are the deep internal nodes; every
-   later document's path there is a repeat.  Neighbouring repeats of one
+3. A group is a dict from window fingerprint to smallest document; every later
+   document's window of that fingerprint is a repeat.  Neighbouring repeats of one
    document join into maximal ones.
 
 A prefix group larger than a quarter of the mean partition is split by document;
