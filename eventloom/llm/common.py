@@ -7,6 +7,10 @@ only fixed-size objects (sketches, filters, models) reach the driver.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -29,23 +33,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; own temp folder only if the session names none (tests)."""
+    """The folder that driver and executors share; an own temporary one only in local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return str(held.get()).rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = "file://" + tempfile.mkdtemp(prefix="eventloom-")
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    root = shared_root(spark)
-    if "://" not in root:
-        root = root.replace("file:", "file://", 1) if root.startswith("file:") else f"file://{root}"
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new place in the shared folder, with its scheme: a bare path belongs to the default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    full = str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path))
+    return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +59,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t.stored_at)
+
+
+def trim() -> None:
+    """Hand freed memory of the driver's Python back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every platform
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -66,7 +88,10 @@ def open_store(uri: str):
     """(filesystem, path) of a shared folder for the operators that write real files."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+    except (pa.ArrowInvalid, OSError) as e:
+        raise RuntimeError(f"{uri.split(':')[0]}:// can't be opened from Python workers ({e}); name a file, s3, gs or hdfs folder in spark.checkpoint.dir") from e
 
 
 def put_file(uri: str, name: str, data: bytes) -> None:
@@ -284,7 +309,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     for _ in range(max_rounds):
         if not was[0]:
             break
-        e = materialize(tidy(small(tidy(large(e)))), name)
+        last, e = e, materialize(tidy(small(tidy(large(e)))), name)
+        forget(last)
         now = mark(e)
         if now == was:
             break

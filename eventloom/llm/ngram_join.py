@@ -9,14 +9,17 @@ a pair has to pass all of them before its sets are compared:
    levels (any total order is correct, so the sketch only decides how few
    candidates there are).
 2. Exact copies (equal sets) fold into one class before any posting is shipped.
-3. Postings of order A meet by token; a lossless count bound (how many prefix
-   tokens a pair has to share given both sizes) thins the pairs.
+3. Postings of order A meet by token.  A lossless bound thins the pairs: both
+   sizes say how much a pair has to share, so its first shared token stands at most
+   so far from the start of either set, and so many prefix tokens agree.
 4. The survivors must also share a prefix token under orders B and C; the
    filters are intersected natively before any set travels.
-5. Sets are compared in full.  A first pass compares each class with its bucket's
-   smallest class; the second takes *all* remaining pairs whose members are not
-   yet in one component, so no link between components is lost while a group of
-   near copies never expands into all its pairs.
+5. Sets are compared in full.  A first pass compares each class with the likeliest
+   of its buckets' smallest and of their largest classes; the second takes *all*
+   remaining pairs whose members are not yet in one component.  In a bucket the
+   classes outside its leading component meet all others, those inside never meet
+   each other: no link between components is lost while a group of near copies
+   does not expand into its pairs.
 
 Defined results: null or word-free text has an empty set and links with nothing;
 a null doc_id is returned with a null component; repeated rows are returned as
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import (
     chain,
     connected_components,
+    forget,
     hash_words,
     id_filter,
     materialize,
@@ -43,9 +47,10 @@ from .common import (
     shingle_sets,
     small_batches,
     text_chunks,
+    trim,
 )
 
-SKETCH_BITS = 21
+SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 16
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 _ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
@@ -60,7 +65,7 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 
 def token_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(count, coarse frequency level) of every sketch cell over all documents: 5 * 2**SKETCH_BITS bytes."""
+    """(fine, coarse) frequency level of every sketch cell over all documents: 2 * 2**SKETCH_BITS bytes."""
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -90,26 +95,32 @@ def token_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
         cells[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int64)
     mean = cells.mean()
-    over = np.maximum(cells - (mean + 6 * np.sqrt(mean) + 4), 0)
-    return np.minimum(cells, (1 << 24) - 1).astype(np.int32), np.minimum(np.ceil(2 * np.log2(1 + over)), 255).astype(np.uint8)
+    fine = np.minimum(np.rint(8 * np.log2(1 + cells / max(mean, 1.0), dtype=np.float32)), 255).astype(np.uint8)
+    cells -= int(mean + 6 * np.sqrt(mean) + 4)
+    return fine, np.minimum(np.ceil(2 * np.log2(1 + np.maximum(cells, 0), dtype=np.float32)), 255).astype(np.uint8)
 
 
 def _prefixes(s: np.ndarray, sketch: tuple[np.ndarray, np.ndarray], num: int, den: int, others: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Prefix tokens under order A (whole hashes) and under the other orders (32 bits: only false positives)."""
+    """Prefix tokens under order A (whole hashes, in that order) and under the other orders (32 bits: only false positives)."""
     n = len(s)
     p = n - -(-num * n // den) + 1
     if not n:
         return s, [s.astype(np.int32) for _ in _ORDERS]
     cell = (s >> _SHIFT).astype(np.int64)
 
-    def first(rank: np.ndarray, high: np.ndarray, shift: int) -> np.ndarray:
-        key = (high.astype(np.uint64) << np.uint64(shift)) | (rank >> np.uint64(64 - shift))
-        return s[np.argpartition(key, p - 1)[:p]] if p < n else s
+    def first(rank: np.ndarray, high: np.ndarray) -> np.ndarray:
+        key = (high.astype(np.uint64) << np.uint64(56)) | (rank >> np.uint64(8))
+        if p == n:
+            return s[np.argsort(key, kind="stable")]
+        # Equal keys rank by token, as s ascends.
+        cut = np.partition(key, p - 1)[p - 1]
+        at = np.flatnonzero(key <= cut)
+        return s[at[np.argsort(key[at], kind="stable")][:p]]
 
     if not others:
-        return first(mix(s), sketch[0][cell], 40), []
-    rest = [first(mix(s * c), sketch[1][cell], 56) for c in _ORDERS]
-    return first(mix(s), sketch[0][cell], 40), [np.unique((x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)) for x in rest]
+        return first(mix(s), sketch[0][cell]), []
+    rest = [first(mix(s * c), sketch[1][cell]) for c in _ORDERS]
+    return first(mix(s), sketch[0][cell]), [np.unique((x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)) for x in rest]
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -168,7 +179,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level)
     kinds = ", ".join(f"o{i} array<int>" for i in range(len(_ORDERS)))
     tagged = docs.filter("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
     found = tagged.mapInArrow(run, f"id long, items binary, {kinds}")
-    return materialize(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    out = materialize(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    bits.destroy()
+    return out
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
@@ -207,7 +220,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, level
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "rank")
-    return materialize(dealt.mapInArrow(compare, "src long, dst long"), "links")
+    links = materialize(dealt.mapInArrow(compare, "src long, dst long"), "links")
+    forget(ids, sets, kept)
+    return links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -225,36 +240,44 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = prof.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = prof.select("doc_id", "n", "toks").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    post = reps.select(F.col("doc_id").alias("id"), "n", F.explode("toks").alias("tok"))
-
-    # Tokens of one class alone meet nothing; of the others the smallest class is the pivot.
-    pivots = post.groupBy("tok").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1")
-    met = materialize(post.join(pivots.select("tok", "p"), "tok").select("tok", "id", "n", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "met")
-
-    def bound(na: str, nb: str):
-        """Fewest prefix tokens that a pair must share, given both sizes; null where the sizes alone forbid a link."""
-        need = f"(({num}L * ({na} + {nb}) + {num + den - 1}L) div {num + den}L)"
-        most = f"greatest(({num}L * {na} + {den - 1}L) div {den}L, ({num}L * {nb} + {den - 1}L) div {den}L) - 1"
-        fit = f"{den}L * least({na}, {nb}) >= {num}L * greatest({na}, {nb})"
-        return F.expr(f"case when {fit} then greatest(1L, {need} - ({most})) end")
-
-    first = met.filter("id != pid").groupBy("pid", "id", "pn", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= bound("pn", "n"))
-    first = first.groupBy("id").agg(F.max(F.struct("c", (-F.col("pid")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), F.col("id").alias("b"))
-    first = materialize(first, "pairs1")
+    post = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("toks").alias("pos", "tok"))
+
+    # Tokens of one class alone meet nothing; of the others the smallest and the largest class are pivots.
+    pivots = post.groupBy("tok").agg(F.min(F.struct("id", "n")).alias("p"), F.max(F.struct("id", "n")).alias("q"), F.count("*").alias("c")).filter("c > 1")
+    met = materialize(post.join(pivots.select("tok", "p", "q"), "tok").select("tok", "id", "n", "pos", "p", "q"), "met")
+
+    def need(na: str, nb: str) -> str:
+        """Fewest tokens that a linked pair shares, given both sizes."""
+        return f"(({num}L * ({na} + {nb}) + {num + den - 1}L) div {num + den}L)"
+
+    def fit(na: str, nb: str) -> str:
+        return f"{den}L * least({na}, {nb}) >= {num}L * greatest({na}, {nb})"
+
+    def likeliest(pivot: str) -> DataFrame:
+        """For each class the pivot that shares most of its prefix tokens, if they are enough for a link at both sizes."""
+        most = f"greatest(({num}L * pn + {den - 1}L) div {den}L, ({num}L * n + {den - 1}L) div {den}L) - 1"
+        pairs = met.select("id", "n", F.col(f"{pivot}.id").alias("pid"), F.col(f"{pivot}.n").alias("pn")).filter("id != pid").filter(fit("pn", "n"))
+        pairs = pairs.groupBy("pid", "id", "pn", "n").agg(F.count("*").alias("c")).filter(F.expr(f"c >= greatest(1L, {need('pn', 'n')} - ({most}))"))
+        best = pairs.groupBy("id").agg(F.max(F.struct("c", (-F.col("pid")).alias("m"))).alias("x"))
+        return best.select(F.least("id", -F.col("x.m")).alias("a"), F.greatest("id", -F.col("x.m")).alias("b"))
+
+    first = materialize(likeliest("p").unionAll(likeliest("q")).distinct(), "pairs1")
     links = _verify(first, docs, k, num, den, level)
     comp = connected_components(links)
 
-    at = met.select("tok", "id", "n").join(comp, "id", "left").select("tok", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    many = at.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("tok")
-    at = materialize(at.join(many, "tok", "left_semi"), "mixed")
-    a = at.select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = at.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = F.expr(f"ca < cb and {den}L * least(na, nb) >= {num}L * greatest(na, nb)")
-    second = a.join(b, "tok").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(F.col("c") >= bound("na", "nb")).select("a", "b")
-    tried = first.unionAll(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = materialize(second.join(tried, ["a", "b"], "left_anti"), "pairs2")
+    at = met.select("tok", "id", "n", "pos").join(comp, "id", "left").select("tok", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
+    held = at.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("lead"), F.count("*").alias("comps"))
+    at = materialize(at.join(held.filter("comps > 1").select("tok", "lead"), "tok").select("tok", "id", "n", "pos", "comp", (F.col("comp") != F.col("lead.comp")).alias("aside")), "mixed")
+    a = at.filter("aside").select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    b = at.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "aside")
+    meets = f"ca != cb and (ca < cb or not aside) and {fit('na', 'nb')} and pa <= na - {need('na', 'nb')} and pb <= nb - {need('na', 'nb')}"
+    second = a.join(b, "tok").filter(F.expr(meets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs2")
     more = _verify(second, docs, k, num, den, level)
     comp = connected_components(links.unionAll(more))
+    forget(met, first, at, second, links, more)
+    level.destroy()
+    trim()
 
     named = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
