@@ -29,6 +29,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name`` with as many signs before it as no column of the tables has, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # ---------------------------------------------------------------- storage
 
 

@@ -6,6 +6,8 @@ or drawn out) become lattices: signs may stand for letters, separators may be dr
 repeats may be one letter.  The best path under the character model is the
 restored word.  A linear model over words and word beginnings, plain and
 restored, gives the score; its vocabulary and weights are learnt from labels.
+Words are learnt that MIN_DOCS toxic texts hold; texts that are near copies of
+each other count there as one, and all rows of the sample are fitted on.
 
 Defined results: null or empty text scores by the bias alone; repeated rows
 score alike; a null doc_id is scored and not held out; other columns are
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small_batches, text_chunks
+from .common import crc_fold, forget, materialize, small_batches, text_chunks, trim, unused
 from .training import SAMPLE_ROWS, labelled_sample
 
 CLASSES = 32
@@ -37,6 +39,8 @@ MEMORY = 100_000
 _PUNCT = ".,;:!?\"'()[]{}<>|$%&*#@+-_=~/\\^`«»¡¿"
 #: A run starts and ends at white space or signs, but not after the apostrophe of "it's".
 _APART = re.compile(r"(?<![^\W_])(?<![^\W_]['’])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
+#: What every such run holds; found much faster.
+_APART_HINT = re.compile(r"[ .\-_*](?<=[^\W_].)[^\W_][ .\-_*][^\W_](?![^\W_])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DRAWN = re.compile(r"(.)\1")
 MIN_DOCS = 4
@@ -78,9 +82,29 @@ class Channel:
             return ord(ch) - 96
         return FOREIGN if ord(ch) >= 0xC0 else OTHER
 
+    def _doubled(self, word: str, doubles: list[int]) -> str:
+        """restore() for letters alone, of which a few are doubled: all forms are scored."""
+        best, forms = None, [(word, 0.0)]
+        for i in reversed(doubles):
+            forms += [(w[:i] + w[i + 1 :], cost - 0.5) for w, cost in forms]
+        for form, cost in forms:
+            a = b = 0
+            for ch in form:
+                c = ord(ch) - 96
+                cost += self.logp[a][b][c]
+                a, b = b, c
+            cost += self.logp[a][b][0]
+            if best is None or cost > best[0]:
+                best = cost, form
+        return best[1]
+
     def restore(self, word: str) -> str | None:
         """The likeliest letters behind a disguised word; None where there is nothing to decode."""
         word = word.lower()
+        if word.isascii() and word.isalpha():
+            doubles = [i for i in range(1, len(word)) if word[i] == word[i - 1]]
+            if len(doubles) < 4:
+                return self._doubled(word, doubles)
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         settled: list[str] = []
         for k, ch in enumerate(word):
@@ -140,34 +164,56 @@ def features(token: str, channel: Channel) -> set[str]:
     return out
 
 
-def _tokens(text: str):
+def _tokens(text: str) -> set[str]:
     """Distinct tokens of a text, with runs of letters spelled apart as tokens of their own."""
     found = set(text.split())
-    found.update(m[0] for m in _APART.finditer(text))
+    if _APART_HINT.search(text):
+        found.update(m[0] for m in _APART.finditer(text))
     return found
 
 
+class Memory:
+    """What tokens contribute, kept for the tokens of late: of two generations the older is dropped when the newer is full."""
+
+    def __init__(self, of):
+        self.of, self.some, self.none, self.old_some, self.old_none = of, {}, set(), {}, set()
+
+    def of_text(self, text: str | None) -> set:
+        """All that the tokens of a text contribute."""
+        tokens, out = _tokens(text or ""), set()
+        tokens -= self.none
+        tokens -= self.old_none
+        for t in tokens:
+            got = self.some.get(t) or self.old_some.get(t)
+            if got is None and (got := self.of(t)):
+                self.some[t] = got
+            if got:
+                out.update(got)
+            else:
+                self.none.add(t)
+        if len(self.some) + len(self.none) >= MEMORY:
+            self.old_some, self.old_none, self.some, self.none = self.some, self.none, {}, set()
+        return out
+
+
 class Model:
     """bias + sum of weights over the distinct features of a text, through a sigmoid."""
 
     def __init__(self, bias: float, weights: dict[str, float], channel: Channel):
-        self.bias, self.weights, self.channel, self.memory = bias, weights, channel, {}
+        self.bias, self.weights, self.channel = bias, weights, channel
+        self.forget()
+
+    def __getstate__(self):
+        return self.bias, self.weights, self.channel
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
-    def _known(self, token: str) -> tuple[str, ...]:
-        got = self.memory.get(token)
-        if got is None:
-            got = tuple(f for f in features(token, self.channel) if f in self.weights)
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[token] = got
-        return got
+    def forget(self) -> None:
+        self.memory = Memory(lambda token: tuple(f for f in features(token, self.channel) if f in self.weights))
 
     def score(self, text: str | None) -> float:
-        seen: set[str] = set()
-        for t in _tokens(text or ""):
-            if got := self._known(t):
-                seen.update(got)
-        z = self.bias + sum(self.weights[f] for f in sorted(seen))
+        z = self.bias + sum(self.weights[f] for f in sorted(self.memory.of_text(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -195,53 +241,46 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
     held = spark.sparkContext.broadcast(channel)
 
     def extract(batches):
-        memory: dict[str, tuple[str, ...]] = {}
+        memory = Memory(lambda token: tuple((hash_feature(f), f) for f in features(token, held.value)))
         for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                seen: set[str] = set()
-                for t in _tokens(text or ""):
-                    got = memory.get(t)
-                    if got is None:
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        got = memory[t] = tuple(features(t, held.value))
-                    seen.update(got)
-                out.append(np.array(sorted(hash_feature(f) for f in seen), "<u8").tobytes())
-            yield pa.record_batch({"y": b.column("y"), "f": pa.array(out, pa.binary()), "doc_id": b.column("doc_id")})
-
-    sample = labelled_sample(docs, labels, "toxic", limit).mapInArrow(extract, "y int, f binary, doc_id long").toArrow()
-    order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable") if sample.num_rows else []
-    y_all, f_all = sample.column("y").to_numpy(), sample.column("f")
-    rows, y, groups = [], [], set()
-    for i in order:
-        f = np.frombuffer(f_all[int(i)].as_py(), "<u8")
-        # Near copies teach a word once: texts whose three least features agree count as one.
-        key = (int(y_all[i]), *f[:3].tolist())
-        if len(f) > 3 and key in groups:
-            continue
-        groups.add(key)
-        rows.append(f)
-        y.append(int(y_all[i]))
-    y = np.array(y, float)
+            hashes, names, groups = [], [], []
+            for y, text in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
+                got = sorted(memory.of_text(text))
+                hashes.append(np.array([h for h, _ in got], "<u8").tobytes())
+                names.append([f for _, f in got] if y else [])
+                # Near copies share their least features; what they teach counts once, see learnt().
+                groups.append(hash_feature(" ".join(f for _, f in got[:3])) - (1 << 63))
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "y": b.column("y"), "f": pa.array(hashes, pa.binary()), "names": pa.array(names, pa.list_(pa.string())), "near": pa.array(groups, pa.int64())})
+
+    sample = materialize(labelled_sample(docs, labels, "toxic", limit).mapInArrow(extract, "doc_id long, y int, f binary, names array<string>, near long"), "toxic-sample")
+    # At most `limit` times the features of a text over MIN_DOCS names.
+    known = sample.filter("y = 1").select("near", F.explode("names").alias("name")).distinct().groupBy("name").count().filter(F.col("count") >= MIN_DOCS)
+    names = np.array(sorted(r["name"] for r in known.select("name").collect()), object)
+    keys = np.array([hash_feature(x) for x in names], np.uint64)
+    order = np.argsort(keys)
+    names, keys = names[order], keys[order]
+
+    def held_by(batches):
+        for b in batches:
+            at = [np.flatnonzero(np.isin(keys, np.frombuffer(f, "<u8"))).astype("<i4").tobytes() for f in b.column("f").to_pylist()]
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "y": b.column("y"), "at": pa.array(at, pa.binary())})
+
+    t = sample.select("doc_id", "y", "f").mapInArrow(held_by, "doc_id long, y int, at binary").orderBy("doc_id").toArrow()
+    forget(sample)
+    held.destroy()
+    y = t.column("y").to_numpy().astype(float)
     if not len(y) or not y.any() or y.all():
         share = float(y.mean()) if len(y) else 0.0
         return Model(math.log((share + 1e-3) / (1 - share + 1e-3)), {}, channel)
-    pos = np.concatenate([r for r, t in zip(rows, y, strict=True) if t] or [np.zeros(0, np.uint64)])
-    keys, n_pos = np.unique(pos, return_counts=True)
-    keep = n_pos >= MIN_DOCS
-    keys, n_pos = keys[keep], n_pos[keep]
-    n_all = np.zeros(len(keys), np.int64)
-    for r in rows:
-        at = np.searchsorted(keys, r)
-        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == r)] if len(keys) else at[:0]
-        n_all[at] += 1
-    strong = n_pos / n_all >= min(0.9, 4 * y.mean())
-    keys = keys[strong]
-    own = [np.flatnonzero(np.isin(keys, r)).tolist() for r in rows]
-    bias, w = _fit_linear(own, y, len(keys))
-    chosen = {int(k): float(x) for k, x in zip(keys, w, strict=True) if x > 0}
-    return Model(bias, _Hashed(chosen), channel)
+    rows = [np.frombuffer(x.as_py(), "<i4") for x in t.column("at")]
+    n_all = np.bincount(np.concatenate(rows), minlength=len(keys))
+    n_pos = np.bincount(np.concatenate([r for r, p in zip(rows, y, strict=True) if p]), minlength=len(keys))
+    strong = n_pos / np.maximum(n_all, 1) >= min(0.9, 4 * y.mean())
+    place = np.cumsum(strong) - 1
+    bias, w = _fit_linear([place[r[strong[r]]] for r in rows], y, int(strong.sum()))
+    del t, rows
+    trim()
+    return Model(bias, {str(f): float(x) for f, x in zip(names[strong], w, strict=True) if x > 0}, channel)
 
 
 def hash_feature(f: str) -> int:
@@ -251,39 +290,33 @@ def hash_feature(f: str) -> int:
     return xxhash.xxh64_intdigest(f)
 
 
-class _Hashed(dict):
-    """Weights by hashed feature, read by the feature itself."""
-
-    def __contains__(self, f: str) -> bool:
-        return dict.__contains__(self, hash_feature(f))
-
-    def __getitem__(self, f: str) -> float:
-        return dict.__getitem__(self, hash_feature(f))
-
-
-def _with_scores(docs: DataFrame, model: Model) -> DataFrame:
+def _with_scores(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """``docs`` with the score, in a column that no other has the name of."""
     from pyspark.sql.types import DoubleType, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.schema.names
+    kind = StructType([*docs.schema.fields])
+    names, name = kind.names, unused("score", docs)
+    at = [c.lower() for c in names].index("text")
 
     def run(batches):
         for b in batches:
-            s = [held.value.score(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch({**{c: b.column(c) for c in names}, "_score": pa.array(s, pa.float64())})
-        held.value.memory.clear()  # the worker outlives the task
+            s = [held.value.score(t) for t in b.column(at).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], [*names, name])
+        held.value.forget()  # the worker outlives the task
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*kind.fields]).add(name, DoubleType())), name
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _with_scores(texts, model)
+    out, z = _with_scores(texts, model)
     fold = F.coalesce(crc_fold("doc_id") == 0, F.lit(False))
-    return out.select("doc_id", fold.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", fold.alias("held_out"), F.col(z).alias("score"), (F.col(z) >= threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score at or above ``threshold``."""
-    return _with_scores(docs, model).filter(F.col("_score") < threshold).drop("_score")
+    out, z = _with_scores(docs, model)
+    return out.filter(F.col(z) < threshold).drop(z)
