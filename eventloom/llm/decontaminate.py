@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 RADIUS = 20
 ANCHOR_ROWS = 100_000
@@ -136,5 +136,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    leaks = find_leaks(docs, benchmark, k, num, den).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_id"], "left_anti")
+    own = unused("id", docs)
+    leaks = find_leaks(docs, benchmark, k, num, den).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaks, docs["doc_id"] == leaks[own], "left_anti")

@@ -256,3 +256,21 @@ def test_decontamination_stays_native(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "", "", 0, "")], DOC)
     plan = find_leaks(df, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_toxicity_stage_with_clashing_columns(spark):
+    from eventloom.llm import toxicity
+
+    model = toxicity.Model(-1.0, {"scum": 5.0}, toxicity.Channel(np.zeros((32, 32, 32))))
+    docs = spark.createDataFrame([(1, "you scum", 0.1, 0.2), (2, "you", 0.3, 0.4)], ["doc_id", "TEXT", "_score", "score"])
+    assert [tuple(r) for r in toxicity.reject(docs, model).collect()] == [(2, "you", 0.3, 0.4)]
+
+
+def test_toxicity_of_repeated_ids_is_bounded(spark):
+    """Repeated rows of one id are one row of the sample."""
+    from eventloom.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, None), (4, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 1, 2, 4)], "doc_id long, toxic int")
+    got = sorted(tuple(r) for r in labelled_sample(docs, labels, "toxic").collect())
+    assert got == [x for x in [(1, "b", 1), (2, "", 1), (4, "c", 1)] if zlib.crc32(str(x[0]).encode()) % 5]
