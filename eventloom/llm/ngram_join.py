@@ -41,6 +41,7 @@ from .common import (
     forget,
     hash_words,
     id_filter,
+    lean,
     materialize,
     mix,
     row_bounds,
@@ -70,15 +71,8 @@ def token_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            held, size = [], 0
             for _, s in _sets(b, k):
-                held.append((s >> _SHIFT).astype(np.int64))
-                size += len(s)
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
-                    held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+                total[(s >> _SHIFT).astype(np.int64)] += 1  # two shingles of a text in one cell count once
         blocks = total.reshape(-1, SKETCH_BLOCK)
         full = np.flatnonzero(blocks.any(1))
         if len(full):
@@ -90,7 +84,7 @@ def token_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         return pa.table({"block": t.column("block")[:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.mapInArrow(count, "block int, counts binary")
+    parts = docs.mapInArrow(lean(count), "block int, counts binary")
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
         cells[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int64)
@@ -150,7 +144,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
                     {"doc_id": ids, "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "toks": _lists(toks, pa.int64())}
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, toks array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, toks array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
@@ -178,7 +172,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level)
 
     kinds = ", ".join(f"o{i} array<int>" for i in range(len(_ORDERS)))
     tagged = docs.filter("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    found = tagged.mapInArrow(run, f"id long, items binary, {kinds}")
+    found = tagged.mapInArrow(lean(run), f"id long, items binary, {kinds}")
     out = materialize(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
     bits.destroy()
     return out
@@ -220,7 +214,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, level
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "rank")
-    links = materialize(dealt.mapInArrow(compare, "src long, dst long"), "links")
+    links = materialize(dealt.mapInArrow(lean(compare), "src long, dst long"), "links")
     forget(ids, sets, kept)
     return links
 

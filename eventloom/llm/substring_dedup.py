@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain, forget, hash_words, materialize, mix, row_bounds, small_batches, text_chunks, unused
+from .common import chain, forget, hash_words, lean, materialize, mix, row_bounds, small_batches, text_chunks, unused
 
 WINDOW = 13
 #: Words of a prefix, and of a lengthened one; the last length is the window's.
@@ -96,7 +96,7 @@ def _prefix_counts(docs: DataFrame, window: int) -> DataFrame:
             )
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = docs.mapInArrow(run, "prefix long, doc long, n int").repartition(parts, "prefix")
+    met = docs.mapInArrow(lean(run), "prefix long, doc long, n int").repartition(parts, "prefix")
     met = met.groupBy("prefix").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.sum("n").alias("n"))
     return materialize(met.filter("x < y").select("prefix", "n"), "prefixes")
 
@@ -137,7 +137,7 @@ def _common(docs: DataFrame, hot: np.ndarray, most: int, window: int) -> tuple[n
                         {"whole": pa.array(np.full(len(first), whole, np.int32)), "key": pa.array(key[first]), "n": pa.array(np.diff(np.append(first, len(key)))), "doc": pa.array(np.minimum.reduceat(doc, first))}
                     )
 
-    met = docs.mapInArrow(run, "whole int, key long, n long, doc long").groupBy("whole", "key").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
+    met = docs.mapInArrow(lean(run), "whole int, key long, n long, doc long").groupBy("whole", "key").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
     # Each stands for more than `most` windows: few for each partition.
     t = met.filter(F.col("n") > most).orderBy("whole", "key").toArrow()
     whole, key, doc = (t.column(c).to_numpy() for c in ("whole", "key", "doc"))
@@ -187,7 +187,7 @@ def _suffixes(docs: DataFrame, shared, window: int) -> DataFrame:
                     }
                 )
 
-    return docs.mapInArrow(run, "key long, doc_id long, pos int, words binary, cover int")
+    return docs.mapInArrow(lean(run), "key long, doc_id long, pos int, words binary, cover int")
 
 
 def _repeats(group: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
@@ -259,7 +259,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     longer = _common(docs, hot, most, window) if len(hot) else (hot, hot, hot)
     shared = spark.sparkContext.broadcast((_filter_words(prefixes), hot, *longer))
     rows = _suffixes(docs, shared, window).repartition(parts, "key").sortWithinPartitions("key")
-    found = materialize(rows.mapInArrow(_subtrees(window), "doc_id long, a int, b int"), "repeats")
+    found = materialize(rows.mapInArrow(lean(_subtrees(window)), "doc_id long, a int, b int"), "repeats")
     forget(prefixes)
     shared.destroy()
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             got = [kept_words(t, s) for t, s in zip(b.column(text).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             yield pa.record_batch([*b.columns[:-1], pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.string())], kind.names)
 
-    return joined.mapInArrow(run, kind)
+    return joined.mapInArrow(lean(run), kind)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -326,4 +326,4 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join((text or "").encode().split()) if kept is None else kept.encode()).hexdigest())
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": sha})
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")

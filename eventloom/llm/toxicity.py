@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, forget, materialize, small_batches, text_chunks, trim, unused
+from .common import crc_fold, forget, lean, materialize, small_batches, text_chunks, trim, unused
 from .training import SAMPLE_ROWS, labelled_sample
 
 CLASSES = 32
@@ -63,7 +63,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.record_batch({"cell": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    t = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    t = docs.select("text").mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CLASSES**3, np.int64)
     out[t.column("cell").to_numpy()] = t.column("n").to_numpy()
     return out.reshape(CLASSES, CLASSES, CLASSES)
@@ -175,8 +175,8 @@ def _tokens(text: str) -> set[str]:
 class Memory:
     """What tokens contribute, kept for the tokens of late: of two generations the older is dropped when the newer is full."""
 
-    def __init__(self, of):
-        self.of, self.some, self.none, self.old_some, self.old_none = of, {}, set(), {}, set()
+    def __init__(self, of, size: int = MEMORY):
+        self.of, self.size, self.some, self.none, self.old_some, self.old_none = of, size, {}, set(), {}, set()
 
     def of_text(self, text: str | None) -> set:
         """All that the tokens of a text contribute."""
@@ -191,7 +191,7 @@ class Memory:
                 out.update(got)
             else:
                 self.none.add(t)
-        if len(self.some) + len(self.none) >= MEMORY:
+        if len(self.some) + len(self.none) >= self.size:
             self.old_some, self.old_none, self.some, self.none = self.some, self.none, {}, set()
         return out
 
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
     held = spark.sparkContext.broadcast(channel)
 
     def extract(batches):
-        memory = Memory(lambda token: tuple((hash_feature(f), f) for f in features(token, held.value)))
+        memory = Memory(lambda token: tuple((hash_feature(f), f) for f in features(token, held.value)), MEMORY // 8)
         for b in batches:
             hashes, names, groups = [], [], []
             for y, text in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
                 groups.append(hash_feature(" ".join(f for _, f in got[:3])) - (1 << 63))
             yield pa.record_batch({"doc_id": b.column("doc_id"), "y": b.column("y"), "f": pa.array(hashes, pa.binary()), "names": pa.array(names, pa.list_(pa.string())), "near": pa.array(groups, pa.int64())})
 
-    sample = materialize(labelled_sample(docs, labels, "toxic", limit).mapInArrow(extract, "doc_id long, y int, f binary, names array<string>, near long"), "toxic-sample")
+    sample = materialize(labelled_sample(docs, labels, "toxic", limit).mapInArrow(lean(extract), "doc_id long, y int, f binary, names array<string>, near long"), "toxic-sample")
     # At most `limit` times the features of a text over MIN_DOCS names.
     known = sample.filter("y = 1").select("near", F.explode("names").alias("name")).distinct().groupBy("name").count().filter(F.col("count") >= MIN_DOCS)
     names = np.array(sorted(r["name"] for r in known.select("name").collect()), object)
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
             at = [np.flatnonzero(np.isin(keys, np.frombuffer(f, "<u8"))).astype("<i4").tobytes() for f in b.column("f").to_pylist()]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "y": b.column("y"), "at": pa.array(at, pa.binary())})
 
-    t = sample.select("doc_id", "y", "f").mapInArrow(held_by, "doc_id long, y int, at binary").orderBy("doc_id").toArrow()
+    t = sample.select("doc_id", "y", "f").mapInArrow(lean(held_by), "doc_id long, y int, at binary").orderBy("doc_id").toArrow()
     forget(sample)
     held.destroy()
     y = t.column("y").to_numpy().astype(float)
@@ -305,7 +305,7 @@ def _with_scores(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
             yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], [*names, name])
         held.value.forget()  # the worker outlives the task
 
-    return docs.mapInArrow(run, StructType([*kind.fields]).add(name, DoubleType())), name
+    return docs.mapInArrow(lean(run), StructType([*kind.fields]).add(name, DoubleType())), name
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
