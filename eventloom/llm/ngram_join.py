@@ -82,16 +82,19 @@ def token_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros(SKETCH_BLOCK, np.int64)
         for x in t.column("counts"):
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        return pa.table({"block": t.column("block")[:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
+        most = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        return pa.table({"block": t.column("block")[:1].combine_chunks(), "counts": pa.array([zlib.compress(most.tobytes(), 1)], pa.binary())})
 
     parts = docs.mapInArrow(lean(count), "block int, counts binary")
-    cells = np.zeros(1 << SKETCH_BITS, np.int64)
+    cells = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint32).reshape(-1, SKETCH_BLOCK)
     for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
-        cells[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int64)
+        cells[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     mean = cells.mean()
-    fine = np.minimum(np.rint(8 * np.log2(1 + cells / max(mean, 1.0), dtype=np.float32)), 255).astype(np.uint8)
-    cells -= int(mean + 6 * np.sqrt(mean) + 4)
-    return fine, np.minimum(np.ceil(2 * np.log2(1 + np.maximum(cells, 0), dtype=np.float32)), 255).astype(np.uint8)
+    noise = mean + 6 * np.sqrt(mean) + 4
+    level = lambda x: np.minimum(x, 255).astype(np.uint8)
+    fine = np.stack([level(np.rint(8 * np.log2(1 + c / max(mean, 1.0)))) for c in cells])
+    coarse = np.stack([level(np.ceil(2 * np.log2(1 + np.maximum(c - noise, 0)))) for c in cells])
+    return fine.ravel(), coarse.ravel()
 
 
 def _prefixes(s: np.ndarray, sketch: tuple[np.ndarray, np.ndarray], num: int, den: int, others: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
