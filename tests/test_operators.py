@@ -124,12 +124,18 @@ def test_writer(spark, tmp_path):
 # ---------------------------------------------------------------- tracker
 
 
+DETS = "session_id string, ts double, frame_index int, det_ix int, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
+
+
 def car(x, y=100.0, w=40.0, h=40.0, label="car", score=0.9):
-    return (label, score, (x - w / 2, y - h / 2, x + w / 2, y + h / 2))
+    return (label, score, x - w / 2, y - h / 2, x + w / 2, y + h / 2)
 
 
-def live(rows):
-    return [r for r in rows if not r[16]]
+def tracked(spark, frames, s=config.TrackSettings()):
+    """Track rows, frame by frame, of (time, detections)."""
+    rows = [("a", float(t), i, j, *d) for i, (t, dets) in enumerate(frames) for j, d in enumerate(dets or [(None,) * 6])]
+    got = tracker.track(spark.createDataFrame(rows, DETS), "session_id", s).collect()
+    return [sorted((r for r in got if r.ts == t and not r.ended), key=lambda r: r.track_id) for t, _ in frames], [r for r in got if r.ended]
 
 
 def test_overlap_vectors():
@@ -139,37 +145,44 @@ def test_overlap_vectors():
     assert tracker.overlap((0, 0, 0, 0), (0, 0, 0, 0)) == 0
 
 
-def test_tracker_motion_and_coast():
-    t = tracker.Tracker()
-    t.update([car(100, 200)], 1.0)
-    r = live(t.update([car(110, 194)], 1.2))[0]
-    assert r[0] == 1 and abs(r[29] - 50) < 1e-9 and abs(r[30] + 30) < 1e-9
-    assert not live(t.update([], 1.4))[0][15]
-    r = live(t.update([car(120, 194)], 1.8))[0]
-    assert r[0] == 1 and abs(r[29] - 10 / 0.6) < 1e-9
-    assert live(t.update([car(120, 194)], 1.8))[0][29] == r[29]
-
-
-def test_tracker_expiry_reset_and_labels():
-    t = tracker.Tracker(config.TrackSettings(max_missed=0.5))
-    t.update([car(100)], 0.0)
-    assert len(live(t.update([], 0.5))) == 1 and not live(t.update([], 0.6))
-    assert live(t.update([car(100)], 0.7))[0][0] == 2
-    assert live(t.update([car(100)], 0.1))[0][0] == 3
-    t = tracker.Tracker()
-    for i, label in enumerate(("dog", "person", "dog", "person")):
-        r = live(t.update([car(100, label=label)], i / 10))
-    assert len(r) == 1 and r[0][1] == "dog" and r[0][6] == 3
+def test_tracker_motion_and_coast(spark):
+    f, _ = tracked(spark, [(1.0, [car(100, 200)]), (1.2, [car(110, 194)]), (1.4, []), (1.8, [car(120, 194)])])
+    assert f[0][0].vx is None and f[0][0].detections == 1
+    r = f[1][0]
+    assert r.track_id == 1 and abs(r.vx - 50) < 1e-9 and abs(r.vy + 30) < 1e-9 and abs(r.mean_confidence - 0.9) < 1e-12
+    r = f[2][0]
+    assert not r.active and r.missed_frames == 1 and abs(r.missed - 0.2) < 1e-9 and abs(r.vx - 50) < 1e-9 and r.frame_index == 1
+    r = f[3][0]
+    assert r.track_id == 1 and abs(r.vx - 10 / 0.6) < 1e-9 and abs(r.persistence - 0.8) < 1e-9 and r.missed_frames == 0
+
+
+def test_tracker_keeps_rates_between_equal_times(spark):
+    rows = [("a", t, i, 0, *car(x)) for i, (t, x) in enumerate([(0.0, 100), (0.2, 110), (0.2, 112)])]
+    got = {r.frame_index: r for r in tracker.track(spark.createDataFrame(rows, DETS)).filter("not ended").collect()}
+    assert abs(got[2].vx - 50) < 1e-9 and got[2].cx == 112 and got[2].previous_cx == 100
+
+
+def test_tracker_expiry_reset_and_labels(spark):
+    f, ends = tracked(spark, [(0.0, [car(100)]), (0.5, []), (0.6, []), (0.7, [car(100)]), (0.1, [car(100)])], config.TrackSettings(max_missed=0.5))
+    assert [[r.track_id for r in x] for x in f] == [[1], [1], [], [2], [3]]
+    assert sorted((r.track_id, r.ts) for r in ends) == [(1, 0.6), (2, 0.7), (3, 0.1)]
+    f, ends = tracked(spark, [(i / 10, [car(100, label=x)]) for i, x in enumerate(("dog", "person", "dog", "person"))])
+    assert [len(x) for x in f] == [1] * 4 and f[3][0].class_name == "dog" and f[3][0].label_changes == 3
+    assert [r.class_history for r in ends] == [["dog", "person", "dog", "person"]]
+    f, ends = tracked(spark, [(0.0, [car(100)]), (0.1, []), (0.2, [])], config.TrackSettings(max_frames=1))
+    assert [len(x) for x in f] == [1, 1, 0] and [r.ts for r in ends] == [0.2]
     with pytest.raises(ValueError):
-        t.update([], float("nan"))
-    assert t.finish()[0][16]
+        tracker.Matcher().frame([], float("nan"))
 
 
-def test_tracker_greedy_order():
-    t = tracker.Tracker()
-    t.update([car(100), car(125)], 0.0)
-    r = live(t.update([car(123), car(101)], 0.1))
-    assert [round(x[21]) for x in r] == [101, 123]
+def test_tracker_greedy_order(spark):
+    f, _ = tracked(spark, [(0.0, [car(100), car(125)]), (0.1, [car(123), car(101)])])
+    assert [round(r.cx) for r in f[1]] == [101, 123]
+    # Another class needs more overlap, and comes after the own class.
+    f, _ = tracked(spark, [(0.0, [car(100)]), (0.1, [car(101, label="dog"), car(104)])])
+    assert [(r.track_id, r.observed_class) for r in f[1]] == [(1, "car"), (2, "dog")]
+    f, _ = tracked(spark, [(0.0, [car(100)]), (0.1, [car(115, label="dog")]), (0.2, [car(116, label="dog")])])
+    assert [(r.track_id, r.active) for r in f[1]] == [(1, False), (2, True)]
 
 
 def test_track_table(spark):
