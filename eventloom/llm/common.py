@@ -122,10 +122,11 @@ def put_file(uri: str, name: str, data: bytes) -> None:
     store.move(part, f"{base}/{name}")
 
 
-def get_file(uri: str, name: str) -> bytes:
+def get_file(uri: str, name: str, at: int = 0, size: int | None = None) -> bytes:
+    """A file, or ``size`` bytes of it from ``at`` on."""
     store, base = open_store(uri)
-    with store.open_input_stream(f"{base}/{name}", compression=None) as f:
-        return f.read()
+    with store.open_input_file(f"{base}/{name}") as f:
+        return f.read() if size is None else f.read_at(size, at)
 
 
 def small_batches(spark: SparkSession) -> None:

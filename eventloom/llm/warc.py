@@ -4,7 +4,7 @@
 crawlers leave them.  ``normalise`` inflates each archive once, rewrites every
 record as a gzip member of its own and lays a sidecar offset index beside it;
 records whose payload another record already has become revisits on the way.
-``read_records`` seeks by the sidecar and inflates single members.
+``read_records`` seeks by the sidecar, some members at a time, and inflates each alone.
 
 Defined results: null html is an empty payload; a null page_id is written with
 an empty id, never is a first record that others refer to unless all are null,
@@ -148,7 +148,8 @@ def normalise(index: DataFrame, folder: str, min_bytes: int = 0) -> tuple[DataFr
                 yield pa.record_batch({"file": [new], "n_records": pa.array([pos], pa.int64())})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done = materialize(work.repartition(n, "file").mapInArrow(run, "file string, n_records long"), "warc-archives")
+    # Dealt in turn: by file, the join's own few partitions would be taken over and merged into one task.
+    done = materialize(work.repartition(n).mapInArrow(run, "file string, n_records long"), "warc-archives")
     return done, target
 
 
@@ -158,12 +159,13 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for name in b.column("file").to_pylist():
-                data = get_file(folder, name)
                 index = json.loads(get_file(folder, name + ".idx"))
                 for lo in range(0, len(index), 200):
-                    rows = []
-                    for _, at, size in index[lo : lo + 200]:
-                        head, payload, _ = parse(zlib.decompress(data[at : at + size], GZIP))
+                    rows, members = [], index[lo : lo + 200]
+                    first = members[0][1]
+                    data = get_file(folder, name, first, members[-1][1] + members[-1][2] - first)
+                    for _, at, size in members:
+                        head, payload, _ = parse(zlib.decompress(data[at - first : at - first + size], GZIP))
                         refers = head.get("WARC-Refers-To")
                         sha = head["WARC-Payload-Digest"].removeprefix("sha1:")
                         if head["WARC-Type"] == "response" and digest(payload) != sha:
@@ -179,7 +181,7 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
 
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary"
-    return archives.repartition(n, "file").mapInArrow(run, kinds)
+    return archives.repartition(n).mapInArrow(run, kinds)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
