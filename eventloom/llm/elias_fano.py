@@ -76,13 +76,25 @@ class Reader:
             base += len(bits) // 8
             bits = np.unpackbits(self.highs[base : base + 64], bitorder="little")
 
-    def values(self) -> np.ndarray:
-        """All values at once (one pass over the bits)."""
-        if not self.n:
+    def values(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Values lo to hi (exclusive), from the mark before lo on; no other value is decoded."""
+        hi = self.n if hi is None else min(hi, self.n)
+        if lo >= hi:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.int64) << self.low
+        mark = lo // SAMPLE
+        byte, ones, found = int(self.marks[mark]) >> 3, [], 0
+        want = hi - mark * SAMPLE
+        while found < want:
+            bits = np.unpackbits(self.highs[byte : byte + 4096], bitorder="little")
+            if not found and not ones:
+                bits[: int(self.marks[mark]) & 7] = 0
+            ones.append(np.flatnonzero(bits) + 8 * byte)
+            found += len(ones[-1])
+            byte += 4096
+        at = np.concatenate(ones)[lo - mark * SAMPLE : want]
+        out = (at - np.arange(lo, hi)).astype(np.int64) << self.low
         if self.low:
-            bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
+            a, b = lo * self.low >> 3, (hi * self.low + 7) >> 3
+            bits = np.unpackbits(self.lows[a:b], bitorder="little")[lo * self.low - 8 * a :][: (hi - lo) * self.low].reshape(hi - lo, self.low)
             out |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
         return out

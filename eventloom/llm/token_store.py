@@ -28,6 +28,8 @@ from .tokens import END_ID, encoder
 MAGIC = b"ELTK"
 _HEAD = struct.Struct("<4sBQQqQ")
 SHARD_TOKENS = 1 << 25
+#: Documents that a reader hands on at a time.
+READ_DOCS = 1000
 
 
 def pack_shard(doc_ids: list, parts: list[bytes], wide: bool) -> bytes:
@@ -110,16 +112,18 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for name, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
                 s = Shard(get_file(folder, name))
-                ends, ids = s.ends.values(), s.ids
-                docs = [None] * s.nulls + (s.docs.values() + s.least).tolist()
-                for lo in range(0, s.n, 1000):
-                    hi = min(lo + 1000, s.n)
+                for lo in range(0, s.n, READ_DOCS):
+                    hi = min(lo + READ_DOCS, s.n)
+                    # Boundaries come from the coded array by select, for these documents alone.
+                    ends = s.ends.values(lo, hi + 1)
+                    nulls = min(max(s.nulls - lo, 0), hi - lo)
+                    docs = [None] * nulls + (s.docs.values(lo + nulls - s.nulls, hi - s.nulls) + s.least).tolist()
                     yield pa.record_batch(
                         {
-                            "doc_id": pa.array(docs[lo:hi], pa.int64()),
-                            "start": pa.array(ends[lo:hi] + start, pa.int64()),
-                            "n_tokens": pa.array(ends[lo + 1 : hi + 1] - ends[lo:hi], pa.int64()),
-                            "ids": pa.array([ids[x:y].astype("<u4").tobytes() for x, y in zip(ends[lo:hi], ends[lo + 1 : hi + 1], strict=True)], pa.binary()),
+                            "doc_id": pa.array(docs, pa.int64()),
+                            "start": pa.array(ends[:-1] + start, pa.int64()),
+                            "n_tokens": pa.array(np.diff(ends), pa.int64()),
+                            "ids": pa.array([s.ids[x:y].astype("<u4").tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
                         }
                     )
 
