@@ -13,7 +13,8 @@ at least ``t`` with it (a document shorter than the item is one window).
   bound on the similarity, from running sums) go; none that reaches t is lost.
 * Each window and item gets a 64-bit SimHash of its shingles.  A fingerprint
   within RADIUS of another agrees with it on at least one of RADIUS + 1 blocks,
-  so an equality join on (length, block, bits) finds every pair within RADIUS.
+  so an equality join on (item text, block, bits) finds every pair within RADIUS;
+  a window meets the items alone whose anchor it lies over.
 * What remains is verified by exact similarity.
 
 At a similarity of exactly 0.8 fingerprints differ in about 10 of 64 bits
@@ -117,13 +118,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
     enough = f"{num + den}L * (get(c, s - lo + {size}) - get(c, s - lo)) >= {num}L * (size(ish) + {size})"
     starts = F.expr(f"flatten(transform(array({before}), c -> filter(sequence(lo, hi), s -> {enough})))")
     shingled = shingled.join(items.dropDuplicates(["ih"]).select("ih", F.col("sh").alias("ish")), "ih")
-    windows = shingled.select("doc_id", "h", "len", F.explode(starts).alias("start"), "lo", "rs", F.expr(size).alias("size"))
-    windows = windows.select("doc_id", "h", "len", "start", F.expr("slice(rs, start - lo + 1, size)").alias("sh")).dropDuplicates(["doc_id", "h", "len", "start"])
+    windows = shingled.select("doc_id", "h", "ih", "len", F.explode(starts).alias("start"), "lo", "rs", F.expr(size).alias("size"))
+    windows = windows.select("doc_id", "h", "ih", "len", "start", F.expr("slice(rs, start - lo + 1, size)").alias("sh")).dropDuplicates(["doc_id", "h", "ih", "start"])
     windows = materialize(windows.drop("h"), "windows").withColumn("fp", F.expr(_simhash("sh")))
 
-    w = windows.withColumn("b", F.explode(F.expr(_block_keys("fp")))).select("doc_id", "len", "start", "sh", "fp", "b.k", "b.v")
-    i = items.withColumn("b", F.explode(F.expr(_block_keys("fp")))).select("item_id", "len", F.col("sh").alias("ish"), F.col("fp").alias("ifp"), "b.k", "b.v")
-    near = w.join(i, ["len", "k", "v"]).withColumn("distance", F.expr("bit_count(fp ^ ifp)")).filter(F.col("distance") <= RADIUS)
+    w = windows.withColumn("b", F.explode(F.expr(_block_keys("fp")))).select("doc_id", "ih", "len", "start", "sh", "fp", "b.k", "b.v")
+    i = items.withColumn("b", F.explode(F.expr(_block_keys("fp")))).select("item_id", "ih", F.col("sh").alias("ish"), F.col("fp").alias("ifp"), "b.k", "b.v")
+    near = w.join(i, ["ih", "k", "v"]).withColumn("distance", F.expr("bit_count(fp ^ ifp)")).filter(F.col("distance") <= RADIUS)
     near = near.dropDuplicates(["doc_id", "start", "item_id"])
     # Sum over distinct shingles of the smaller and of the larger multiplicity.
     count = lambda a: f"size(filter({a}, y -> y = s))"
