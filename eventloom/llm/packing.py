@@ -1,12 +1,13 @@
 """Harmonic packing: token sequences of a fixed capacity with next to no padding.
 
 Each worker packs its own documents.  A document's whole capacities become
-sequences of their own; what remains, of length r, belongs to class
-``capacity // r``, and a bin of class k takes exactly k of them (the last class
-holds all the small ones and fills until the next does not fit).  Because
-documents may be cut, the emptiest bins are then dissolved to top up the
-others, so that at most one sequence of a block is not full.  Sequence ids are
-``partition << 32 | count``, so workers need not know of each other.
+sequences of their own.  What remains is cut into pieces of exactly
+``capacity / k`` tokens, the longest first, for the k up to CLASSES that divide
+the capacity; a bin of class k takes exactly k such pieces and is full.
+Shorter rests, and the pieces of bins that a block of documents leaves
+incomplete, make up the last class: they follow each other and are cut where a
+sequence is full, so that at most one sequence of a block is not.  Sequence ids
+are ``partition << 32 | count``, so workers need not know of each other.
 
 Defined results: null or empty text is the end id alone; null doc_ids are kept;
 repeated rows are packed each; other columns are ignored.
@@ -24,50 +25,37 @@ from .common import lean, small_batches
 from .tokens import END_ID, encoder
 
 CAPACITY = 4096
-CLASSES = 64
+CLASSES = 16
 BLOCK_TOKENS = 1 << 22
 
 
 def harmonic_bins(lengths: list[int], capacity: int = CAPACITY, classes: int = CLASSES) -> list[list[tuple[int, int, int]]]:
     """Bins of pieces (document, start, length); every token lies in exactly one piece."""
-    full, by_class = [], {}
+    of_class: dict[int, list[tuple[int, int, int]]] = {k: [] for k in range(1, classes + 1) if capacity % k == 0}
+    rest = []
     for i, n in enumerate(lengths):
-        cut = n - n % capacity
-        full += [[(i, s, capacity)] for s in range(0, cut, capacity)]
-        if r := n % capacity:
-            by_class.setdefault(min(capacity // r, classes), []).append((i, cut, r))
+        at = 0
+        for k, held in of_class.items():
+            while n - at >= capacity // k:
+                held.append((i, at, capacity // k))
+                at += capacity // k
+        if at < n:
+            rest.append((i, at, n - at))
     bins = []
-    for k in sorted(by_class):
-        items = by_class[k]
-        if k < classes:
-            bins += [items[j : j + k] for j in range(0, len(items), k)]
-            continue
-        room = 0
-        for x in items:
-            if x[2] > room:
+    for k, held in of_class.items():
+        whole = len(held) - len(held) % k
+        bins += [held[j : j + k] for j in range(0, whole, k)]
+        rest += held[whole:]
+    room = 0
+    for i, at, n in rest:
+        while n:
+            if not room:
                 bins.append([])
                 room = capacity
-            bins[-1].append(x)
-            room -= x[2]
-    fill = [sum(x[2] for x in b) for b in bins]
-    order = sorted(range(len(bins)), key=lambda j: -fill[j])
-    lo, hi = 0, len(order) - 1
-    while lo < hi:
-        to, frm = order[lo], order[hi]
-        gap = capacity - fill[to]
-        if not gap:
-            lo += 1
-        elif not bins[frm]:
-            hi -= 1
-        else:
-            i, s, n = bins[frm].pop()
-            take = min(gap, n)
-            bins[to].append((i, s, take))
-            if take < n:
-                bins[frm].append((i, s + take, n - take))
-            fill[to] += take
-            fill[frm] -= take
-    return full + [bins[j] for j in order if bins[j]]
+            take = min(n, room)
+            bins[-1].append((i, at, take))
+            at, n, room = at + take, n - take, room - take
+    return bins
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -34,6 +34,8 @@ def test_elias_fano():
         data = ef.encode(np.array(v, np.int64))
         r = ef.Reader(b"xx" + data, 2)
         assert r.values().tolist() == list(v) and r.end == len(data) + 2
+        for lo, hi in ((0, 1), (3, 700), (255, 257), (511, 513), (len(v) - 2, len(v) + 5)):
+            assert r.values(max(lo, 0), hi).tolist() == list(v)[max(lo, 0) : hi]
         for i in list(range(0, len(v), 97)) + [len(v) - 1] * bool(len(v)):
             assert r.select(i) == v[i]
         with pytest.raises(IndexError):
@@ -68,6 +70,16 @@ def test_token_store(spark):
     assert read_tokens(empty, folder).count() == 0
 
 
+def test_harmonic_bins_keep_their_count():
+    """Every bin of a class holds as many pieces as the class says; what is left fills in order."""
+    from eventloom.llm.packing import harmonic_bins
+
+    bins = harmonic_bins([3000, 2100, 1100, 4096, 300, 9000] * 40)
+    counts = {(len(b), *{n for *_, n in b}) for b in bins if len({n for *_, n in b}) == 1}
+    assert {(1, 4096), (2, 2048), (4, 1024), (8, 512), (16, 256)} >= {c for c in counts if c[0] * c[1] == 4096}
+    assert sum(len(b) == 2 and {n for *_, n in b} == {2048} for b in bins) >= 35
+
+
 def test_harmonic_bins():
     from eventloom.llm.packing import harmonic_bins
 
