@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import read_table
 
 QUERIES: dict = {}
@@ -21,7 +22,7 @@ def op(name: str, sql: str | None = None):
     return add
 
 
-@op("op2_ngram_jaccard_join")
+@op("op2_ngram_jaccard_join", oracles.OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -46,7 +47,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@op("op3_warc")
+@op("op3_warc", oracles.OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -54,7 +55,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@op("op4_chat_format")
+@op("op4_chat_format", oracles.OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_turns
     from .tokens import tokenizer_path
@@ -66,14 +67,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows, path), path)
 
 
-@op("op1_embedding_near_dedup")
+@op("op1_embedding_near_dedup", oracles.OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-@op("op6_substring_dedup")
+@op("op6_substring_dedup", oracles.OP6)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import digests
 
