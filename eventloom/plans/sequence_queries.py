@@ -191,12 +191,19 @@ def clip_windows(spark, d):
     return w.select("session_id", "event_id", "frames", "truncated")
 
 
-@query("grid_sampler")
+@query("grid_sampler", f"""WITH RECURSIVE {STEPS_SQL}, c AS (SELECT *, row_number() OVER ({ORD}) AS rn FROM steps),
+k AS (SELECT session_id, event_id, rn, t + 12.0 AS due, true AS kept FROM c WHERE rn = 1
+  UNION ALL SELECT c.session_id, c.event_id, c.rn, CASE WHEN c.t < k.due - 1e-6 THEN k.due WHEN k.due + 12.0 > c.t THEN k.due + 12.0 ELSE c.t + 12.0 END, c.t >= k.due - 1e-6 FROM k JOIN c ON c.session_id = k.session_id AND c.rn = k.rn + 1)
+SELECT session_id, event_id FROM k WHERE kept""")
 def grid_sampler(spark, d):
     return folds.sampled(steps(spark, d).select("session_id", "event_id", "t"), S, O, "t", 1 / 12).select("session_id", "event_id")
 
 
-@query("print_on_change")
+@query("print_on_change", f"""WITH RECURSIVE {STEPS_SQL}, c AS (SELECT *, row_number() OVER ({ORD}) AS rn FROM steps),
+k AS (SELECT session_id, event_id, rn, t AS last, raw AS state, true AS kept FROM c WHERE rn = 1
+  UNION ALL SELECT session_id, event_id, rn, CASE WHEN new THEN t ELSE last END, CASE WHEN new THEN raw ELSE state END, new
+  FROM (SELECT c.session_id, c.event_id, c.rn, c.t, c.raw, k.last, k.state, c.raw <> k.state OR c.t - k.last >= 48 AS new FROM k JOIN c ON c.session_id = k.session_id AND c.rn = k.rn + 1))
+SELECT session_id, event_id FROM k WHERE kept""")
 def print_on_change(spark, d):
     return folds.emitted_on_change(steps(spark, d).select("session_id", "event_id", "t", "raw"), S, O, "t", "raw", 48.0).select("session_id", "event_id")
 
@@ -219,7 +226,11 @@ def within_first(spark, d):
     return ordered.within_first(steps(spark, d), S, "t", 48.0).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
-@query("closure_runs")
+@query("closure_runs", f"""WITH RECURSIVE {STEPS_SQL}, c AS (SELECT *, row_number() OVER ({ORD}) AS rn, CASE WHEN event_type <> 'error' THEN event_type IN ('view', 'click') END AS closed FROM steps),
+k AS (SELECT session_id, event_id, rn, CASE WHEN closed THEN t END AS began, CASE WHEN closed IS NOT NULL THEN t END AS seen, NULL::DOUBLE AS duration FROM c WHERE rn = 1
+  UNION ALL SELECT session_id, event_id, rn, CASE WHEN closed IS NULL THEN b WHEN closed THEN coalesce(b, t) END, CASE WHEN closed IS NULL THEN seen ELSE t END, CASE WHEN NOT closed THEN t - b END
+  FROM (SELECT c.session_id, c.event_id, c.rn, c.t, c.closed, k.seen, CASE WHEN c.t - k.seen > 30 THEN NULL ELSE k.began END AS b FROM k JOIN c ON c.session_id = k.session_id AND c.rn = k.rn + 1))
+SELECT session_id, event_id, round(duration, 6) AS duration, CASE WHEN duration < 12 THEN 'blink' WHEN duration >= 24 THEN 'long' ELSE 'intermediate' END AS kind FROM k WHERE duration IS NOT NULL""")
 def closure_runs(spark, d):
     s = steps(spark, d).withColumn("closed", F.when(F.col("event_type") == "error", None).otherwise(F.col("event_type").isin("view", "click")))
     return folds.closures(s.select("session_id", "event_id", "t", "closed"), S, O, "t", "closed", 30.0, 12.0, 24.0).select("session_id", "event_id", F.round("duration", 6).alias("duration"), "kind")
