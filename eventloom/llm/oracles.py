@@ -41,3 +41,14 @@ gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, (SELECT unnest(range(13))
 word AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc),
 kept AS (SELECT word.doc_id, string_agg(w[word.i], ' ' ORDER BY word.i) AS s, count(*) AS n FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i WHERE gone.i IS NULL GROUP BY 1)
 SELECT doc.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (doc_id)"""
+
+OP9 = f"""WITH item AS (SELECT item_id, {_WORDS.format("lower(text)")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL), doc AS (SELECT DISTINCT doc_id, {_WORDS.format("lower(text)")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+ish AS (SELECT item_id, len(w) AS len, greatest(1, len(w) - 4) AS m, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM item WHERE len(w) > 0),
+bag AS (SELECT item_id, len, m, s, count(*) AS c FROM ish GROUP BY ALL),
+dsh AS (SELECT doc_id, n, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, len(w) AS n, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM doc WHERE len(w) > 0)),
+hit AS (SELECT doc_id, item_id, n, len, m, pos, s, c, greatest(1, least(len, n) - 4) AS size FROM dsh JOIN bag USING (s)),
+win AS (SELECT DISTINCT doc_id, item_id, unnest(range(greatest(0, pos - size + 1), least(pos, greatest(0, n - len)) + 1)) AS start FROM hit),
+part AS (SELECT doc_id, item_id, start, len, m, size, least(count(*), any_value(c)) AS k FROM win JOIN hit USING (doc_id, item_id) WHERE pos BETWEEN start AND start + size - 1 GROUP BY doc_id, item_id, start, len, m, size, s),
+same AS (SELECT doc_id, item_id, start, len, m, size, sum(k) AS same FROM part GROUP BY ALL),
+ok AS (SELECT *, same / (m + size - same) AS similarity FROM same WHERE 100 * same >= 80 * (m + size - same))
+SELECT doc_id, item_id, start::INTEGER AS start, len::INTEGER AS n_words, similarity::DOUBLE AS similarity FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""

@@ -81,11 +81,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), window=13)
 
 
-@op("op9_decontamination")
+@op("op9_decontamination", oracles.OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
-    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=5, num=80, den=100)
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=5, num=80, den=100).drop("distance")
 
 
 @op("op8_toxicity")
