@@ -27,19 +27,36 @@ def with_shape(df: DataFrame) -> DataFrame:
     return df.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "box_w": F.col("x2") - F.col("x1"), "box_h": F.col("y2") - F.col("y1")}).withColumn("area", F.col("box_w") * F.col("box_h"))
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, frame: list[str], a_id: str, b_id: str, same: float, switch: float) -> DataFrame:
-    """Pairs of one frame that may match: overlap at least ``same`` within a class, ``switch`` across classes."""
-    left = a.select(*frame, F.col(a_id).alias("a_id"), F.col("class_name").alias("ac"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    right = b.select(*frame, F.col(b_id).alias("b_id"), F.col("class_name").alias("bc"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    j = left.join(right, frame).withColumn("iou", iou([f"a_{c}" for c in BOX], [f"b_{c}" for c in BOX])).withColumn("same_class", F.col("ac") == F.col("bc"))
+def meeting(a: DataFrame, b: DataFrame, frame: list[str], pitch: float) -> DataFrame:
+    """Rows a_*, b_* of boxes of one frame that lie over a common cell of a grid: every pair that overlaps, once.
+
+    A frame of many boxes never meets in all its pairs, only those of a cell; a
+    pair counts in the cell that holds the near corner of its common part.
+    """
+    cell = lambda c: F.floor(F.col(c) / pitch)
+
+    def dealt(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_gx", F.explode(F.sequence(cell("x1"), cell("x2"))))
+        return d.withColumn("_gy", F.explode(F.sequence(cell("y1"), cell("y2"))))
+
+    side = lambda d, s: dealt(d).select(*frame, "_gx", "_gy", *[F.col(c).alias(f"{s}_{c}") for c in d.columns if c not in frame])
+    j = side(a, "a").join(side(b, "b"), [*frame, "_gx", "_gy"])
+    corner = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / pitch)
+    return j.filter((F.col("_gx") == corner("x1")) & (F.col("_gy") == corner("y1"))).drop("_gx", "_gy")
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, frame: list[str], a_id: str, b_id: str, same: float, switch: float, pitch: float = 256.0) -> DataFrame:
+    """Pairs of one frame that may match: overlap at least ``same`` (above 0) within a class, ``switch`` across classes."""
+    left = a.select(*frame, F.col(a_id).alias("id"), F.col("class_name").alias("class"), *BOX)
+    right = b.select(*frame, F.col(b_id).alias("id"), F.col("class_name").alias("class"), *BOX)
+    j = meeting(left, right, frame, pitch).withColumn("iou", iou([f"a_{c}" for c in BOX], [f"b_{c}" for c in BOX])).withColumn("same_class", F.col("a_class") == F.col("b_class"))
     return j.filter(F.col("iou") >= F.when(F.col("same_class"), same).otherwise(switch) - EPS).select(*frame, "a_id", "b_id", "same_class", "iou")
 
 
-def duplicate_pairs(df: DataFrame, frame: list[str], box_id: str, threshold: float = 0.7) -> DataFrame:
-    """Pairs (smaller id first) of one frame that overlap by at least ``threshold``."""
-    a = df.select(*frame, F.col(box_id).alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    b = df.select(*frame, F.col(box_id).alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    j = a.join(b, frame).filter("a_id < b_id").withColumn("iou", iou([f"a_{c}" for c in BOX], [f"b_{c}" for c in BOX]))
+def duplicate_pairs(df: DataFrame, frame: list[str], box_id: str, threshold: float = 0.7, pitch: float = 256.0) -> DataFrame:
+    """Pairs (smaller id first) of one frame that overlap by at least ``threshold`` (above 0)."""
+    d = df.select(*frame, F.col(box_id).alias("id"), *BOX)
+    j = meeting(d, d, frame, pitch).filter("a_id < b_id").withColumn("iou", iou([f"a_{c}" for c in BOX], [f"b_{c}" for c in BOX]))
     return j.filter(F.col("iou") >= threshold).select(*frame, "a_id", "b_id", "iou")
 
 

@@ -34,9 +34,9 @@ def most_common(spark, d):
     return stats.counted(table(spark, d, "events"), F.col("event_type"), "event_id")
 
 
-@query("zero_filled_levels", f"""WITH {STEPS_SQL} SELECT count(*) FILTER (raw = 0) AS safe, count(*) FILTER (raw = 1) AS caution, count(*) FILTER (raw = 2) AS high, count(*) FILTER (raw = 3) AS critical, 0 AS no_level FROM steps WHERE event_type = 'view' AND value < 60""")
+@query("zero_filled_levels", f"""WITH {STEPS_SQL} SELECT count(*) FILTER (raw = 0) AS safe, count(*) FILTER (raw = 1) AS caution, 0 AS high, count(*) FILTER (raw = 3) AS critical, count(*) FILTER (raw = 2) AS no_level FROM steps""")
 def zero_filled_levels(spark, d):
-    return stats.by_level(steps(spark, d).filter("event_type = 'view' and value < 60").withColumn("risk_level", level_name("raw")))
+    return stats.by_level(steps(spark, d).withColumn("risk_level", F.when(F.col("raw") != 2, level_name("raw"))))
 
 
 @query("event_overview", f"""WITH {FULL_SQL}
@@ -167,9 +167,9 @@ def overlap_pairs(spark, d):
     return p.withColumn("iou", F.round("iou", 9))
 
 
-@query("duplicate_boxes", f"""WITH {STEPS_SQL}, {BOXES_SQL}, j AS (SELECT a.class_name, a.event_id AS a_id, b.event_id AS b_id, {IOU_SQL} FROM boxes a JOIN boxes b ON a.class_name = b.class_name AND a.frame = b.frame AND a.event_id < b.event_id WHERE a.frame < 3 AND b.frame < 3) SELECT a_id, b_id, round(inter / (areas - inter), 9) AS iou FROM j WHERE inter / (areas - inter) >= 0.5""")
+@query("duplicate_boxes", f"""WITH {STEPS_SQL}, {BOXES_SQL}, j AS (SELECT a.class_name, a.event_id AS a_id, b.event_id AS b_id, {IOU_SQL} FROM boxes a JOIN boxes b ON a.session_id = b.session_id AND a.frame = b.frame AND a.event_id < b.event_id) SELECT a_id, b_id, round(inter / (areas - inter), 9) AS iou FROM j WHERE inter / (areas - inter) >= 0.5""")
 def duplicate_boxes(spark, d):
-    p = geometry.duplicate_pairs(boxes(spark, d).filter("frame < 3"), ["class_name", "frame"], "event_id", 0.5)
+    p = geometry.duplicate_pairs(boxes(spark, d), ["session_id", "frame"], "event_id", 0.5)
     return p.select("a_id", "b_id", F.round("iou", 9).alias("iou"))
 
 
@@ -269,21 +269,22 @@ def threshold_analysis(spark, d):
     return mleval.threshold_analysis(c, "conf", "ok", [0.2, 0.5, 0.9]).select("threshold", "unknown", F.round("coverage", 9).alias("coverage"), F.round("accuracy", 9).alias("accuracy"))
 
 
-@query("class_prediction", """WITH p AS (SELECT vec_id, [abs(embedding[1]::DOUBLE), abs(embedding[2]::DOUBLE), abs(embedding[3]::DOUBLE)] AS p FROM embeddings), s AS (SELECT vec_id, list_transform(p, lambda x: x / (p[1] + p[2] + p[3])) AS s FROM p)
-SELECT vec_id, CASE WHEN list_max(s) >= 0.6 THEN ['a', 'b', 'c'][list_position(s, list_max(s))] ELSE 'UNKNOWN' END AS label, round(list_max(s), 9) AS confidence FROM s""")
+@query("class_prediction", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS p FROM embeddings), s AS (SELECT vec_id, list_transform(p, lambda x: x / list_sum(p)) AS s FROM p)
+SELECT vec_id, CASE WHEN list_max(s) >= 0.05 THEN 'c' || list_position(s, list_max(s)) ELSE 'UNKNOWN' END AS label, round(list_max(s), 9) AS confidence FROM s""")
 def class_prediction(spark, d):
-    p = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double"))).alias("p"))
-    name, top = mleval.predict("p", ["a", "b", "c"], 0.6)
+    p = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("p"))
+    name, top = mleval.predict("p", [f"c{i + 1}" for i in range(DIM)], 0.05)
     return p.select("vec_id", name.alias("label"), F.round(top, 9).alias("confidence"))
 
 
-CENTRES = [[0.1 * ((i * 7 + j) % 5 - 2) for j in range(8)] for i in range(4)]
+DIM = 64
+CENTRES = [[0.1 * ((i * 7 + j) % 5 - 2) for j in range(DIM)] for i in range(4)]
 
 
-@query("kmeans_assign", "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {c}::DOUBLE[])" for i, c in enumerate(CENTRES)) + """) t(i, c)), d AS (SELECT vec_id, i, list_sum(list_transform(range(1, 9), lambda k: (embedding[k]::DOUBLE - c[k]) * (embedding[k]::DOUBLE - c[k]))) AS dist FROM embeddings, c),
+@query("kmeans_assign", "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {c}::DOUBLE[])" for i, c in enumerate(CENTRES)) + f""") t(i, c)), d AS (SELECT vec_id, i, list_sum(list_transform(range(1, {DIM + 1}), lambda k: (embedding[k]::DOUBLE - c[k]) * (embedding[k]::DOUBLE - c[k]))) AS dist FROM embeddings, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, i) AS k FROM d) SELECT vec_id, i AS cluster, round(dist, 6) AS distance FROM r WHERE k = 1""")
 def kmeans_assign(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return mleval.assigned(v, "v", CENTRES).select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
