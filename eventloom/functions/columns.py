@@ -85,3 +85,14 @@ def clock(t) -> Column:
     """Seconds as mm:ss.s."""
     t = F.round(col(t), 1)
     return F.format_string("%02d:%04.1f", F.floor(t / 60).cast("int"), t - F.floor(t / 60) * 60)
+
+
+def frame_at(fraction, n) -> Column:
+    """Index of the frame at a fraction of n frames: half-even rounding, within the film; null without frames."""
+    n = col(n)
+    return F.when(n > 0, F.greatest(F.lit(0), F.least(n - 1, F.rint(col(fraction) * (n - 1)).cast("long"))))
+
+
+def iso_after(base: str, seconds) -> Column:
+    """Base time plus seconds, in ISO form to the microsecond."""
+    return F.date_format(F.timestamp_micros(F.unix_micros(F.to_timestamp(F.lit(base))) + F.round(col(seconds) * 1e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

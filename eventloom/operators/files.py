@@ -80,3 +80,9 @@ def with_expected(counts: DataFrame, expected: DataFrame, keys: list[str]) -> Da
 def issues(row: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Names of the threshold rules that a table of totals breaks."""
     return row.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("issue"))
+
+
+def layout_of(found: DataFrame, layouts: DataFrame, default: str) -> DataFrame:
+    """The known layout (layout, camera, label, place) that shares most distinct folders with those found; of equal ones the first, without any the default."""
+    shared = layouts.join(found.select("camera", "label").distinct(), ["camera", "label"], "left_semi").groupBy("layout", "place").agg(F.countDistinct("camera", "label").alias("score"))
+    return shared.agg(F.coalesce(F.max_by("layout", F.struct("score", -F.col("place"))), F.lit(default)).alias("layout"), F.coalesce(F.max("score"), F.lit(0)).alias("score"))

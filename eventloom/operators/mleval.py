@@ -73,3 +73,17 @@ def luma(pixels: str) -> tuple[Column, Column]:
     n = F.size(pixels)
     mean = F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x) / n
     return mean, F.sqrt(F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x * x) / n - mean * mean)
+
+
+def early_stopped(epochs: DataFrame, keys: list[str], order: str, score: str, loss: str, patience: int) -> DataFrame:
+    """Epochs up to the early stop, with ``is_best`` and ``since_best``: a higher score is better, of equal ones the lower loss.
+
+    Training ends with the epoch that is the ``patience``-th in a row without a better one; 0 never ends it.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max(F.struct(F.col(score), -F.col(loss))).over(before)
+    d = epochs.withColumn("is_best", F.coalesce(F.struct(F.col(score), -F.col(loss)) > best, F.lit(True))).withColumn("_i", F.row_number().over(w))
+    d = d.withColumn("since_best", F.col("_i") - F.max(F.when(F.col("is_best"), F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ended = F.max(F.col("since_best") >= patience).over(before)
+    return (d if patience <= 0 else d.withColumn("_ended", F.coalesce(ended, F.lit(False))).filter("not _ended").drop("_ended")).drop("_i")
