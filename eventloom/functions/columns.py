@@ -23,6 +23,12 @@ def or_else(c, label: str = "not recorded") -> Column:
     return F.coalesce(F.nullif(col(c).cast("string"), F.lit("")), F.lit(label))
 
 
+def fixed(c, digits: int, sign: str = "") -> Column:
+    """A number with ``digits`` places, ties to even as the shortest decimal text has them; null stays null."""
+    c = F.bround(col(c).cast("double"), digits)
+    return F.when(c.isNotNull(), F.format_string(f"%{sign}.{digits}f", c))
+
+
 def rank(level) -> Column:
     """0 for SAFE .. 3 for CRITICAL; null for anything else."""
     at = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), col(level))

@@ -108,11 +108,25 @@ def time_bins(e: DataFrame, t: str, width: float = 2.0, kind: str = "event_type"
     return e.filter(F.col(t).isNotNull()).groupBy(lo.cast("double").alias("lo"), kind).agg(F.count("*").alias("n")).withColumn("hi", F.col("lo") + width)
 
 
-#: Recommendation keys by hazard, and those that only inform.
+#: Recommendation keys by hazard, their texts, and those that only inform.
 HAZARD_ADVICE = {
     "PEDESTRIAN_CONFLICT": "pedestrian", "APPROACHING_VEHICLE": "vehicle", "ANIMAL_HAZARD": "animal", "DRIVER_DROWSINESS": "drowsiness", "HANDS_OFF_WHEEL": "hands_off", "DRIVER_HEAD_AWAY": "head_away",
     "COMBINED_DRIVER_HAZARD": "combined", "ROAD_USER_PRESENT": "road_user_present",
 }
+ADVICE = {
+    "pedestrian": "Review pedestrian interaction and maintain additional visual attention in similar situations.",
+    "vehicle": "Review following/approach context and maintain additional observation of closing traffic.",
+    "animal": "Review the animal's position relative to the road and maintain additional attention and readiness to slow in similar situations.",
+    "drowsiness": "Treat prolonged eye closure as a driver-attention warning; review rest/alertness before continued driving.",
+    "hands_off": "Review the driving segment and maintain both hands on the steering wheel when appropriate.",
+    "head_away": "Review the segment for sustained looking away from the road and keep attention on the road ahead.",
+    "combined": "Review both the driver state and the road situation in this segment; the combination was rated higher than either alone.",
+    "road_user_present": "Informational: a road user was present without approach/conflict evidence; no specific action beyond normal observation.",
+    "hand_info": "Informational: hand-position change recorded; no action implied on its own.",
+    "drowsiness_info": "Informational: drowsiness level decreased to a non-elevated state; continue normal monitoring.",
+    "deescalation": "Informational: risk level decreased; no additional action.",
+    "none": "No specific action: no hazard recorded for this event.",
+}
 INFORMATIONAL = ("road_user_present", "hand_info", "drowsiness_info", "deescalation", "none")
 
 
@@ -126,6 +140,10 @@ def recommendation() -> Column:
     return F.when(F.col("event_type") == "DRIVER_STATE_CHANGE", change).when(F.col("event_type") == FALLING, "deescalation").otherwise(F.coalesce(F.try_element_at(table, F.coalesce("hazard_type", F.lit(""))), F.lit("none")))
 
 
+def advice_text(key) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv]), key)
+
+
 def aggregate_recommendations(e: DataFrame) -> DataFrame:
     g = e.groupBy(recommendation().alias("key")).agg(F.count("*").alias("events")).withColumn("informational", F.col("key").isin(*INFORMATIONAL))
     return g.orderBy("informational", F.desc("events"), "key")
