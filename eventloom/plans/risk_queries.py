@@ -63,8 +63,8 @@ SELECT session_id, frame, round(score, 9) AS raw_score, CASE WHEN r1 >= 2 AND gr
   CASE WHEN nd > 0 AND rq THEN 'COMBINED_DRIVER_HAZARD' WHEN rq THEN hazard_type WHEN nd > 0 THEN CASE WHEN d1 > 0 THEN 'DRIVER_DROWSINESS' WHEN d2 > 0 THEN 'HANDS_OFF_WHEEL' ELSE 'DRIVER_HEAD_AWAY' END WHEN pp >= 20 THEN 'ROAD_USER_PRESENT' ELSE 'NONE' END AS hazard FROM g"""
 
 
-@query("risk_assessment", ASSESS_SQL)
-def risk_assessment(spark, d):
+def assessed(spark, d):
+    """Every frame's assessment, the driver's state made up of session and frame."""
     t = tracks(spark, d)
     p = risk.frame_hazards(risk.track_hazards(t), ["session_id", "frame"])
     n = F.col("session_id") + F.col("frame")
@@ -74,8 +74,12 @@ def risk_assessment(spark, d):
             "head_away_seconds": (F.col("session_id") * 3 + F.col("frame")) % 4 / F.lit(2.0), "driver_age": F.when(n % 3 != 2, 0.2).otherwise(5.0), "observation_quality": F.lit(0.75),
         }
     )
-    a = risk.assess(f)
-    return a.select("session_id", "frame", F.round("raw_score", 9).alias("raw_score"), "raw_rank", F.round("road_points", 9).alias("road_points"), "driver_points", "hazard")
+    return risk.assess(f)
+
+
+@query("risk_assessment", ASSESS_SQL)
+def risk_assessment(spark, d):
+    return assessed(spark, d).select("session_id", "frame", F.round("raw_score", 9).alias("raw_score"), "raw_rank", F.round("road_points", 9).alias("road_points"), "driver_points", "hazard")
 
 
 @query("drowsiness", f"""WITH {STEPS_SQL}, f AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 50) / 100.0::DOUBLE END AS ratio, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 30) / 10.0::DOUBLE END AS closed, event_id % 5 AS longs, (event_id % 20) / 1.0::DOUBLE AS obs FROM steps),
