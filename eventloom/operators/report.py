@@ -15,7 +15,7 @@ from eventloom.config import LEVELS
 from eventloom.functions.columns import fixed, or_else
 from eventloom.operators.ordered import elevated_episodes
 from eventloom.operators.stats import advice_text, aggregate_recommendations, by_level, describe_patterns, event_overview, find_patterns, five_stats, is_significant, long_counts, real_positions, recommendation, summary_text, time_bins, tri_state
-from eventloom.sources.writers import markdown_table
+from eventloom.sources.writers import markdown_table, write_text
 
 #: What stands for a missing path, and the label of a persistent hazard's reason.
 NO_EVIDENCE = "none recorded"
@@ -117,10 +117,9 @@ def write_report(e: DataFrame, folder: str, prefix: str = "") -> dict[str, str]:
     stats = statistics(e)
     stats.coalesce(1).write.mode("overwrite").option("header", True).csv(paths["statistics_csv"])
     figures = spark.read.schema(stats.schema).option("header", True).csv(paths["statistics_csv"])
-    text = lambda v, p: spark.createDataFrame([(v,)], "value string").coalesce(1).write.mode("overwrite").text(p)
-    text(render(e, figures), paths["summary_md"])
+    write_text(spark, render(e, figures), paths["summary_md"])
     values = [r.asDict() for r in figures.orderBy("category", "key").collect()]
-    text(json.dumps({"statistics": values, "patterns": [r.asDict() for r in find_patterns(e).collect()], "recommendations": [r.asDict() for r in aggregate_recommendations(e).collect()], "note": NOTE}), paths["summary_json"])
+    write_text(spark, json.dumps({"statistics": values, "patterns": [r.asDict() for r in find_patterns(e).collect()], "recommendations": [r.asDict() for r in aggregate_recommendations(e).collect()], "note": NOTE}), paths["summary_json"])
     entries = event_entries(e.filter(is_significant()), prefix)
     entries.write.mode("overwrite").option("ignoreNullFields", False).json(paths["entries_json"])
     entry_lines(entries).write.mode("overwrite").text(paths["entries_md"])

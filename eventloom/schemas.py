@@ -90,6 +90,132 @@ ALLOWED = {
 REAL_SOURCES = ("LOCAL_REAL", "PUBLIC")
 
 
+#: name, type, nullable — fixed values: names and order of the synthetic table; "=" takes type (and nullability) of the event table.
+_SIM_TABLE = """
+schema_version string -
+event_id = =
+synthetic_id string -
+run_id = =
+session_id = =
+scenario_name string -
+scenario_variant bigint -
+scenario_description string -
+synthetic_generation_reason string -
+parent_real_event_id string ?
+parent_real_driver_event_id string ?
+parent_real_run_id string ?
+data_source = =
+observation_type string -
+camera = =
+timestamp = =
+timestamp_source string -
+synthetic_datetime string -
+frame_index = -
+gps_lat = -
+gps_lon = -
+gps_source = =
+location_source string -
+driver_hand_state = =
+driver_hand_confidence = =
+face_status = =
+head_yaw double ?
+head_pitch double ?
+eye_closure_ratio double ?
+eye_closed_duration double ?
+drowsiness_score = =
+drowsiness_level = =
+driver_activity = =
+distraction_duration double ?
+manual_state_duration double ?
+head_away_duration double -
+image_width = -
+image_height = -
+hazard_class = =
+hazard_confidence = =
+center_x = =
+center_y = =
+bbox_width = =
+bbox_height = =
+bbox_area = =
+primary_track_id = =
+hazard_track_class = =
+track_persistence_seconds = =
+box_growth_per_second = =
+lateral_toward_center_fw_per_s = =
+trajectory_overlap = =
+hazard_persistence = =
+risk_level = =
+raw_risk_level string ?
+raw_risk_score = =
+smoothed_risk_score = =
+risk_score double ?
+hazard_type = =
+risk_reason = =
+risk_factors = =
+risk_gates = =
+evidence_quality = =
+alarm_recommended = =
+alarm_triggered = =
+event_type string ?
+transition = =
+events_emitted string -
+expected_behavior string -
+expected_peak_levels string -
+actual_risk_level string ?
+instance_peak_risk_level string -
+expectation_met boolean -
+notes = -
+"""
+
+
+def derived_schema(table: str, base: StructType = EVENT_SCHEMA) -> StructType:
+    """A schema of lines "name type nullable"; "=" inherits that part from the base's field of the name."""
+
+    def field(name: str, kind: str, null: str) -> StructField:
+        old = base[name] if "=" in (kind, null) else None
+        return StructField(name, old.dataType if kind == "=" else _TYPES[kind], old.nullable if null == "=" else null == "?", {"inherited": old is not None})
+
+    return StructType([field(*x.split()) for x in table.strip().splitlines()])
+
+
+SIM_SCHEMA = derived_schema(_SIM_TABLE)
+SIM_JSON_COLUMNS = ("risk_factors", "risk_gates", "notes", "events_emitted", "expected_peak_levels")
+#: Allowed values of the synthetic table, its name for the location's origin, the form of a real event's id, and other names of columns.
+SIM_ALLOWED = {"camera": ("front+driver",), "event_type": ALLOWED["event_type"], **{c: LEVELS for c in ("risk_level", "raw_risk_level", "actual_risk_level", "instance_peak_risk_level")}}
+LOCATION_SOURCE = "SYNTHETIC_REFERENCE"
+REAL_ID = r"^event_\d{6,}$"
+OTHER_NAMES = {"object_id": "primary_track_id", "approach_rate": "box_growth_per_second"}
+
+
+def resolved(name: str) -> str:
+    """The column that a requested name stands for."""
+    return OTHER_NAMES.get(name, name)
+
+
+def sim_rules() -> dict[str, Column]:
+    """Cross-field rules of the synthetic table: name -> condition under which a row breaks it; a null breaks none of them but its own."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    parents = [F.col("parent_real_event_id"), F.col("parent_real_driver_event_id")]
+    named = parents[0].isNotNull() | parents[1].isNotNull()
+    return {
+        **{f"{c}: not synthetic": no(F.col(c) != "SYNTHETIC") for c in ("data_source", "observation_type", "timestamp_source", "gps_source")},
+        "location source": no(F.col("location_source") != LOCATION_SOURCE),
+        "gps range": no((F.abs("gps_lat") > 90) | (F.abs("gps_lon") > 180)),
+        "looks real": no(F.col("event_id").rlike(REAL_ID)),
+        "parent id": no(~parents[0].rlike(REAL_ID)) | no(~parents[1].rlike(REAL_ID)),
+        "parent run": named & F.col("parent_real_run_id").isNull(),
+        "alarm triggered": no(F.col("alarm_triggered")),
+        "actual level": ~F.col("actual_risk_level").eqNullSafe(F.col("risk_level")),
+        "overlap": no((F.col("trajectory_overlap") < 0) | (F.col("trajectory_overlap") > 1)),
+    }
+
+
+def sim_validated(df: DataFrame) -> DataFrame:
+    """Adds ``problems`` to a synthetic table: the cross-field rules count only where every field is well formed."""
+    fields = problems(field_checks(SIM_SCHEMA, SIM_ALLOWED, SIM_JSON_COLUMNS))
+    return df.withColumn("problems", fields).withColumn("problems", F.when(F.size("problems") > 0, F.col("problems")).otherwise(problems(sim_rules())))
+
+
 def schema_diff(df: DataFrame, schema: StructType = EVENT_SCHEMA) -> tuple[list[str], list[str], list[str]]:
     """(missing, unknown, wrongly typed) fields of a table, on the driver."""
     have, want = {f.name: f.dataType for f in df.schema}, {f.name: f.dataType for f in schema}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eventloom.schemas import EVENT_SCHEMA, REAL_SOURCES, VERSION, field_checks, event_rules, problems, schema_diff
+from eventloom.schemas import EVENT_SCHEMA, REAL_SOURCES, SIM_SCHEMA, VERSION, event_rules, field_checks, problems, schema_diff, sim_validated
 from eventloom.sources.readers import _hadoop_exists
 
 
@@ -42,11 +42,49 @@ def finalise(spark: SparkSession, jsonl: str, parquet: str) -> None:
 
 def write_synthetic(df: DataFrame, path: str, real_root: str) -> None:
     """Synthetic rows only, and never inside the real tables' folder."""
+    _guard(df, path, real_root)
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_synthetic_table(df: DataFrame, path: str, real_root: str, manifest: dict | None = None) -> dict[str, str]:
+    """A full synthetic table: JSON lines, Parquet, schema document and manifest; a stale copy is replaced.
+
+    Takes rows of ``SIM_SCHEMA`` that break no rule; all or nothing.
+    """
+    _guard(df, path, real_root)
+    if any(diff := schema_diff(df, SIM_SCHEMA)):
+        raise Rejected(f"missing, unknown, wrong type: {diff}")
+    bad = sim_validated(df).filter(F.size("problems") > 0).select("event_id", "problems").limit(5).collect()
+    if bad:
+        raise Rejected(str([(r["event_id"], r["problems"]) for r in bad]))
+    spark, paths = df.sparkSession, {k: f"{path.rstrip('/')}/{k}" for k in ("jsonl", "parquet", "schema", "manifest")}
+    df.select(*SIM_SCHEMA.names).write.mode("overwrite").option("ignoreNullFields", False).json(paths["jsonl"])
+    back = spark.read.schema(SIM_SCHEMA).json(paths["jsonl"])
+    back.write.mode("overwrite").parquet(paths["parquet"])
+    write_text(spark, schema_document(SIM_SCHEMA), paths["schema"])
+    write_text(spark, json.dumps({"schema_version": VERSION, "rows": back.count(), **(manifest or {})}), paths["manifest"])
+    return paths
+
+
+def _guard(df: DataFrame, path: str, real_root: str) -> None:
     if (path.rstrip("/") + "/").startswith(real_root.rstrip("/") + "/"):
         raise Rejected("synthetic rows do not go under the real root")
-    if df.filter(~F.col("data_source").startswith("SYNTHETIC")).limit(1).count():
+    if df.filter(~F.coalesce(F.col("data_source").startswith("SYNTHETIC"), F.lit(False))).limit(1).count():
         raise Rejected("real rows do not go into a synthetic table")
-    df.write.mode("overwrite").parquet(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small text as one file, by Spark's own file system."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_session(alerts: DataFrame, timeline: DataFrame, summary: dict, folder: str) -> dict[str, str]:
+    """The outcome of a session: alerts as JSON lines, the timeline as CSV (nulls empty), the summary as JSON."""
+    paths = {k: f"{folder.rstrip('/')}/{k}" for k in ("alerts", "timeline", "summary")}
+    alerts.write.mode("overwrite").option("ignoreNullFields", False).json(paths["alerts"])
+    timeline.write.mode("overwrite").option("header", True).csv(paths["timeline"])
+    write_text(alerts.sparkSession, json.dumps(summary), paths["summary"])
+    return paths
 
 
 def schema_document(schema: StructType = EVENT_SCHEMA) -> str:
