@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.ordered import placed
+
 #: Suffixes by kind.
 IMAGE, VIDEO, TEXT = (".jpg", ".jpeg", ".png", ".bmp", ".webp"), (".mp4", ".avi", ".mov", ".mkv"), (".json", ".jsonl", ".csv", ".txt", ".md")
 
@@ -32,11 +34,15 @@ def content_groups(df: DataFrame, path: str, size: str, content: str) -> DataFra
 
 
 def conflict_aware(df: DataFrame, key: str, label: str, name: str) -> DataFrame:
-    """Of equal contents under one label the shortest name stays; under several labels none does.  Adds ``verdict``."""
-    w = Window.partitionBy(key)
-    n = F.row_number().over(w.orderBy(F.length(F.col(name).cast("string")), name))
-    labels = F.size(F.collect_set(label).over(w))
-    return df.withColumn("verdict", F.when(labels > 1, "conflict").when(n == 1, "kept").otherwise("duplicate"))
+    """Of equal contents under one label the shortest name stays; under several labels none does.  Adds ``verdict``.
+
+    A content's labels and shortest name are aggregates, joined back; of rows that share content and name the first stays.
+    """
+    length = F.length(F.col(name).cast("string"))
+    g = df.groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_a"), F.max(label).alias("_z"), F.min(F.struct(length.alias("l"), F.col(name).alias("n"))).alias("_best"))
+    d = df.withColumn("_n", F.row_number().over(Window.partitionBy(key, name).orderBy(name))).join(g, F.col(key).eqNullSafe(F.col("_k")))
+    first = (F.col("_n") == 1) & F.col(name).eqNullSafe(F.col("_best.n"))
+    return d.withColumn("verdict", F.when(F.col("_a") != F.col("_z"), "conflict").when(first, "kept").otherwise("duplicate")).drop("_k", "_a", "_z", "_best", "_n")
 
 
 def apportioned(counts: DataFrame, key: str, n: str, ratios: dict[str, float]) -> DataFrame:
@@ -58,12 +64,12 @@ def apportioned(counts: DataFrame, key: str, n: str, ratios: dict[str, float]) -
 
 
 def stratified_split(df: DataFrame, stratum: str, item: str, ratios: dict[str, float], seed: str) -> DataFrame:
-    """Assign rows of each stratum by hash order, in the apportioned sizes."""
+    """Assign rows of each stratum by hash order, in the apportioned sizes; a stratum is placed by the hash's first digits."""
     sizes = apportioned(df.groupBy(stratum).agg(F.count("*").alias("_n")), stratum, "_n", ratios)
     w = Window.partitionBy(stratum).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     cuts = sizes.withColumn("hi", F.sum("size").over(w)).withColumn("lo", F.col("hi") - F.col("size")).select(F.col(stratum).alias("_s"), "split", "lo", "hi")
     key = F.sha2(F.concat(F.lit(seed), F.col(item).cast("string")), 256)
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(key, item)))
+    ranked = placed(df.withColumn("_h", key).withColumn("_d", F.substring("_h", 1, 3)), [stratum], ["_h", item], "_d").drop("_h", "_n")
     return ranked.join(cuts, (F.col(stratum).eqNullSafe(F.col("_s"))) & (F.col("_r") > F.col("lo")) & (F.col("_r") <= F.col("hi"))).drop("_s", "_r", "lo", "hi")
 
 

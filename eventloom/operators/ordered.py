@@ -6,6 +6,9 @@ one sort serve a whole chain.  Ties are broken by the columns in ``order``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +163,19 @@ def rising_edges(df: DataFrame, keys: list[str], order: list, flag: str) -> Data
 def within_first(df: DataFrame, keys: list[str], t: str, seconds: float) -> DataFrame:
     """Rows of the first ``seconds`` of each group."""
     return df.withColumn("_t0", F.min(t).over(Window.partitionBy(*keys))).filter(F.col(t) - F.col("_t0") <= seconds).drop("_t0")
+
+
+def placed(df: DataFrame, keys: list[str], order: list, bucket: str) -> DataFrame:
+    """Adds ``_r``, the 1-based place of a row in its group, and ``_n``, the group's size.
+
+    ``bucket`` rises with ``order``: a bucket of a group is sorted in one task, the
+    places before it come from the buckets' counts, so no whole group has to.
+    """
+    own = [*keys, bucket]
+    sizes = df.groupBy(*own).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_c").over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    o = sizes.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(own)], before.alias("_o"), F.sum("_c").over(w).alias("_n"))
+    inner = F.row_number().over(Window.partitionBy(*own).orderBy(*order))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(own)])
+    return df.withColumn("_i", inner).join(o, same).withColumn("_r", F.col("_i") + F.col("_o")).drop("_i", "_o", bucket, *[f"_p{i}" for i in range(len(own))])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from eventloom.config import LEVELS
 from eventloom.functions.columns import fixed, or_else
 from eventloom.operators.ordered import elevated_episodes
-from eventloom.operators.stats import advice_text, aggregate_recommendations, by_level, describe_patterns, event_overview, find_patterns, five_stats, is_significant, long_counts, real_positions, recommendation, summary_text, time_bins, tri_state
+from eventloom.operators.stats import advice_text, aggregate_recommendations, by_level, describe_patterns, event_overview, find_patterns, five_by, is_significant, long_counts, real_positions, recommendation, summary_text, time_bins, tri_state
 from eventloom.sources.writers import markdown_table, write_text
 
 #: What stands for a missing path, and the label of a persistent hazard's reason.
@@ -67,6 +67,13 @@ def _numbers(row: DataFrame, category: str) -> DataFrame:
     return row.select(F.lit(category).alias("category"), F.inline(pairs)).filter("value is not null")
 
 
+def _figures(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(category, key, value) of the five figures of columns."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("category"), F.col(c).cast("double").alias("x")) for k, c in columns.items()])
+    f = five_by(df.select(F.inline(pairs)), ["category"], "x")
+    return f.select("category", F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in ("n", "mean", "median", "max", "min")])))
+
+
 def statistics(e: DataFrame, scope: str = "REAL") -> DataFrame:
     """(scope, category, key, value): every count and figure of the report in long form."""
     sessions = F.countDistinct(F.struct(F.coalesce("run_id", F.lit("None")), F.coalesce(F.col("session_id").cast("string"), F.lit("None"))))
@@ -82,8 +89,8 @@ def statistics(e: DataFrame, scope: str = "REAL") -> DataFrame:
     parts = [
         _numbers(total, "total"), counts, _numbers(lv.select(*[F.col(x.lower()).alias(x) for x in LEVELS]), "events_by_risk_level"),
         _numbers(e.agg(F.count_if(F.col("event_type") == "PERSISTENT_HAZARD").alias("count")), "persistent_hazards"),
-        *[_numbers(e.agg(five_stats(c).alias("s")).select("s.*"), c) for c in ("smoothed_risk_score", "raw_risk_score")],
-        _numbers(spans, "elevated_risk_episodes"), _numbers(ep.filter(closed).agg(five_stats("duration_seconds").alias("s")).select("s.*"), "elevated_risk_episode_seconds"),
+        _figures(e, {c: c for c in ("smoothed_risk_score", "raw_risk_score")}),
+        _numbers(spans, "elevated_risk_episodes"), _figures(ep.filter(closed), {"elevated_risk_episode_seconds": "duration_seconds"}),
         find_patterns(e).select(F.lit("pattern_events"), F.col("label"), F.col("events").cast("double")),
         aggregate_recommendations(e).select(F.lit("recommendation_events"), F.col("key"), F.col("events").cast("double")),
     ]

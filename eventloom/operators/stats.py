@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from eventloom.config import LEVELS
 from eventloom.functions.columns import finite, or_else, rank
+from eventloom.operators.ordered import placed
 
 RISING, FALLING = "RISK_ESCALATED", "RISK_DEESCALATED"
 
 
-def five_stats(c) -> Column:
-    """n, mean, median, max, min of the finite values, rounded to 3; null without any."""
-    x = finite(c)
-    s = F.struct(F.count(x).alias("n"), *[F.round(f(x), 3).alias(k) for k, f in (("mean", F.avg), ("median", F.median), ("max", F.max), ("min", F.min))])
-    return F.when(F.count(x) > 0, s)
-
-
 def counted(df: DataFrame, key: Column, ordinal: str, where: Column | None = None) -> DataFrame:
     """Count per key, most first; equal counts in order of first appearance."""
     d = df if where is None else df.filter(where)
@@ -39,16 +37,27 @@ def by_level(df: DataFrame, level: str = "risk_level") -> DataFrame:
     return df.agg(*[F.count_if(F.col(level) == x).alias(x.lower()) for x in LEVELS], F.count_if(F.col(level).isNull()).alias("no_level"))
 
 
+def five_of(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row: for each name n, mean, median, max, min of its column's finite values, all of them in one pass; null without a finite value."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.col(c).cast("double").alias("x")) for k, c in columns.items()])
+    f = five_by(df.select(F.inline(pairs)), ["name"], "x")
+    s = F.struct("n", "mean", "median", "max", "min")
+    return f.agg(*[F.max(F.when(F.col("name") == k, s)).alias(k) for k in columns])
+
+
 def event_overview(e: DataFrame) -> DataFrame:
     """One row of totals of an event table."""
-    return e.agg(
+    one = F.lit(0).alias("_one")
+    totals = e.agg(
         F.count("*").alias("total_events"), *[F.count_if(F.col("risk_level") == x).alias(f"level_{x.lower()}") for x in LEVELS], F.count_if(F.col("risk_level").isNull()).alias("without_level"),
         F.count_if(F.col("alarm_recommended")).alias("alarm_true"), F.count_if(~F.col("alarm_recommended")).alias("alarm_false"), F.count_if("alarm_triggered").alias("alarm_triggered_true"),
         F.count_if(F.col("event_type") == "PERSISTENT_HAZARD").alias("persistent"), F.count_if(F.col("event_type") == "DRIVER_STATE_CHANGE").alias("driver_changes"),
         F.countDistinct(F.struct(F.coalesce("run_id", F.lit("None")), F.coalesce("session_id", F.lit("None")))).alias("sessions"), F.sort_array(F.collect_set(F.coalesce("run_id", F.lit("None")))).alias("runs"),
-        F.count_if(F.coalesce(F.col("evidence_path") != "", F.lit(False))).alias("with_evidence"), five_stats("smoothed_risk_score").alias("smoothed"), five_stats("raw_risk_score").alias("raw"),
-        five_stats("hazard_persistence").alias("hazard_persistence"), five_stats("track_persistence_seconds").alias("track_persistence"),
+        F.count_if(F.coalesce(F.col("evidence_path") != "", F.lit(False))).alias("with_evidence"),
     )
+    figures = five_of(e, {"smoothed": "smoothed_risk_score", "raw": "raw_risk_score", "hazard_persistence": "hazard_persistence", "track_persistence": "track_persistence_seconds"})
+    # Both sides are one row.
+    return totals.select(one, "*").join(figures.select(one, "*"), "_one").drop("_one")
 
 
 def _hazard(name: str) -> Column:
@@ -159,12 +168,13 @@ def unpivot(wide: DataFrame, scope: str) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x")).select(F.lit(scope).alias("scope"), "x.key", "x.value")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float = 0.95, buckets: int = 4096) -> DataFrame:
-    """Value at index round(q (n-1)) of the sorted values (half-even).
+def ranked_values(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], buckets: int = 4096) -> DataFrame:
+    """(keys, _name, value, n): the value at each of the named places (0-based, from ``n``) of a key's sorted values.
 
     Values are counted in buckets between a key's least and greatest; only the
-    bucket that the index falls into is sorted, by distinct value, so a key of any
-    number of rows never meets in one task.
+    buckets that the places fall into are sorted, by distinct value, so a key of any
+    number of rows never meets in one task.  Null values do not count; rows with a
+    null key belong to none.
     """
     d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
     ends = d.groupBy(*keys).agg(F.min("value").cast("double").alias("_lo"), F.max("value").cast("double").alias("_hi"), F.count("*").alias("n"))
@@ -173,10 +183,25 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float = 0.95, bu
     counts = d.groupBy(*keys, "_b", "value").agg(F.count("*").alias("_c"), F.first("n").alias("n"))
     upto = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, 0)
     hist = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"), F.first("n").alias("n")).withColumn("_at", F.sum("_m").over(upto(*keys).orderBy("_b")))
-    target = F.rint(q * (F.col("n") - 1))
-    hit = hist.filter((target < F.col("_at")) & (target >= F.col("_at") - F.col("_m"))).select(*keys, "_b", (F.col("_at") - F.col("_m")).alias("_before"))
-    near = counts.join(hit, [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(upto(*keys).orderBy("value")))
-    return near.filter((target < F.col("_upto")) & (target >= F.col("_upto") - F.col("_c"))).select(*keys, "value", "n")
+    wanted = F.array(*[F.struct(F.lit(k).alias("_name"), c.cast("double").alias("_t")) for k, c in places.items()])
+    hit = hist.withColumn("_before", F.col("_at") - F.col("_m")).select(*keys, "_b", "_before", "_at", F.inline(wanted)).filter((F.col("_t") < F.col("_at")) & (F.col("_t") >= F.col("_before")))
+    upto_here = counts.join(hit.select(*keys, "_b", "_before").distinct(), [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(upto(*keys, "_b").orderBy("value"))).drop("_before")
+    near = upto_here.join(hit.select(*keys, "_b", "_name", "_t"), [*keys, "_b"])
+    return near.filter((F.col("_t") < F.col("_upto")) & (F.col("_t") >= F.col("_upto") - F.col("_c"))).select(*keys, "_name", "value", "n")
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float = 0.95) -> DataFrame:
+    """Value at index round(q (n-1)) of the sorted values (half-even)."""
+    return ranked_values(df, keys, value, {"q": F.rint(q * (F.col("n") - 1))}).drop("_name")
+
+
+def five_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, mean, median, max, min of each key's finite values, rounded to 3; the median by ``ranked_values``.  Keys without a finite value have no row."""
+    d = df.select(*keys, finite(value).alias("value")).filter(F.col("value").isNotNull())
+    half = (F.col("n") - 1) / 2
+    mid = ranked_values(d, keys, "value", {"low": F.floor(half), "high": F.ceil(half)}).groupBy(*keys).agg(F.round(F.avg("value"), 3).alias("median"))
+    rest = d.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.max("value"), 3).alias("max"), F.round(F.min("value"), 3).alias("min"))
+    return rest.join(mid, keys).select(*keys, "n", "mean", "median", "max", "min")
 
 
 def mode_first(df: DataFrame, keys: list[str], value: str, ordinal: str) -> DataFrame:
@@ -212,11 +237,21 @@ def top_examples(df: DataFrame, keys: list[str], score: str, tie: list[str], k:
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """At most n rows of each group at positions round(i (N-1) / (n-1)), half-even."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (F.col("_n") - 1) / float(max(1, n - 1))).cast("int"))
-    return d.filter((F.col("_n") <= n) | F.array_contains(at, F.col("_i"))).drop("_i", "_n")
+    """At most n rows of each group at positions round(i (N-1) / (n-1)), half-even.
+
+    Where the first of ``order`` is a number, a group is placed bucket by bucket
+    of its range; else each group is sorted in one task.
+    """
+    plain = F.lit(0)
+    d = df
+    if isinstance(df.schema[order[0]].dataType, NumericType):
+        x = F.col(order[0]).cast("double")
+        ends = df.groupBy(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)]).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        d = df.join(ends, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)])).drop(*[f"_e{i}" for i in range(len(keys))])
+        plain = F.coalesce(F.when(F.col("_hi") > F.col("_lo"), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 4096)), F.lit(-1))
+    d = placed(d.withColumn("_b", plain), keys, order, "_b").withColumn("_i", F.col("_r") - 1)
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (F.col("_n") - 1) / float(max(1, n - 1))).cast("long"))
+    return d.filter((F.col("_n") <= n) | F.array_contains(at, F.col("_i"))).select(*df.columns)
 
 
 def without_preroll(df: DataFrame, t: str) -> DataFrame:

@@ -68,13 +68,11 @@ log AS (
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level changes of the steps as an event table."""
-    s = steps(spark, sf_dir).withColumn("level", level_name("raw"))
+    s = steps(spark, sf_dir).withColumn("level", level_name("raw")).withColumnRenamed("event_type", "src")
     e = level_transitions(s, ["session_id"], ["t", "event_id"], "level")
     names = {"view": "PEDESTRIAN_CONFLICT", "click": "APPROACHING_VEHICLE", "purchase": "ANIMAL_HAZARD", "error": "DRIVER_DROWSINESS"}
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), s["event_type"])
-    src = s.select("event_id", kind.alias("hazard_type"), F.col("event_type").alias("src"))
-    e = e.select("session_id", "event_id", F.col("t").alias("timestamp"), F.col("x").alias("smoothed_risk_score"), F.col("level").alias("risk_level"), F.col("previous").alias("previous_risk_level"), "event_type", "transition")
-    return e.join(src, "event_id")
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("src"))
+    return e.select("session_id", "event_id", F.col("t").alias("timestamp"), F.col("x").alias("smoothed_risk_score"), F.col("level").alias("risk_level"), F.col("previous").alias("previous_risk_level"), "event_type", "transition", kind.alias("hazard_type"), "src")
 
 
 def full_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ flog AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN NULL ELSE risk_level IN ('HIG
 
 @query("summary_stats", """SELECT event_type, count(value) AS n, round(avg(value), 3) AS mean, round(median(value), 3) AS median, round(max(value), 3) AS max, round(min(value), 3) AS min FROM events GROUP BY 1""")
 def summary_stats(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(stats.five_stats("value").alias("s")).select("event_type", "s.*")
+    return stats.five_by(table(spark, d, "events"), ["event_type"], "value")
 
 
 @query("event_counts", f"""WITH {FULL_SQL},

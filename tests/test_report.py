@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from eventloom import schemas
 from eventloom.config import RiskSettings
-from eventloom.operators import records, report, risk, stats
+from eventloom.operators import files, records, report, risk, stats
+from eventloom.operators.ordered import placed
 from eventloom.sources import writers
 
 EVENTS = "event_id string, run_id string, session_id string, event_type string, transition string, previous_risk_level string, risk_level string, change_kind string, hazard_type string, hazard_class string, smoothed_risk_score double, raw_risk_score double, timestamp double, camera string, source_file string, risk_reason string, evidence_path string, observation_type string, data_source string, alarm_recommended boolean, alarm_triggered boolean, hazard_persistence double, track_persistence_seconds double, ordinal int"
@@ -90,3 +91,19 @@ def test_synthetic_table(spark, tmp_path):
             writers.write_synthetic_table(bad, f"file://{tmp_path}/sim", root)
     out = writers.write_session(table().select("event_id"), table().select("timestamp", "hazard_type"), {"alerts": 1}, f"file://{tmp_path}/s")
     assert json.loads(spark.read.text(out["summary"]).first().value) == {"alerts": 1} and spark.read.json(out["alerts"]).count() == 1
+
+
+def test_places_and_medians(spark):
+    d = spark.createDataFrame([(None, 5.0, 1), (None, 5.0, 2), ("a", 1.0, 3), ("a", 9.0, 4), ("a", 9.0, 5), ("a", None, 6)], "k string, v double, i int")
+    got = {(r.k, r.i): (r._r, r._n) for r in placed(d.withColumn("b", F.floor(F.coalesce("v", F.lit(-1.0)) / 4)), ["k"], ["v", "i"], "b").collect()}
+    assert got == {(None, 1): (1, 2), (None, 2): (2, 2), ("a", 6): (1, 4), ("a", 3): (2, 4), ("a", 4): (3, 4), ("a", 5): (4, 4)}
+    assert sorted(r.i for r in stats.evenly_spaced(d, ["k"], ["i"], 2).collect()) == [1, 2, 3, 6]
+    assert stats.evenly_spaced(d.limit(0), ["k"], ["v"], 2).count() == 0
+    assert [tuple(r) for r in stats.five_by(d, ["k"], "v").collect()] == [("a", 3, 6.333, 9.0, 9.0, 1.0)]
+    o = stats.five_of(d.withColumn("w", F.lit(None).cast("double")), {"x": "v", "none": "w"})
+    assert o.first().x.median == 5.0 and o.first()["none"] is None
+
+
+def test_conflicts_with_repeats(spark):
+    d = spark.createDataFrame([("h", "x", "bb"), ("h", "x", "a"), ("h", "x", "a"), ("g", "x", "c"), ("g", "y", "d"), (None, "x", "e")], "h string, l string, n string")
+    assert sorted((r.n, r.verdict) for r in files.conflict_aware(d, "h", "l", "n").collect()) == [("a", "duplicate"), ("a", "kept"), ("bb", "duplicate"), ("c", "conflict"), ("d", "conflict"), ("e", "kept")]
