@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
 import re
 import tempfile
 import uuid
@@ -18,8 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 WS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 CHUNK_BYTES = 1 << 19
@@ -295,6 +299,54 @@ def id_filter(ids: DataFrame, col: str) -> np.ndarray:
     return out
 
 
+# ---------------------------------------------------------------- running totals
+
+
+def running_total(df: DataFrame, groups: list[str], order: list[str], amount: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``amount`` (long, none negative) over the rows of the same ``groups`` up to and including this one.
+
+    Rows are range-sorted by groups and order, which must tell all rows apart that
+    matter, and summed as they stream through each range; then each range gets the
+    totals of the ranges before it, a table of one row per range and group in it.  A
+    group as large as the table is spread over all ranges.
+    """
+    pid, own = unused("pid", df), unused("sum", df)
+    kind = StructType([*df.schema.fields, StructField(own, LongType()), StructField(pid, IntegerType())])
+
+    def add(batches):
+        nr, last, carry = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for c in groups:
+                x = b.column(c)
+                differ = pc.fill_null(pc.not_equal(x[1:], x[:-1]), False).to_numpy(zero_copy_only=False)
+                null = x.is_null().to_numpy(zero_copy_only=False)
+                new[1:] |= differ | (null[1:] != null[:-1])
+            key = [b.column(c)[0].as_py() for c in groups]
+            if key != last:
+                carry = 0
+            total = np.cumsum(b.column(amount).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = [*np.flatnonzero(new), b.num_rows]
+            base = np.full(b.num_rows, -carry, np.int64)
+            for a, z in itertools.pairwise(starts):
+                base[a:z] = total[a - 1]
+            total -= base
+            last, carry = [b.column(c)[-1].as_py() for c in groups], int(total[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total), pa.array(np.full(b.num_rows, nr, np.int32))], [*b.schema.names, own, pid])
+
+    keys = [*groups, *order]
+    local = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(add, kind), "running")
+    totals = local.groupBy(F.col(pid).alias("p"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(groups)]).agg(F.max(own).alias("all"))
+    before = Window.partitionBy(*[f"g{i}" for i in range(len(groups))]).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(totals.select("*", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before")).drop("all"), "ranges")
+    met = F.col(pid) == F.col("p")
+    for i, c in enumerate(groups):
+        met = met & F.col(c).eqNullSafe(F.col(f"g{i}"))
+    return local.join(starts, met).select(*df.columns, (F.col(own) + F.col("before")).alias(out))
+
+
 # ---------------------------------------------------------------- components
 
 

@@ -52,3 +52,41 @@ part AS (SELECT doc_id, item_id, start, len, m, size, least(count(*), any_value(
 same AS (SELECT doc_id, item_id, start, len, m, size, sum(k) AS same FROM part GROUP BY ALL),
 ok AS (SELECT *, same / (m + size - same) AS similarity FROM same WHERE 100 * same >= 80 * (m + size - same))
 SELECT doc_id, item_id, start::INTEGER AS start, len::INTEGER AS n_words, similarity::DOUBLE AS similarity FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
+
+OP11 = rf"""WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents),
+src AS (SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1] AS weight FROM (SELECT source, sum(size)::BIGINT AS source_size FROM doc GROUP BY source)),
+fair(i, num, w, fixed) AS (SELECT 0, 1.5::DOUBLE * sum(source_size), sum(weight)::BIGINT, 0::BIGINT FROM src
+  UNION ALL SELECT l.i + 1, l.total - h.most, l.whole - h.w, h.w FROM (SELECT fair.*, t.* FROM fair, (SELECT 1.5::DOUBLE * sum(source_size) AS total, sum(weight)::BIGINT AS whole FROM src) t) l,
+  LATERAL (SELECT coalesce(sum(2 * source_size), 0)::BIGINT AS most, coalesce(sum(weight), 0)::BIGINT AS w FROM src WHERE l.num * weight / l.w > 2 * source_size) h WHERE h.w <> l.fixed),
+target AS (SELECT source, source_size, least(num * weight / w, (2 * source_size)::DOUBLE) AS target FROM src, (SELECT * FROM fair ORDER BY i DESC LIMIT 1)),
+turn AS (SELECT r, doc_id, d.source, size, target, floor(target)::BIGINT AS most, round, md5('mix:' || round || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM doc d JOIN target t ON d.source IS NOT DISTINCT FROM t.source, (SELECT unnest([0, 1]) AS round) WHERE size > 0 AND target >= 1 AND target > round * source_size),
+served AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY round, key, doc_id NULLS FIRST, size, r)::BIGINT AS upto FROM turn),
+part AS (SELECT r, key, round, target, greatest(0, least(size, most - upto + size)) AS words, least(upto, most) AS till FROM served UNION ALL SELECT r, key, round, target, size - greatest(0, least(size, most - upto + size)), upto FROM served),
+mix AS (SELECT r, words, sum(words) OVER (ORDER BY till / target, key, r) AS total FROM part WHERE words > 0),
+got AS (SELECT r, sum(words)::BIGINT AS taken FROM mix WHERE total <= (SELECT sum(floor(target)) FROM target) GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM doc JOIN target t ON doc.source IS NOT DISTINCT FROM t.source LEFT JOIN got USING (r)"""
+
+OP12 = r"""WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+own AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+aim AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+feat AS (SELECT r, unnest(w) AS f FROM own),
+bucket AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(f)) + 1), lambda i: ('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM (SELECT f FROM feat UNION SELECT f FROM aim)), tab),
+s AS (SELECT b, count(*) AS n FROM feat JOIN bucket USING (f) GROUP BY b), t AS (SELECT b, count(*) AS n FROM aim JOIN bucket USING (f) GROUP BY b),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::BIGINT + 10000 AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::BIGINT + 10000 AS t_all),
+gain AS (SELECT s.b, floor(1000 * ln(((coalesce(t.n, 0) + 1) * s_all)::DOUBLE / ((s.n + 1) * t_all)::DOUBLE))::BIGINT AS g FROM s LEFT JOIN t USING (b), sums),
+sc AS (SELECT own.r, doc_id, len(w)::BIGINT AS n_features, coalesce(any_value(x.w8), 0)::BIGINT AS weight FROM own LEFT JOIN (SELECT r, floor(sum(g)::DOUBLE / count(*)) AS w8 FROM feat JOIN bucket USING (f) JOIN gain USING (b) GROUP BY r) x USING (r) GROUP BY ALL),
+drawn AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM sc),
+place AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS p, count(*) OVER () AS n FROM drawn WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= 10 * n // 100 THEN p END::BIGINT AS rank FROM drawn LEFT JOIN place USING (r)"""
+
+OP13 = rf"""WITH RECURSIVE base AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+label AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+doc AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)] AS fails FROM base LEFT JOIN label USING (doc_id)),
+cell AS (SELECT part, good, toxic, fails, count(*) AS n FROM doc GROUP BY ALL),
+path(o, used) AS (SELECT ''::VARCHAR, []::BIGINT[] UNION ALL SELECT o || substr('ABCDE', f, 1), list_append(used, f::BIGINT) FROM path, range(1, 6) t(f) WHERE NOT list_contains(used, f::BIGINT) AND len(used) < 5),
+step AS (SELECT o AS filter_order, used, unnest(range(1, 6)) AS step FROM path WHERE len(used) = 5),
+met AS (SELECT part, filter_order, step, used[step] AS f, good, toxic, n, fails[used[step]] AS bad, list_bool_or(list_prepend(false, list_transform(used[1:step - 1], lambda i: fails[i]))) AS gone, len(list_filter(fails, lambda z: z)) AS many FROM cell, step),
+sums AS (SELECT part, filter_order, step, f, sum(n * (NOT gone AND NOT bad)::INT)::BIGINT AS kept, sum(n * (bad AND NOT gone)::INT)::BIGINT AS removed, sum(n * (bad AND gone)::INT)::BIGINT AS redundant, sum(n * (bad AND many = 1)::INT)::BIGINT AS unique_fails,
+  sum(n * (bad AND NOT gone AND good)::INT)::BIGINT AS good_lost, sum(n * (bad AND NOT gone AND toxic)::INT)::BIGINT AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM sums"""

@@ -102,3 +102,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, train(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+@op("op11_source_mixing", oracles.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken_words
+
+    return taken_words(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
+
+
+@op("op12_importance_resampling", oracles.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), n=1, percent=10, min_words=20, seed=2024)
+
+
+@op("op13_filter_audit", oracles.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

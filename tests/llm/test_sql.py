@@ -16,6 +16,6 @@ def test_queries_equal_their_sql(spark):
     from eventloom.llm import queries
 
     con = connect(SF)
-    assert len(queries.ORACLES) == 6
+    assert len(queries.ORACLES) == 9
     for name, sql in queries.ORACLES.items():
         assert not differ(spark, con, SF, queries.QUERIES[name], sql), name
