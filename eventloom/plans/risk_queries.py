@@ -8,7 +8,7 @@ from eventloom import schemas
 from eventloom.config import DriverSettings
 from eventloom.functions.columns import level_name
 from eventloom.operators import driver, risk, stats, tracker
-from eventloom.plans.adapter import LEVEL, LOG_SQL, STEPS_SQL, boxes, full_log, steps
+from eventloom.plans.adapter import BOXES_SQL, LEVEL, LOG_SQL, STEPS_SQL, boxes, full_log, steps
 from eventloom.plans.registry import query
 
 TRACKS_SQL = """
@@ -125,13 +125,54 @@ def _detections(spark, d):
     return b.select("session_id", (F.col("frame") * 0.1).alias("ts"), F.col("frame").cast("int").alias("frame_index"), F.col("event_id").alias("det_ix"), "class_name", ((F.col("event_id") % 100) / F.lit(100.0)).alias("confidence"), "x1", "y1", "x2", "y2")
 
 
-@query("tracks")
+_BOX = lambda b: ", ".join(f"'{c}': {b}.{c}" for c in ("x1", "y1", "x2", "y2"))
+
+
+def tracks_sql(frames: str, select: str) -> str:
+    """The tracker as a recursion over a session's frames, whose state is the list of live tracks.
+
+    ``frames`` defines fr(session_id, rn, frame, ts, dets) and what it needs.  A frame's pairs, sorted,
+    are reduced to those that find both sides free.
+    """
+    side = "greatest(0.0, least(a.x2, d.x2) - greatest(a.x1, d.x1)) * greatest(0.0, least(a.y2, d.y2) - greatest(a.y1, d.y1))"
+    return f"""WITH RECURSIVE {frames},
+none AS (SELECT list_filter([{{'id': 0, 'x1': 0.0::DOUBLE, 'y1': 0.0::DOUBLE, 'x2': 0.0::DOUBLE, 'y2': 0.0::DOUBLE, 'cs': ['']::VARCHAR[], 'conf': 0.0::DOUBLE, 'first': 0.0::DOUBLE, 'seen': 0.0::DOUBLE, 'area0': 0.0::DOUBLE, 'fi': 0::BIGINT}}], lambda x: false) AS tracks),
+k AS (
+  SELECT session_id, 0::BIGINT AS rn, 0::BIGINT AS frame, 0.0::DOUBLE AS ts, 0 AS born, tracks FROM (SELECT DISTINCT session_id FROM fr), none
+  UNION ALL
+  SELECT session_id, rn, frame, ts, born + len(births), list_concat(list_transform(live, lambda a: CASE WHEN list_contains(got.ts, a.id) THEN list_transform([dets[got.ds[list_position(got.ts, a.id)]]],
+      lambda d: {{'id': a.id, {_BOX("d")}, 'cs': list_append(a.cs, d.c), 'conf': a.conf + d.conf, 'first': a.first, 'seen': ts, 'area0': a.area0, 'fi': frame}})[1] ELSE a END),
+    list_transform(range(1, len(births) + 1), lambda i: list_transform([dets[births[i]]], lambda d: {{'id': (born + i)::INT, {_BOX("d")}, 'cs': [d.c], 'conf': d.conf, 'first': ts, 'seen': ts, 'area0': (d.x2 - d.x1) * (d.y2 - d.y1), 'fi': frame}})[1]))
+  FROM (
+    SELECT *, list_filter(range(1, len(dets) + 1), lambda j: NOT list_contains(got.ds, j)) AS births
+    FROM (
+      SELECT *, list_reduce(list_prepend({{'ts': []::INT[], 'ds': []::BIGINT[]}}, list_transform(list_sort(pairs), lambda p: {{'ts': [p.i], 'ds': [p.j]}})),
+          lambda acc, x: CASE WHEN list_contains(acc.ts, x.ts[1]) OR list_contains(acc.ds, x.ds[1]) THEN acc ELSE {{'ts': list_concat(acc.ts, x.ts), 'ds': list_concat(acc.ds, x.ds)}} END) AS got
+      FROM (
+        SELECT *, list_filter(flatten(list_transform(live, lambda a: list_transform(range(1, len(dets) + 1), lambda j: list_transform([dets[j]], lambda d:
+          {{'s': (d.c <> a.cs[-1] AND d.c <> list_aggregate(a.cs, 'mode'))::INT, 'o': -({side}) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (d.x2 - d.x1) * (d.y2 - d.y1) - {side}), 'i': a.id, 'j': j}})[1]))),
+          lambda p: -p.o >= CASE p.s WHEN 1 THEN 0.6 ELSE 0.3 END - 1e-9) AS pairs
+        FROM (SELECT fr.session_id, fr.rn, fr.frame, fr.ts, fr.dets, k.born, list_filter(k.tracks, lambda a: fr.ts - a.seen <= 1.0 + 1e-9) AS live FROM k JOIN fr ON fr.session_id = k.session_id AND fr.rn = k.rn + 1)))))
+{select}"""
+
+
+FRAMES_SQL = f"""{STEPS_SQL}, {BOXES_SQL},
+fr AS (SELECT session_id, frame, frame * 0.1::DOUBLE AS ts, row_number() OVER (PARTITION BY session_id ORDER BY frame) AS rn, list({{'c': class_name, 'conf': (event_id % 100) / 100.0::DOUBLE, 'x1': x1::DOUBLE, 'y1': y1::DOUBLE, 'x2': x2::DOUBLE, 'y2': y2::DOUBLE}} ORDER BY event_id) AS dets FROM boxes GROUP BY session_id, frame)"""
+_OF_CLASSES = "len(a.cs)::INT AS detections, coalesce(list_sum(list_transform(range(2, len(a.cs) + 1), lambda i: (a.cs[i] <> a.cs[i - 1])::INT)), 0)::INT AS label_changes"
+TRACKS_SELECT = f"SELECT session_id, a.fi::INT AS frame_index, a.id AS track_id, list_aggregate(a.cs, 'mode') AS class_name, {_OF_CLASSES}, round(a.seen - a.first, 6) AS persistence, round((a.x2 - a.x1) * (a.y2 - a.y1), 3) AS area FROM (SELECT session_id, unnest(tracks) AS a FROM k)"
+
+
+@query("tracks", tracks_sql(FRAMES_SQL, TRACKS_SELECT))
 def tracks_query(spark, d):
-    t = tracker.track(_detections(spark, d))
+    return track_columns(tracker.track(_detections(spark, d)))
+
+
+def track_columns(t):
     return t.filter("not ended").select("session_id", "frame_index", "track_id", "class_name", "detections", "label_changes", F.round("persistence", 6).alias("persistence"), F.round("area", 3).alias("area"))
 
 
-@query("track_summary")
+@query("track_summary", tracks_sql(FRAMES_SQL, f"""SELECT session_id, a.id AS track_id, {_OF_CLASSES.split(",")[0]}, least({_OF_CLASSES.split(", ", 1)[1].split(" AS label")[0]}, 3)::INT AS changes, round(a.seen - a.first, 6) AS persistence,
+  round(CASE WHEN len(a.cs) >= 3 AND a.area0 > 0 THEN (a.x2 - a.x1) * (a.y2 - a.y1) / a.area0 END, 6) AS growth_ratio FROM (SELECT session_id, rn, unnest(tracks) AS a FROM k) QUALIFY row_number() OVER (PARTITION BY session_id, a.id ORDER BY rn DESC) = 1"""))
 def track_summary(spark, d):
     t = tracker.track(_detections(spark, d)).filter("not ended")
     return stats.track_summary(t, ["session_id", "track_id"]).select("session_id", "track_id", "detections", "changes", F.round("persistence", 6).alias("persistence"), F.round("growth_ratio", 6).alias("growth_ratio"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.config import EventSettings
+from eventloom.config import DriverSettings, EventSettings
 from eventloom.functions.columns import level_name
 from eventloom.operators import driver, folds, ordered, recorder
 from eventloom.plans.adapter import HOURS, LEVEL, LOG_SQL, STEPS_SQL, log, steps
@@ -236,18 +236,44 @@ def closure_runs(spark, d):
     return folds.closures(s.select("session_id", "event_id", "t", "closed"), S, O, "t", "closed", 30.0, 12.0, 24.0).select("session_id", "event_id", F.round("duration", 6).alias("duration"), "kind")
 
 
-@query("eye_features")
+EYE_SQL = f"""WITH {STEPS_SQL}, s AS (SELECT session_id, event_id, t, CASE WHEN event_type <> 'error' THEN event_type IN ('view', 'click') END AS closed FROM steps),
+a AS (SELECT *, lag(t) OVER ({ORD}) AS a, lag(closed) OVER ({ORD}) AS st, min(t) OVER (PARTITION BY session_id) AS t0, last_value(CASE WHEN closed IS NOT NULL THEN t END IGNORE NULLS) OVER ({ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen,
+  last_value(closed IGNORE NULLS) OVER ({ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM s),
+b AS (SELECT *, CASE WHEN st IS NOT NULL AND t > a AND t - a <= 16 THEN t - a ELSE 0 END AS len, coalesce(closed AND (coalesce(NOT known, true) OR t - seen > 16), false) AS fresh FROM a),
+c AS (SELECT *, sum(fresh::INT) OVER ({ORD} ROWS UNBOUNDED PRECEDING) AS run FROM b), d AS (SELECT *, min(CASE WHEN closed THEN t END) OVER (PARTITION BY session_id, run) AS began FROM c),
+e AS (SELECT *, CASE WHEN NOT closed AND known AND t - seen <= 16 THEN CASE WHEN t - began < 8 THEN 'blink' WHEN t - began >= 16 THEN 'long' END END AS kind FROM d),
+f AS (SELECT *, sum(len) OVER w AS len_all, sum(CASE WHEN st THEN len ELSE 0 END) OVER w AS len_closed, arg_min({{'a': a, 't': t, 's': st}}, CASE WHEN len > 0 THEN t END) OVER w AS o, count(*) FILTER (kind = 'blink') OVER w AS blinks, count(*) FILTER (kind = 'long') OVER w AS long_closures
+  FROM e WINDOW w AS (PARTITION BY session_id ORDER BY t RANGE BETWEEN 72 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, coalesce(CASE WHEN o.t > t - 72 THEN greatest(0, t - 72 - o.a) ELSE o.t - o.a END, 0) AS over FROM f),
+h AS (SELECT *, len_all - over AS observed, len_closed - CASE WHEN o.s THEN over ELSE 0 END AS positive FROM g),
+i AS (SELECT *, CASE WHEN observed > 0 THEN round(positive / observed, 4) END AS closure_ratio, CASE WHEN closed THEN t - began WHEN NOT closed THEN 0 END AS closed_seconds FROM h),
+j AS (SELECT *, least(1.0, coalesce(closed_seconds, 0) / 24.0) AS now, CASE WHEN observed >= 12 AND closure_ratio IS NOT NULL THEN 0.6::DOUBLE * least(1.0, closure_ratio / 0.3::DOUBLE) + (1 - 0.6::DOUBLE) * least(1.0, long_closures / 3.0) END AS win FROM i),
+k AS (SELECT *, round(CASE WHEN win IS NOT NULL THEN greatest(now, win) WHEN now > 0 THEN now END, 4) AS score FROM j)
+SELECT session_id, event_id, closure_ratio, round(closed_seconds, 6) AS closed_seconds, blinks, long_closures, round(CASE WHEN closed IS NULL THEN t - coalesce(seen, t0) ELSE 0 END, 6) AS missing_seconds, score,
+  CASE WHEN score IS NULL THEN 'UNKNOWN' WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.5 THEN 'HIGH' WHEN win IS NULL THEN 'UNKNOWN' ELSE 'LOW' END AS level FROM k"""
+#: The driver's seconds as hours.
+EYES = DriverSettings(window=72.0, max_gap=16.0, blink=8.0, long=16.0, sustained=24.0, min_observed=12.0)
+
+
+@query("eye_features", EYE_SQL)
 def eye_features(spark, d):
-    from eventloom.config import DriverSettings
-
     s = steps(spark, d).withColumn("closed", F.when(F.col("event_type") == "error", None).otherwise(F.col("event_type").isin("view", "click")))
-    cfg = DriverSettings(window=72.0, max_gap=16.0, blink=8.0, long=16.0, sustained=24.0, min_observed=12.0)
-    f = driver.eye_features(s.select("session_id", "event_id", "t", "closed"), S, O, "t", "closed", cfg)
-    score, level = driver.drowsiness("closure_ratio", "closed_seconds", "long_closures", "observed_seconds", cfg)
+    f = driver.eye_features(s.select("session_id", "event_id", "t", "closed"), S, O, "t", "closed", EYES)
+    score, level = driver.drowsiness("closure_ratio", "closed_seconds", "long_closures", "observed_seconds", EYES)
     return f.select("session_id", "event_id", "closure_ratio", F.round("closed_seconds", 6).alias("closed_seconds"), "blinks", "long_closures", F.round("missing_seconds", 6).alias("missing_seconds"), score.alias("score"), level.alias("level"))
 
 
-@query("driver_changes")
+CHANGES_SQL = f"""WITH RECURSIVE {STEPS_SQL},
+s AS (SELECT session_id, event_id, t, 'hand_state' AS kind, event_type AS v FROM steps UNION ALL SELECT session_id, event_id, t, 'activity', {LEVEL.format("raw")} FROM steps),
+f AS (SELECT *, (lag(v) OVER w IS DISTINCT FROM v)::INT AS f FROM s WINDOW w AS (PARTITION BY session_id, kind ORDER BY t, event_id)), r AS (SELECT *, sum(f) OVER (PARTITION BY session_id, kind ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind, run ORDER BY t, event_id) AS k FROM r), st AS (SELECT *, lag(v) OVER (PARTITION BY session_id, kind ORDER BY t, event_id) AS previous FROM n WHERE k = 2),
+c AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind, previous, v ORDER BY t, event_id) AS rn FROM st WHERE previous <> v),
+kept AS (SELECT session_id, kind, previous, v, event_id, rn, t AS last, true AS keep FROM c WHERE rn = 1
+  UNION ALL SELECT c.session_id, c.kind, c.previous, c.v, c.event_id, c.rn, CASE WHEN c.t - kept.last >= 48 - 1e-9 THEN c.t ELSE kept.last END, c.t - kept.last >= 48 - 1e-9 FROM kept JOIN c ON c.session_id = kept.session_id AND c.kind = kept.kind AND c.previous = kept.previous AND c.v = kept.v AND c.rn = kept.rn + 1)
+SELECT session_id, event_id, kind AS change_kind, previous || '->' || v AS transition FROM kept WHERE keep"""
+
+
+@query("driver_changes", CHANGES_SQL)
 def driver_changes(spark, d):
     s = steps(spark, d).withColumn("activity", level_name("raw")).withColumnRenamed("event_type", "hand_state")
     return recorder.driver_changes(s, S, O, "t", ["hand_state", "activity"], EventSettings(change_observations=2, change_cooldown=48.0)).select("session_id", "event_id", "change_kind", "transition")
