@@ -68,15 +68,19 @@ def _weight(kind: str, part: str, s: RiskSettings) -> Column:
     return F.when(F.col(kind) == "vehicle", getattr(s.vehicle, part)).when(F.col(kind) == "person", getattr(s.person, part)).otherwise(getattr(s.animal, part))
 
 
-def track_hazards(tracks: DataFrame, s: RiskSettings = RiskSettings()) -> DataFrame:
+def track_hazards(tracks: DataFrame, s: RiskSettings = RiskSettings(), keep: bool = False) -> DataFrame:
     """Adds the road rules to tracks with class_name, persistence, detections, missed, cx, y2, area, width, height, growth, lateral, confidence, label_changes.
 
-    Tracks without a hazard class or enough evidence are dropped.  Every factor
+    Tracks without a hazard class or enough evidence are dropped, or with ``keep``
+    marked by ``evident`` being false, their other new columns meaning nothing.  Every factor
     names its track (``track_id``, where the table has it) and says in ``detail``
     what was seen; ``phrases`` are the parts of a reason.
     """
     d = tracks.withColumn("kind", object_kind("class_name", s))
-    d = d.filter(F.col("kind").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("persistence") >= s.min_persistence - EPS) & (F.col("detections") >= s.min_detections) & (F.col("missed") <= s.max_missed + EPS))
+    evident = (
+        F.col("kind").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("persistence") >= s.min_persistence - EPS) & (F.col("detections") >= s.min_detections) & (F.col("missed") <= s.max_missed + EPS)
+    )
+    d = d.withColumn("evident", F.coalesce(evident, F.lit(False))) if keep else d.filter(evident)
     d = d.withColumns({"x_norm": F.col("cx") / F.col("width"), "bottom": F.col("y2") / F.col("height"), "area_share": F.col("area") / (F.col("width") * F.col("height"))})
     d = d.withColumn("toward", toward_centre(F.col("x_norm"), F.col("lateral"), s))
     off = F.abs(F.col("x_norm") - 0.5)

@@ -10,6 +10,7 @@ from eventloom.functions.columns import level_name
 from eventloom.operators import driver, risk, stats, tracker
 from eventloom.plans.adapter import BOXES_SQL, LEVEL, LOG_SQL, STEPS_SQL, boxes, full_log, steps
 from eventloom.plans.registry import query
+from eventloom.sources.storage import stored
 
 TRACKS_SQL = """
 tr AS (
@@ -178,13 +179,50 @@ def track_summary(spark, d):
     return stats.track_summary(t, ["session_id", "track_id"]).select("session_id", "track_id", "detections", "changes", F.round("persistence", 6).alias("persistence"), F.round("growth_ratio", 6).alias("growth_ratio"))
 
 
-@query("risk_pipeline")
+def _sized(sql: str) -> str:
+    """The hazard rules for images of 550 x 430."""
+    return sql.replace("400.0::DOUBLE", "550.0::DOUBLE").replace("300.0::DOUBLE", "430.0::DOUBLE").replace("(400 * 300)", "(550 * 430)")
+
+
+def risk_levels(start: str) -> str:
+    """HYST_SQL's recursion over o(session_id, event_id, rn, raw, dt) of ``start``, with the risk settings' own gap."""
+    from eventloom.plans.sequence_queries import HYST_SQL
+
+    tail = HYST_SQL[HYST_SQL.index("h AS (") :]
+    return (start + ",\n" + tail.rsplit("SELECT session_id, event_id, raw, level FROM h", 1)[0]).replace("> 48", "> 2.0")
+
+
+#: Live tracks of every frame with their motion over the last second, and their hazards; needs ``k`` of tracks_sql.
+HAZARDS_SQL = """live AS (SELECT session_id, frame, ts, unnest(tracks) AS a FROM k WHERE rn > 0),
+obs AS (SELECT session_id, a.id AS id, ts, ln((a.x2 - a.x1) * (a.y2 - a.y1)) AS la, (a.x1 + a.x2) / 2 / 550.0::DOUBLE AS cxw FROM live WHERE a.fi = frame),
+mo AS (SELECT session_id, id, ts, CASE WHEN count(*) OVER w >= 3 AND max(ts) OVER w - min(ts) OVER w >= 0.3 - 1e-9 THEN coalesce(regr_slope(la, ts) OVER w, 0) END AS growth, CASE WHEN count(*) OVER w >= 3 AND max(ts) OVER w - min(ts) OVER w >= 0.3 - 1e-9 THEN coalesce(regr_slope(cxw, ts) OVER w, 0) END AS lat_rate
+  FROM obs WINDOW w AS (PARTITION BY session_id, id ORDER BY ts RANGE BETWEEN 1.000000001::DOUBLE PRECEDING AND CURRENT ROW)),
+tr AS (SELECT live.session_id, live.frame, live.ts, a.id AS track_id, CASE list_aggregate(a.cs, 'mode') WHEN 'view' THEN 'car' WHEN 'click' THEN 'person' ELSE 'dog' END AS class_name, a.seen - a.first AS persistence, len(a.cs) AS detections, live.ts - a.seen AS missed, (a.x1 + a.x2) / 2 AS cx, a.y2 AS y2, (a.x2 - a.x1) * (a.y2 - a.y1) AS area,
+  growth, lat_rate, a.conf / len(a.cs) AS confidence, coalesce(list_sum(list_transform(range(2, len(a.cs) + 1), lambda i: (a.cs[i] <> a.cs[i - 1])::INT)), 0) AS label_changes FROM live LEFT JOIN mo ON mo.session_id = live.session_id AND mo.id = a.id AND mo.ts = a.seen),
+""" + _sized(TRACKS_SQL[TRACKS_SQL.index("k AS (SELECT *") :].replace("k AS (SELECT *, CASE", "kd AS (SELECT *, CASE", 1).replace("FROM k WHERE kind", "FROM kd WHERE kind")) + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY session_id, ts ORDER BY qualifies DESC, points DESC, track_id) AS k, count(*) FILTER (qualifies) OVER (PARTITION BY session_id, ts) AS nq FROM hz)"""
+
+
+RISK_SQL = tracks_sql(FRAMES_SQL, f"""SELECT session_id, round(ts, 3) AS ts, raw AS raw_rank, level, round(score, 6) AS raw_score FROM risk""")
+_LEVELS = risk_levels("""dr AS (SELECT fr.session_id, fr.ts, fr.rn, h.points AS pp, coalesce(h.qualifies, false) AS rq, h.g_pos, h.g_mot, least(70, coalesce(h.points, 0) + CASE WHEN coalesce(h.nq, 0) >= 2 THEN 5 ELSE 0 END) AS score FROM fr LEFT JOIN rk h ON h.session_id = fr.session_id AND h.ts = fr.ts AND h.k = 1),
+rr AS (SELECT *, CASE WHEN score >= 70 THEN 3 WHEN score >= 45 THEN 2 WHEN score >= 20 THEN 1 ELSE 0 END AS r0 FROM dr),
+rg AS (SELECT *, CASE WHEN r0 = 3 AND NOT (score >= 60 AND rq AND g_mot AND g_pos) THEN 2 ELSE r0 END AS r1 FROM rr),
+o AS (SELECT session_id, rn AS event_id, rn, ts AS t, score, CASE WHEN r1 >= 2 AND coalesce((rq AND g_pos)::INT, 0) + coalesce((rq AND g_mot)::INT, 0) < 2 THEN 1 ELSE r1 END AS raw, ts - lag(ts) OVER (PARTITION BY session_id ORDER BY rn) AS dt FROM rg)""")
+RISK_SQL = RISK_SQL.replace("SELECT session_id, round(ts, 3)", f", {HAZARDS_SQL}, {_LEVELS}, risk AS (SELECT o.session_id, o.t AS ts, o.raw, h.level, o.score FROM o JOIN h USING (session_id, rn))\nSELECT session_id, round(ts, 3)").replace(")\n,", "),\n", 1)
+
+
+def with_car_names(t):
+    """The kinds of events as kinds of objects, in images of 550 x 430."""
+    return t.withColumn("class_name", F.when(F.col("class_name") == "view", "car").when(F.col("class_name") == "click", "person").otherwise("dog")).withColumns({"width": F.lit(550.0), "height": F.lit(430.0)})
+
+
+@query("risk_pipeline", RISK_SQL)
 def risk_pipeline(spark, d):
     """Detections -> tracks -> motion -> hazards -> assessment -> hysteresis, per session."""
     from eventloom.operators import folds
 
-    t = tracker.track(_detections(spark, d)).filter("not ended").withColumn("class_name", F.when(F.col("class_name") == "view", "car").when(F.col("class_name") == "click", "person").otherwise("dog"))
-    t = t.withColumns({"width": F.lit(550.0), "height": F.lit(430.0)})
+    # Written once: the matcher is not run again for each of the three tables made of its steps.
+    t = with_car_names(tracker.described(stored(tracker.matched(_detections(spark, d)), "track-steps")).filter("not ended"))
     seen = risk.motion_features(t.filter("active"), ["session_id", "track_id"]).select("session_id", "track_id", "last_seen", "growth", "lateral")
     h = risk.track_hazards(t.join(seen, ["session_id", "track_id", "last_seen"], "left").withColumn("confidence", F.col("mean_confidence")))
     p = risk.frame_hazards(h, ["session_id", "ts"])
@@ -193,13 +231,6 @@ def risk_pipeline(spark, d):
     return folds.hysteresis(a, ["session_id"], ["ts"], "ts", "raw_rank").select("session_id", F.round("ts", 3).alias("ts"), "raw_rank", "level", F.round("raw_score", 6).alias("raw_score"))
 
 
-@query("scenarios")
-def scenarios(spark, d):
-    from eventloom.operators import simulate
-
-    return simulate.verdicts(simulate.run(spark, variants=1))
-
-
 @query("level_counts", f"WITH {STEPS_SQL} SELECT {LEVEL.format('raw')} AS level, count(*) AS n FROM steps GROUP BY 1")
 def level_counts(spark, d):
     return steps(spark, d).groupBy(level_name("raw").alias("level")).agg(F.count("*").alias("n"))

@@ -94,10 +94,14 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def in_order(rows: DataFrame, keys: list[str], ts: str, processor: InOrder, adds: str, lateness: str) -> DataFrame:
-    """The output of ``processor`` over a stream: its keys and the columns ``adds``."""
+def in_order(rows: DataFrame, keys: list[str], ts: str, processor: InOrder, adds: str, lateness: str | None, emits: str = "") -> DataFrame:
+    """The output of ``processor`` over a stream: its keys and the columns ``adds``.
+
+    ``lateness`` is None where ``ts`` comes out of another stateful step, which hands its
+    watermark on.  ``emits`` names the event time of the output for a step behind this one.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     processor.names = [*keys, *_parse_datatype_string(adds).names]
-    d = rows.withWatermark(ts, lateness).filter(F.col(ts).isNotNull())
-    return d.groupBy(*keys).transformWithState(processor, f"{kinds}, {adds}", "append", "EventTime")
+    d = rows if lateness is None else rows.withWatermark(ts, lateness)
+    return d.filter(F.col(ts).isNotNull()).groupBy(*keys).transformWithState(processor, f"{kinds}, {adds}", "append", "EventTime", eventTimeColumnName=emits)

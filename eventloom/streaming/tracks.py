@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from itertools import groupby
 
 from pyspark.sql import DataFrame
@@ -17,9 +18,9 @@ from eventloom.streaming.in_order import InOrder, in_order
 class Tracks(InOrder):
     """Every track of every frame, as ``tracker.matched`` tells it; a session's silence ends its tracks."""
 
-    def __init__(self, schema: StructType, settings: TrackSettings, timeout: int):
+    def __init__(self, schema: StructType, settings: TrackSettings, timeout: int, timed: bool = False):
         super().__init__(schema, "us", "det_ix", timeout)
-        self.settings = settings
+        self.settings, self.timed = settings, timed
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.live = handle.getMapState("live", "track_id int", "box array<double>, seen double, idle int, classes array<string>")
@@ -35,17 +36,18 @@ class Tracks(InOrder):
                 m.votes[i][c] = m.votes[i].get(c, 0) + 1
         return m, at
 
-    def _tell(self, steps, dets, index, at):
+    def _tell(self, steps, dets, index, at, us):
+        time = (datetime.fromtimestamp(us // 1_000_000, timezone.utc).replace(microsecond=us % 1_000_000), us) if self.timed else ()
         for t, i, j, ended, idle, lead, classes in steps:
             seen = (None,) * 7 if j is None else (dets[j].class_name, dets[j].confidence, index, *(dets[j][c] for c in BOX))
-            yield at, t, i, j is not None, ended, idle, lead, classes, *seen
+            yield *time, at, t, i, j is not None, ended, idle, lead, classes, *seen
 
     def run(self, key, rows):
         m, at = self._load()
         was, out = set(m.box), []
-        for (_, t, index), frame in groupby(rows, key=lambda r: (r.us, r.ts, r.frame_index)):
+        for (us, t, index), frame in groupby(rows, key=lambda r: (r.us, r.ts, r.frame_index)):
             dets = [r for r in frame if r.class_name is not None]
-            out += self._tell(m.frame([(r.class_name, tuple(r[c] for c in BOX)) for r in dets], t), dets, index, at)
+            out += self._tell(m.frame([(r.class_name, tuple(r[c] for c in BOX)) for r in dets], t), dets, index, at, us)
             at += 1
         for i in was - set(m.box):
             self.live.removeKey((i,))
@@ -56,17 +58,18 @@ class Tracks(InOrder):
 
     def close_session(self, key, last):
         m, at = self._load()
-        out = list(self._tell(m.finish(), [], None, at))
+        out = list(self._tell(m.finish(), [], None, at, last + self.timeout))
         self.live.clear()
         self.clock.clear()
         return out
 
 
-def match_stream(dets: DataFrame, session: str, event_time: str, timeout: int, lateness: str, s: TrackSettings = TrackSettings()) -> DataFrame:
+def match_stream(dets: DataFrame, session: str, event_time: str, timeout: int, lateness: str, s: TrackSettings = TrackSettings(), emits: bool = False) -> DataFrame:
     """(session, *STEP_COLUMNS) of a stream of detections; ``tracker.described`` makes track rows of what it writes.
 
-    ``dets`` has the columns of ``tracker.track`` and an event time that all rows of a frame share.
+    With ``emits`` the steps carry event time too (time, us), for a stateful step behind this one.  ``dets`` has the columns of ``tracker.track`` and an event time that all rows of a frame share.
     """
     cols = ["ts", "frame_index", "det_ix", "class_name", "confidence", *BOX]
     d = dets.select(session, F.col(event_time).cast("timestamp").alias("_time"), F.unix_micros(F.col(event_time).cast("timestamp")).alias("us"), *cols)
-    return in_order(d, [session], "_time", Tracks(d.select("us", *cols).schema, s, timeout), STEP_COLUMNS, lateness)
+    own = Tracks(d.select("us", *cols).schema, s, timeout, emits)
+    return in_order(d, [session], "_time", own, f"time timestamp, us long, {STEP_COLUMNS}" if emits else STEP_COLUMNS, lateness, "time" if emits else "")
