@@ -108,7 +108,7 @@ def render(e: DataFrame, figures: DataFrame | None = None) -> str:
     out = ["# Post-event safety summary", "", "## 1. Event summary", ""]
     if not o["total_events"]:
         return "\n".join([*out, "No events found.", ""])
-    out += [f"- Total events: {o['total_events']} (runs {', '.join(o['runs'])}; {o['sessions']} sessions).", f"- Persistent hazards: {o['persistent']}.", f"- Driver-state events: {o['driver_changes']}.", "", markdown_table((statistics(e) if figures is None else figures).orderBy("category", "key").drop("scope"), limit=10_000), ""]
+    out += [f"- Total events: {o['total_events']} (runs {', '.join(o['runs'])}; {o['sessions']} sessions).", f"- Persistent hazards: {o['persistent']}.", f"- Driver-state events: {o['driver_changes']}.", "", markdown_table((statistics(e) if figures is None else figures).orderBy("category", "key").drop("scope")), ""]
     out += ["## 2. Hazard patterns (descriptive)", "", *[f"- {r['text']}" for r in describe_patterns(find_patterns(e)).orderBy("pattern").collect()], ""]
     busiest = time_bins(e, "timestamp").groupBy("lo").agg(F.sum("n").alias("events")).orderBy(F.desc("events"), "lo")
     out += ["## 3. Busiest stream-time bins", "", markdown_table(busiest, limit=20), ""]

@@ -19,13 +19,16 @@ def _hadoop_exists(spark: SparkSession, path: str) -> bool:
 def lines_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file_ord, ordinal, line): lines with a number that ascends within each file.
 
-    The number comes from the split and the place in it, so no file is pulled into one task.
+    Spark reads a file in byte ranges, several to a task, and packs them as it likes.
+    The range a line comes from and its number in the task's own order tell lines of a
+    file apart and in their order whatever the split size, without pulling a file into one task.
     """
     out = None
     for i, p in enumerate(paths):
-        d = spark.read.text(p).select(F.lit(i).alias("file_ord"), F.monotonically_increasing_id().alias("ordinal"), F.col("value").alias("line"))
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nr"))
+        d = spark.read.text(p).select(F.lit(i).alias("file_ord"), place.alias("ordinal"), F.col("value").alias("line"))
         out = d if out is None else out.unionAll(d)
-    return out if out is not None else spark.createDataFrame([], "file_ord int, ordinal long, line string")
+    return out if out is not None else spark.createDataFrame([], "file_ord int, ordinal struct<file: string, start: bigint, nr: bigint>, line string")
 
 
 @dataclass
