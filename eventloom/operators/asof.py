@@ -25,12 +25,17 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, b
     return pairs.filter((F.col(rt) >= F.col(lt) - before) & (F.col(rt) <= F.col(lt) + after)).drop("_b")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lt: str, rt: str, max_age: float, take: list[str]) -> DataFrame:
-    """Each left row with its nearest right row within ``max_age`` (ties: the earlier one), or nulls."""
-    pairs = band(left.select(*keys, left_id, lt), right.select(*keys, rt, *take), keys, lt, rt, max_age + EPS, max_age + EPS)
-    best = pairs.groupBy(*keys, left_id).agg(F.min(F.struct(F.abs(F.col(lt) - F.col(rt)).alias("d"), F.col(rt).alias("_rt"), *take)).alias("_m"))
-    got = best.select(*keys, left_id, F.col("_m._rt").alias(rt), *[F.col(f"_m.{c}").alias(c) for c in take])
-    return left.join(got, [*keys, left_id], "left")
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, max_age: float, take: list[str]) -> DataFrame:
+    """Each left row with its nearest right row within ``max_age`` (ties: the earlier one), or nulls.
+
+    Matches are found for each time that a session's left rows have, so rows may
+    share an id, a time or everything and each keeps its own match.
+    """
+    times = left.select(*keys, lt).distinct()
+    pairs = band(times, right.select(*keys, rt, *take), keys, lt, rt, max_age + EPS, max_age + EPS)
+    best = pairs.groupBy(*keys, lt).agg(F.min(F.struct(F.abs(F.col(lt) - F.col(rt)).alias("d"), F.col(rt).alias("_rt"), *take)).alias("_m"))
+    got = best.select(*keys, lt, F.col("_m._rt").alias(rt), *[F.col(f"_m.{c}").alias(c) for c in take])
+    return left.join(got, [*keys, lt], "left").select(*left.columns, rt, *take)
 
 
 def backward(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, take: list[str], tail: float | None = None, max_age: float | None = None) -> DataFrame:

@@ -55,19 +55,6 @@ def assigned(df: DataFrame, vector: str, centres: list[list[float]]) -> DataFram
     return df.withColumn("distance", F.least(*d) if len(d) > 1 else d[0]).withColumn("cluster", (F.array_position(F.array(*d), F.col("distance")) - 1).cast("int"))
 
 
-def representatives(df: DataFrame, item: str, vector: str, k: int, seed: int, rounds: int = 50) -> DataFrame:
-    """The row nearest to each k-means centre, largest clusters first."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    d = df.withColumn("_f", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_f", predictionCol="_c").fit(d)
-    centres = [c.tolist() for c in model.clusterCenters()]
-    a = assigned(d.withColumn("_v", F.col(vector).cast("array<double>")), "_v", centres)
-    g = a.groupBy("cluster").agg(F.count("*").alias("n"), F.min_by(item, F.struct("distance", item)).alias("item"))
-    return g.orderBy(F.desc("n"), "cluster")
-
-
 def luma(pixels: str) -> tuple[Column, Column]:
     """(mean, population standard deviation) of an array."""
     n = F.size(pixels)

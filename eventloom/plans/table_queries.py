@@ -135,7 +135,7 @@ SELECT p.session_id, p.event_id, j.fix FROM p LEFT JOIN j ON p.event_id = j.even
 def asof_nearest(spark, d):
     s = steps(spark, d)
     p, f = s.filter("event_type = 'purchase'").select("session_id", "event_id", "t"), s.filter("event_type = 'view'").select("session_id", F.col("t").alias("ft"), F.col("event_id").alias("fix"))
-    return asof.nearest(p, f, S, "event_id", "t", "ft", 12.0, ["fix"]).select("session_id", "event_id", "fix")
+    return asof.nearest(p, f, S, "t", "ft", 12.0, ["fix"]).select("session_id", "event_id", "fix")
 
 
 ASOF_SQL = f"""WITH {STEPS_SQL}, p AS (SELECT session_id, event_id, t FROM steps WHERE event_type = 'purchase'), f AS (SELECT session_id, t AS ft, event_id AS fix FROM steps WHERE event_type = 'view')"""
@@ -288,11 +288,6 @@ def kmeans_assign(spark, d):
     return mleval.assigned(v, "v", CENTRES).select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
-@query("representatives")
-def representatives(spark, d):
-    return mleval.representatives(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 6, 42)
-
-
 @query("luma_stats", """SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS mean, round(list_stddev_pop(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS dev FROM embeddings""")
 def luma_stats(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

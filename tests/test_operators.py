@@ -317,10 +317,17 @@ def test_persistent_hazards(spark):
 def test_nearest_prefers_the_earlier(spark):
     left = spark.createDataFrame([("s", 1, 10.0), ("s", 2, 50.0)], "session_id string, e int, t double")
     right = spark.createDataFrame([("s", 9.0, 1), ("s", 11.0, 2), ("s", 56.0, 3)], "session_id string, ft double, fix int")
-    assert sorted(rows_of(asof.nearest(left, right, S, "e", "t", "ft", 5.0, ["fix"]), "e", "fix"), key=str) == [(1, 1), (2, None)]
+    assert sorted(rows_of(asof.nearest(left, right, S, "t", "ft", 5.0, ["fix"]), "e", "fix"), key=str) == [(1, 1), (2, None)]
     assert sorted(rows_of(asof.backward(left, right, S, "t", "ft", ["fix"], max_age=3.0), "e", "fix"), key=str) == [(1, 1), (2, None)]
 
 
+def test_nearest_of_rows_that_share_an_id_or_a_time(spark):
+    left = spark.createDataFrame([("s", 1, 0.0), ("s", 1, 100.0), ("s", 2, 100.0), ("s", 2, 100.0), ("z", 1, 0.0)], "session_id string, e int, t double")
+    right = spark.createDataFrame([("s", 0.1, 1), ("s", 99.5, 2), ("s", 100.5, 3)], "session_id string, ft double, fix int")
+    got = rows_of(asof.nearest(left, right, S, "t", "ft", 1.0, ["fix"]), "session_id", "e", "t", "fix")
+    assert sorted(got, key=str) == [("s", 1, 0.0, 1), ("s", 1, 100.0, 2), ("s", 2, 100.0, 2), ("s", 2, 100.0, 2), ("z", 1, 0.0, None)]
+
+
 # ---------------------------------------------------------------- files, evaluation, config
 
 
