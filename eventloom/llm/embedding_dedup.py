@@ -117,7 +117,7 @@ def _local_roots(ids: np.ndarray, link: np.ndarray) -> np.ndarray:
 def _link_classes(classes: DataFrame, dim: int, threshold: float, trees: int, sample_rows: int, leaf_rows: int) -> DataFrame:
     """(id, w, root) rows from every leaf: links of class ``id`` counted there and the smallest id it reaches there."""
     spark = classes.sparkSession
-    drawn = classes.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
+    drawn = classes.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep", "embedding").limit(sample_rows).toArrow()
     if not drawn.num_rows:
         return spark.createDataFrame([], "id long, w long, root long")
     sample = _unit(drawn.column("embedding").combine_chunks(), dim)
@@ -203,7 +203,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sound = F.expr("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x != 0)")
     good = rows.filter(sound)
-    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("c")), "vector-classes")
+    # A class is a vector, whatever ids its rows have: it gets a number of its own, as two vectors may share their least id.
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("c"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     found = None
     for r in classes.select(F.size("embedding").alias("d")).distinct().collect():
         part = _link_classes(classes.filter(F.size("embedding") == r["d"]), r["d"], threshold, trees, sample_rows, leaf_rows)
@@ -212,7 +214,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
         found = spark.createDataFrame([], "id long, w long, root long")
     counts = found.groupBy("id").agg(F.sum("w").alias("w"))
     comp = connected_components(found.filter("id != root").select(F.col("id").alias("src"), F.col("root").alias("dst")).distinct())
-    known = classes.join(counts, "id", "left").join(comp, "id", "left").select("embedding", (F.coalesce("w", F.lit(0)) + F.col("c") - 1).alias("n"), F.coalesce("comp", "id").alias("comp"))
+    joined = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = joined.groupBy("comp").agg(F.min("rep").alias("least"))
+    known = joined.join(least, "comp").join(counts, "id", "left").select("embedding", (F.coalesce("w", F.lit(0)) + F.col("c") - 1).alias("n"), F.col("least").alias("comp"))
     out = good.join(known, "embedding").select("vec_id", F.col("n").alias("n_links"), F.col("comp").alias("component_id"))
     lone = rows.filter(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionAll(lone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -127,6 +127,12 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, kind))
 
 
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    with np.errstate(over="ignore"):
+        return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def profiles(docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
     """(doc_id, n, s1, s2, toks): set size, 128-bit set hash, order-A prefix."""
 
@@ -138,9 +144,9 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
             for i, s in _sets(b, k):
                 at.append(i)
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    s1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                    s2.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)))
+                h1, h2 = _set_hash(s)
+                s1.append(h1)
+                s2.append(h2)
                 toks.append(_prefixes(s, lv, num, den, others=False)[0].view(np.int64))
             if at:
                 yield pa.record_batch(
@@ -151,9 +157,12 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
-    """Sets and the other orders' prefixes of the documents in ``ids(id)`` (one text scan behind a fixed-size filter)."""
+    """Sets and the other orders' prefixes of the classes in ``ids(id, rep, s1, s2, n)`` (one text scan behind a fixed-size filter).
+
+    A class's set is that of the document ``rep`` which has its hash: an id may have several texts.
+    """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(id_filter(ids, "id"))
+    bits = spark.sparkContext.broadcast(id_filter(ids, "rep"))
     size = len(bits.value) * 64
 
     def run(batches):
@@ -164,27 +173,29 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level)
             if not len(keep):
                 continue
             b = b.take(pa.array(keep))
-            sets, other = [], [[] for _ in _ORDERS]
+            sets, hashes, other = [], [], [[] for _ in _ORDERS]
             for _, s in _sets(b, k):
                 sets.append(s.tobytes())
+                hashes.append((len(s), *_set_hash(s)))
                 for x, y in zip(other, _prefixes(s, lv, num, den)[1], strict=True):
                     x.append(y)
             yield pa.record_batch(
-                {"id": b.column("doc_id"), "items": pa.array(sets, pa.binary()), **{f"o{i}": _lists(x, pa.int32()) for i, x in enumerate(other)}}
+                {"doc_id": b.column("doc_id"), **{c: pa.array([h[i] for h in hashes], pa.int64()) for i, c in enumerate(("m", "h1", "h2"))}, "items": pa.array(sets, pa.binary()), **{f"o{i}": _lists(x, pa.int32()) for i, x in enumerate(other)}}
             )
 
     kinds = ", ".join(f"o{i} array<int>" for i in range(len(_ORDERS)))
     tagged = docs.filter("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    found = tagged.mapInArrow(lean(run), f"id long, items binary, {kinds}")
-    out = materialize(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    found = tagged.mapInArrow(lean(run), f"doc_id long, m long, h1 long, h2 long, items binary, {kinds}")
+    own = (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("m") == F.col("n"))
+    out = materialize(found.join(ids, own).select("id", "items", *[f"o{i}" for i in range(len(_ORDERS))]).dropDuplicates(["id"]), "sets")
     bits.destroy()
     return out
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
-    """Links (src, dst) among candidate ``pairs(a, b)``: other orders' filters, then exact comparison."""
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
+    """Links (src, dst) among candidate ``pairs(a, b)`` of classes: other orders' filters, then exact comparison."""
     spark = pairs.sparkSession
-    ids = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
+    ids = materialize(classes.join(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "id", "left_semi"), "ids")
     sets = _sets_of(docs, ids, k, num, den, level)
     meets = [f"arrays_overlap(a{i}, b{i})" for i in range(len(_ORDERS))]
     side = lambda c: sets.select(F.col("id").alias(c), *[F.col(f"o{i}").alias(f"{c}{i}") for i in range(len(_ORDERS))])
@@ -234,10 +245,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     level = spark.sparkContext.broadcast(token_counts(docs, k))
     prof = materialize(profiles(docs, k, num, den, level), "profiles")
 
-    classes = prof.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+    # A class is a set, whatever ids its documents have: it gets a number of its own, as two sets may share their least id.
+    classes = prof.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")
-    reps = prof.select("doc_id", "n", "toks").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    post = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("toks").alias("pos", "tok"))
+    reps = prof.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2", "n"]).select("id", "n", "toks").dropDuplicates(["id"])
+    post = reps.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
 
     # Tokens of one class alone meet nothing; of the others the smallest and the largest class are pivots.
     pivots = post.groupBy("tok").agg(F.min(F.struct("id", "n")).alias("p"), F.max(F.struct("id", "n")).alias("q"), F.count("*").alias("c")).filter("c > 1")
@@ -259,7 +271,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return best.select(F.least("id", -F.col("x.m")).alias("a"), F.greatest("id", -F.col("x.m")).alias("b"))
 
     first = materialize(likeliest("p").unionAll(likeliest("q")).distinct(), "pairs1")
-    links = _verify(first, docs, k, num, den, level)
+    links = _verify(first, classes, docs, k, num, den, level)
     comp = connected_components(links)
 
     at = met.select("tok", "id", "n", "pos").join(comp, "id", "left").select("tok", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
@@ -270,12 +282,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     meets = f"ca != cb and (ca < cb or not aside) and {fit('na', 'nb')} and pa <= na - {need('na', 'nb')} and pb <= nb - {need('na', 'nb')}"
     second = a.join(b, "tok").filter(F.expr(meets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs2")
-    more = _verify(second, docs, k, num, den, level)
+    more = _verify(second, classes, docs, k, num, den, level)
     comp = connected_components(links.unionAll(more))
     forget(met, first, at, second, links, more)
     level.destroy()
     trim()
 
-    named = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("component_id"))
+    joined = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = joined.join(least, "comp").select("s1", "s2", "n", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return prof.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -38,6 +38,28 @@ def test_ngram_join_edges(spark):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == [(1, 1), (1, 1), (2, 1), (None, None)]
 
 
+def test_ngram_join_of_two_texts_under_one_id(spark):
+    """Classes are sets: a document like the second text of an id is linked with it, whichever text comes first."""
+    from eventloom.llm.ngram_join import jaccard_components
+
+    a, b = prose(random.Random(31), 80), prose(random.Random(32), 80)
+    near = " ".join([*b.split()[:-1], "odd"])
+    for rows in ([(1, a), (1, b), (2, near)], [(2, near), (1, b), (1, a)], [(1, a), (1, b), (2, near), (3, a), (3, near), (4, prose(random.Random(33), 80))]):
+        rows = [(i, t, "", "", 0, "") for i, t in rows]
+        want = components(range(len(rows)), [(x, y) for x, y in itertools.combinations(range(len(rows)), 2) if 100 * len(_shingles(rows[x][1], 3) & _shingles(rows[y][1], 3)) >= 90 * len(_shingles(rows[x][1], 3) | _shingles(rows[y][1], 3))])
+        least = {c: min(rows[x][0] for x in want if want[x] == c) for c in want.values()}
+        got = jaccard_components(spark.createDataFrame(rows, DOC), 3, 90, 100).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((rows[x][0], len(_shingles(rows[x][1], 3)), least[c]) for x, c in want.items())
+
+
+def test_embeddings_of_two_vectors_under_one_id(spark):
+    from eventloom.llm.embedding_dedup import near_duplicates
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0]), (3, [0.001, 1.0]), (4, [-1.0, -1.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_ngram_join_hot_group(spark):
     """A long chain of near copies stays one component though its ends are far apart."""
     from eventloom.llm.ngram_join import jaccard_components
