@@ -67,13 +67,17 @@ def eye_openness(p: list) -> Column:
     return F.when(d(0, 3) >= 1e-6, (d(1, 5) + d(2, 4)) / (2.0 * d(0, 3)))
 
 
+#: Named aspect ratios (width over height), in the order in which they are tried.
+ASPECTS = (("1:1", 1.0), ("4:3", 4 / 3), ("3:4", 3 / 4), ("16:9", 16 / 9), ("9:16", 9 / 16), ("3:2", 1.5), ("2:3", 2 / 3))
+
+
 def aspect_label(w, h) -> Column:
-    """Name of the nearest usual aspect ratio within 0.02, else the ratio itself."""
-    r = F.try_divide(F.greatest(col(w), col(h)).cast("double"), F.least(col(w), col(h)).cast("double"))
+    """Name of the first usual aspect ratio within 0.02, else ``other`` with the ratio; null without a height."""
+    r = F.try_divide(col(w).cast("double"), col(h).cast("double"))
     out = F.when(r.isNull(), F.lit(None).cast("string"))
-    for name, value in (("1:1", 1.0), ("4:3", 4 / 3), ("3:2", 1.5), ("16:9", 16 / 9)):
+    for name, value in ASPECTS:
         out = out.when(F.abs(r - value) < 0.02, name)
-    return out.otherwise(F.format_number(r, 2))
+    return out.otherwise(F.concat(F.lit("other ("), fixed(r, 2), F.lit(")")))
 
 
 def orientation(w, h) -> Column:
@@ -82,9 +86,10 @@ def orientation(w, h) -> Column:
 
 
 def fourcc(code) -> Column:
-    """The four characters packed in a codec number."""
-    c = col(code).cast("long")
-    return F.concat(*[F.chr(F.shiftright(c, 8 * i).bitwiseAND(0xFF)) for i in range(4)])
+    """The four characters packed in a codec number, without blanks and zeros around them; null where nothing is left."""
+    c = F.coalesce(col(code).cast("long"), F.lit(0))
+    text = F.concat(*[F.chr(F.shiftright(c, 8 * i).bitwiseAND(0xFF)) for i in range(4)])
+    return F.nullif(F.btrim(text, F.lit("\x00 ")), F.lit(""))
 
 
 def clock(t) -> Column:

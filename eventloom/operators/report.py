@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.config import LEVELS
 from eventloom.functions.columns import fixed, or_else
 from eventloom.operators.ordered import elevated_episodes
+from eventloom.operators.risk import optional
 from eventloom.operators.stats import advice_text, aggregate_recommendations, by_level, describe_patterns, event_overview, find_patterns, five_by, is_significant, long_counts, real_positions, recommendation, summary_text, time_bins, tri_state
 from eventloom.sources.writers import markdown_table, write_text
 
@@ -102,6 +103,30 @@ def statistics(e: DataFrame, scope: str = "REAL") -> DataFrame:
     return out.select(F.lit(scope).alias("scope"), "category", "key", "value")
 
 
+def event_totals(e: DataFrame, order: str = "ordinal") -> DataFrame:
+    """(category, key, n, place): every counter of the summary, in one pass; most frequent first, of equals the one seen first.
+
+    Levels are there with zeros.  ``order`` tells how events follow each other.
+    """
+    at = lambda kind, c: F.when(F.col("event_type") == kind, c)
+    level_change = F.when(F.col("event_type").isin("RISK_ESCALATED", "RISK_DEESCALATED"), F.nullif("transition", F.lit("")))
+    own = lambda c: optional(e, c, "string")
+    said = lambda c: F.coalesce(F.nullif(own(c).cast("string"), F.lit("")), F.lit("not recorded"))
+    kinds = {
+        "events_by_type": F.coalesce("event_type", F.lit("None")), "events_by_camera": said("camera"), "events_by_risk_level": F.col("risk_level"), "events_by_hazard_type": said("hazard_type"), "events_by_hazard_class": F.nullif(own("hazard_class"), F.lit("")), "risk_transitions": level_change,
+        "alarm_recommended": tri_state("alarm_recommended"), "persistent_by_hazard_type": at("PERSISTENT_HAZARD", said("hazard_type")), "persistent_by_risk_level": at("PERSISTENT_HAZARD", said("risk_level")),
+        "driver_by_change_kind": at("DRIVER_STATE_CHANGE", said("change_kind")), "driver_by_transition": at("DRIVER_STATE_CHANGE", F.concat_ws(": ", F.coalesce(own("change_kind"), F.lit("None")), F.coalesce("transition", F.lit("None")))),
+        "data_sources": F.coalesce(own("data_source"), F.lit("None")), "observation_types": said("observation_type"), "evidence_kinds": said("evidence_kind"),
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("category"), v.cast("string").alias("key")) for k, v in kinds.items()])
+    got = e.select(F.col(order).alias("o"), F.inline(pairs)).filter("key IS NOT NULL").groupBy("category", "key").agg(F.count("*").alias("n"), F.min("o").alias("first"))
+    none = e.sparkSession.createDataFrame([("events_by_risk_level", x) for x in LEVELS], "category string, key string")
+    got = got.unionByName(none.join(got, ["category", "key"], "left_anti").withColumns({"n": F.lit(0).cast("long"), "first": F.lit(None).cast(got.schema["first"].dataType)}))
+    # Per category as many rows as it has values.
+    w = Window.partitionBy("category").orderBy(F.desc("n"), F.asc_nulls_last("first"), "key")
+    return got.select("category", "key", "n", F.row_number().over(w).alias("place"))
+
+
 def render(e: DataFrame, figures: DataFrame | None = None) -> str:
     """The summary as Markdown, from totals alone."""
     o = event_overview(e).first()

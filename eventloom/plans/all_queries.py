@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.columns import level_name
 from eventloom.operators import folds, ordered
-from eventloom.plans import model_queries, record_queries, reference_queries, report_queries, risk_queries, sequence_queries, stream_queries, table_queries  # noqa: F401
+from eventloom.plans import model_queries, record_queries, reference_queries, report_queries, risk_queries, sequence_queries, signal_queries, stream_queries, table_queries  # noqa: F401
 from eventloom.plans.adapter import HOURS, STEPS_SQL, steps
 from eventloom.plans.registry import query
 from eventloom.plans.sequence_queries import HYST_SQL

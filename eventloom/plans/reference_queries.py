@@ -81,12 +81,14 @@ def early_stop(spark, d):
     return mleval.early_stopped(e, ["run"], "epoch", "f1", "loss", 3).select("run", "epoch", "is_best", F.col("since_best").cast("long").alias("since_best"))
 
 
-@query("layout_scores", """SELECT 'regions' AS layout, count(DISTINCT n_name) AS score FROM nation""")
+@query("layout_scores", """WITH f AS (SELECT DISTINCT c_mktsegment AS camera, n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey), l AS (SELECT r_name AS layout, r_regionkey AS place, n_name AS label FROM region JOIN nation ON n_regionkey = r_regionkey),
+g AS (SELECT layout, place, count(*) AS score FROM l JOIN f USING (label) GROUP BY 1, 2) SELECT coalesce(arg_max(layout, score * 1000 - place), 'default') AS layout, coalesce(max(score), 0) AS score FROM g""")
 def layout_scores(spark, d):
-    found = table(spark, d, "nation").select(F.lit("front").alias("camera"), F.col("n_name").alias("label"))
-    other = table(spark, d, "region").select(F.lit("segments").alias("layout"), F.lit("front").alias("camera"), F.col("r_name").alias("label"), F.lit(1).alias("place"))
-    known = table(spark, d, "nation").select(F.lit("regions").alias("layout"), F.lit("front").alias("camera"), F.col("n_name").alias("label"), F.lit(0).alias("place"))
-    return files.layout_of(found, known.unionAll(other), "default")
+    """The region that most (segment, nation) pairs of the customers belong to, regions as layouts of every segment's nations."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    found = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("camera"), F.col("n_name").alias("label"))
+    places = n.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("layout"), F.col("n_name").alias("label"), F.col("r_regionkey").alias("place"))
+    return files.layout_of(found, places.join(found.distinct(), "label"), "default")
 
 
 @query("frame_targets", """SELECT doc_id, f.f AS fraction, greatest(0, least(n_chars - 1, round_even(f.f::DOUBLE * (n_chars - 1), 0)::BIGINT)) AS frame FROM documents, (SELECT unnest([0.0, 0.25, 0.5, 1.0]::DOUBLE[]) AS f) f WHERE n_chars > 0""")

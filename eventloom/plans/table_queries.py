@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.columns import level_name, or_else
@@ -34,9 +36,13 @@ def most_common(spark, d):
     return stats.counted(table(spark, d, "events"), F.col("event_type"), "event_id")
 
 
-@query("zero_filled_levels", f"""WITH {STEPS_SQL} SELECT count(*) FILTER (raw = 0) AS safe, count(*) FILTER (raw = 1) AS caution, 0 AS high, count(*) FILTER (raw = 3) AS critical, count(*) FILTER (raw = 2) AS no_level FROM steps""")
+@query("zero_filled_levels", f"""WITH {STEPS_SQL}, k AS (SELECT unnest(['view', 'click', 'purchase', 'error', 'signup']) AS event_type)
+SELECT event_type, count(*) FILTER (raw = 0 AND value < 40) AS safe, count(*) FILTER (raw = 1 AND value < 40) AS caution, count(*) FILTER (raw = 2 AND value < 40) AS high, count(*) FILTER (raw = 3 AND value < 40) AS critical, count(*) FILTER (value >= 40) AS no_level FROM k LEFT JOIN steps USING (event_type) GROUP BY 1""")
 def zero_filled_levels(spark, d):
-    return stats.by_level(steps(spark, d).withColumn("risk_level", F.when(F.col("raw") != 2, level_name("raw"))))
+    """Levels of each kind of event; values of 40 and more have none, so two levels stay empty."""
+    s = steps(spark, d).withColumn("risk_level", F.when(F.col("value") < 40, level_name("raw")))
+    out = [stats.by_level(s.filter(F.col("event_type") == k)).select(F.lit(k).alias("event_type"), "*") for k in ("view", "click", "purchase", "error", "signup")]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("event_overview", f"""WITH {FULL_SQL}
@@ -70,9 +76,11 @@ def geo_cells(spark, d):
     return stats.grid_cells(p, "lat", "lon", "k", 0.1)
 
 
-@query("bounding_box", "SELECT count(*) AS points, min(s_acctbal) AS lo, max(s_acctbal) AS hi, min(s_nationkey) AS west, max(s_nationkey) AS east FROM supplier")
+@query("bounding_box", f"""WITH {STEPS_SQL}, {BOXES_SQL} SELECT session_id, count(*) AS points, min((x1 + x2) / 2) AS west, max((x1 + x2) / 2) AS east, min((y1 + y2) / 2) AS north, max((y1 + y2) / 2) AS south FROM boxes GROUP BY 1""")
 def bounding_box(spark, d):
-    return table(spark, d, "supplier").agg(F.count("*").alias("points"), F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"), F.min("s_nationkey").alias("west"), F.max("s_nationkey").alias("east"))
+    """The extent of each session's box centres."""
+    b = geometry.with_shape(boxes(spark, d))
+    return b.groupBy("session_id").agg(F.count("*").alias("points"), *[f(c).alias(n) for n, f, c in (("west", F.min, "cx"), ("east", F.max, "cx"), ("north", F.min, "cy"), ("south", F.max, "cy"))])
 
 
 @query("recommendations", f"""WITH {FULL_SQL}, k AS (SELECT CASE WHEN event_type = 'RISK_DEESCALATED' THEN 'deescalation' ELSE CASE hazard_type WHEN 'PEDESTRIAN_CONFLICT' THEN 'pedestrian' WHEN 'APPROACHING_VEHICLE' THEN 'vehicle' WHEN 'ANIMAL_HAZARD' THEN 'animal' WHEN 'DRIVER_DROWSINESS' THEN 'drowsiness' ELSE 'none' END END AS key FROM flog)
@@ -180,18 +188,20 @@ def clean_detections(spark, d):
     return geometry.clean_detections(b, ["session_id", "frame"], ["view", "click", "error"], 0.35, 300.0, 250.0).select("event_id", "det_ix")
 
 
-@query("split_comparison", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0)
+@query("split_comparison", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders), b AS (SELECT l_orderkey AS k, max(l_linestatus) AS v FROM lineitem GROUP BY 1)
 SELECT k, a.v AS left_value, b.v AS right_value, CASE WHEN b.k IS NULL THEN 'only_left' WHEN a.k IS NULL THEN 'only_right' WHEN a.v = b.v THEN 'common' ELSE 'moved' END AS status FROM a FULL JOIN b USING (k)""")
 def split_comparison(spark, d):
+    """Orders by their own status and by that of their lines."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    return asof.outer_diff(o.filter("k % 3 <> 0"), o.filter("k % 4 <> 0").withColumn("v", F.when(F.col("k") % 5 == 0, "X").otherwise(F.col("v"))), "k", "v")
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("v"))
+    return asof.outer_diff(o, lines, "k", "v")
 
 
-@query("expected_found", """SELECT n_nationkey AS k, 'missing' AS status FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 15) UNION ALL SELECT DISTINCT c_nationkey + 20, 'unexpected' FROM customer WHERE c_nationkey + 20 > 24""")
+@query("expected_found", """SELECT c_custkey AS k, 'missing' AS status FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) UNION ALL SELECT DISTINCT user_id, 'unexpected' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)""")
 def expected_found(spark, d):
-    want = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
-    found = table(spark, d, "supplier").filter("s_nationkey < 15").select(F.col("s_nationkey").alias("k")).unionAll(table(spark, d, "customer").select((F.col("c_nationkey") + 20).alias("k")).filter("k > 24"))
-    return asof.expected_found(want, found, ["k"])
+    """Customers without an event, and events' users that are no customers."""
+    want = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return asof.expected_found(want, table(spark, d, "events").select(F.col("user_id").alias("k")), ["k"])
 
 
 @query("set_operations", """SELECT 'both' AS kind, n FROM (SELECT count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)) UNION ALL SELECT 'only_customers', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)""")
@@ -295,9 +305,12 @@ def luma_stats(spark, d):
     return v.select("vec_id", F.round(mean, 6).alias("mean"), F.round(dev, 6).alias("dev"))
 
 
-@query("score_deciles", f"""WITH {STEPS_SQL} SELECT session_id, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS dev FROM steps GROUP BY 1""")
+@query("score_deciles", f"""WITH {STEPS_SQL}, r AS (SELECT event_type, x, row_number() OVER (PARTITION BY event_type ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM steps), k AS (SELECT unnest(range(1, 10)) AS decile)
+SELECT event_type, decile::INT AS decile, x AS value, n FROM r JOIN k ON r.i = round_even(decile / 10.0::DOUBLE * (n - 1), 0)""")
 def score_deciles(spark, d):
-    return steps(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("dev"))
+    """The nine deciles of each kind's scores, by nearest rank."""
+    places = {str(i): F.rint(i / 10 * (F.col("n") - 1)) for i in range(1, 10)}
+    return stats.ranked_values(steps(spark, d), ["event_type"], "x", places).select("event_type", F.col("_name").cast("int").alias("decile"), "value", "n")
 
 
 @query("source_exclusion", """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'LOCAL_REAL' WHEN 1 THEN 'PUBLIC' WHEN 2 THEN 'SYNTHETIC' END AS src FROM events) SELECT coalesce(src, 'None') AS data_source, count(*) AS n FROM e WHERE src IS NULL OR src NOT IN ('LOCAL_REAL', 'PUBLIC') GROUP BY 1""")

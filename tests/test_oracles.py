@@ -18,7 +18,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, con, name):
-    assert differ(spark, con, SF, QUERIES[name], ORACLES[name]) in ("", "no rows")
+    # A query without rows would prove nothing.
+    assert not differ(spark, con, SF, QUERIES[name], ORACLES[name])
 
 
 def test_entry(spark):
