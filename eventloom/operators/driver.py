@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.config import DriverSettings
 from eventloom.functions.columns import col
-from eventloom.operators.folds import closures
+from eventloom.operators.folds import marked_closures
 from eventloom.operators.ordered import islands, ordered, run_duration, trailing, trailing_ratio
 
 
@@ -17,9 +17,8 @@ def eye_features(df: DataFrame, keys: list[str], order: list[str], t: str, close
     ``closed`` is true, false or null (not observed).
     """
     w = ordered(keys, order)
-    d = trailing_ratio(df, keys, order, t, closed, s.window, s.max_gap)
-    ends = closures(df.select(*keys, *order, *[c for c in (t, closed) if c not in order]), keys, order, t, closed, s.max_gap, s.blink, s.long).select(*keys, *order, F.col("kind").alias("_kind"))
-    d = d.join(ends, [*keys, *order], "left")
+    d = marked_closures(df, keys, order, t, closed, s.max_gap, s.blink, s.long).withColumnRenamed("kind", "_kind").drop("duration")
+    d = trailing_ratio(d, keys, order, t, closed, s.window, s.max_gap)
     d = d.withColumn("blinks", trailing("count_if(_kind = 'blink')", keys, t, s.window)).withColumn("long_closures", trailing("count_if(_kind = 'long')", keys, t, s.window))
     # A run of closed rows: unknown rows neither extend nor end it, a gap in observation does.
     seen = F.last(F.when(F.col(closed).isNotNull(), F.col(t)), True).over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,40 @@ def issues(row: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return row.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("issue"))
 
 
+def plan_problems(plan: DataFrame, files: DataFrame, item: str, content: str, split: str, label: str, splits: list[str], least: int = 1) -> DataFrame:
+    """(problem, item, n): what is wrong with a split plan (item, split, label, content) against the files (item, content) it was made for.
+
+    An item twice or without a file, content that is not the file's, a split or label
+    that is missing or unknown, content in several splits or under several labels,
+    and labels with fewer than ``least`` items in a split.  An empty result is a sound plan.
+    """
+    p = plan.select(F.col(item).alias("item"), F.col(content).alias("content"), F.col(split).alias("split"), F.col(label).alias("label"))
+    f = files.select(F.col(item).alias("item"), F.col(content).alias("found")).dropDuplicates(["item"])
+    each = p.join(f.withColumn("there", F.lit(True)), "item", "left")
+    rules = {"no file": F.col("there").isNull(), "other content": ~F.col("found").eqNullSafe(F.col("content")) & F.col("there").isNotNull(), "unknown split": ~F.coalesce(F.col("split").isin(*splits), F.lit(False)), "no label": F.coalesce("label", F.lit("")) == ""}
+    named = each.select("item", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("problem")).groupBy("problem", "item").agg(F.count("*").alias("n"))
+    twice = p.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("twice").alias("problem"), "item", "n")
+    shared = p.filter("content IS NOT NULL").groupBy("content").agg(F.countDistinct("split").alias("s"), F.countDistinct("label").alias("l"), F.min("item").alias("item"))
+    across = [shared.filter(F.col(c) > 1).select(F.lit(k).alias("problem"), "item", F.col(c).alias("n")) for k, c in (("content in several splits", "s"), ("content under several labels", "l"))]
+    wanted = p.filter(F.coalesce("label", F.lit("")) != "").select("label").distinct().withColumn("split", F.explode(F.array(*[F.lit(x) for x in splits])))
+    few = wanted.join(p.groupBy("label", "split").agg(F.count("*").alias("n")), ["label", "split"], "left").fillna(0, ["n"]).filter(F.col("n") < least)
+    few = few.select(F.lit("too few").alias("problem"), F.concat_ws("/", "split", "label").alias("item"), "n")
+    kind = plan.schema[item].dataType
+    text = lambda d: d.withColumn("item", F.col("item").cast("string")) if kind.typeName() != "string" else d
+    return reduce(DataFrame.unionByName, [text(d) for d in (named, twice, *across, few)])
+
+
+def fingerprint(df: DataFrame, columns: list[str], keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, rows, fingerprint): a table's, or each group's, rows told apart from any other multiset of rows, whatever their order and partitions.
+
+    The sum of each row's digest, read as two numbers: one pass with partial sums.
+    """
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    half = lambda i: F.conv(F.substring(F.sha2(text, 256), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(half(i)), F.lit(0).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", *sums), 256).alias("fingerprint"))
+
+
 def layout_of(found: DataFrame, layouts: DataFrame, default: str) -> DataFrame:
     """The known layout (layout, camera, label, place) that shares most distinct folders with those found; of equal ones the first, without any the default."""
     shared = layouts.join(found.select("camera", "label").distinct(), ["camera", "label"], "left_semi").groupBy("layout", "place").agg(F.countDistinct("camera", "label").alias("score"))

@@ -19,10 +19,11 @@ from eventloom.operators.machines import Closures, Cooldown, GridSampler, Hyster
 from eventloom.operators.ordered import islands, ordered
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], machine: Callable, step: Callable, adds: str = "") -> DataFrame:
+def folded(df: DataFrame, keys: list[str], order: list[str], machine: Callable, step: Callable, adds: str = "", reads: list[str] | None = None) -> DataFrame:
     """Rows that ``step(machine, row)`` keeps, in order within each key.
 
-    ``step`` returns None to drop a row or a tuple of values for the columns ``adds``.
+    ``step`` returns None to drop a row or a tuple of values for the columns ``adds``;
+    ``reads`` names the columns that it looks at (all, if None).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -31,13 +32,15 @@ def folded(df: DataFrame, keys: list[str], order: list[str], machine: Callable,
     kind = StructType([*df.schema.fields, *[StructField(f.name, f.dataType) for f in more]])
     extra = to_arrow_schema(StructType(more))
 
+    read = list(dict.fromkeys([*keys, *reads])) if reads is not None else names
+
     def run(batches):
         key, state = None, None
         for b in batches:
-            cols = {c: b.column(c) for c in names}
-            rows = b.to_pylist()
             keep, values = [], []
-            for i, r in enumerate(rows):
+            # Only what the machine reads becomes Python objects; the other columns are taken as they are.
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in read), strict=True)):
+                r = dict(zip(read, row, strict=True))
                 k = tuple(r[c] for c in keys)
                 if k != key:
                     key, state = k, machine()
@@ -47,7 +50,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], machine: Callable,
                     values.append(out)
             at = pa.array(keep, pa.int64())
             new = {f.name: pa.array([v[j] for v in values], f.type) for j, f in enumerate(extra)}
-            yield pa.record_batch({**{c: x.take(at) for c, x in cols.items()}, **new})
+            yield pa.record_batch({**{c: b.column(c).take(at) for c in names}, **new})
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, kind)
@@ -55,7 +58,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], machine: Callable,
 
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], t: str, raw: str, s: RiskSettings = RiskSettings()) -> DataFrame:
     """Adds ``level``: the smoothed rank of each row (see machines.Hysteresis)."""
-    return folded(df, keys, order, lambda: Hysteresis(s), lambda m, r: (m.update(r[t], r[raw]),), "level int")
+    return folded(df, keys, order, lambda: Hysteresis(s), lambda m, r: (m.update(r[t], r[raw]),), "level int", [t, raw])
 
 
 def decayed_score(df: DataFrame, keys: list[str], order: list[str], t: str, raw: str, s: RiskSettings = RiskSettings()) -> DataFrame:
@@ -71,22 +74,27 @@ def decayed_score(df: DataFrame, keys: list[str], order: list[str], t: str, raw:
 
 def cooldown(df: DataFrame, keys: list[str], order: list[str], t: str, seconds: float) -> DataFrame:
     """Rows at least ``seconds`` after the last kept row of their key."""
-    return folded(df, keys, order, lambda: Cooldown(seconds), lambda m, r: () if m.update(r[t]) else None)
+    return folded(df, keys, order, lambda: Cooldown(seconds), lambda m, r: () if m.update(r[t]) else None, reads=[t])
 
 
 def sampled(df: DataFrame, keys: list[str], order: list[str], t: str, fps: float) -> DataFrame:
     """Frames on a grid of ``fps`` (see machines.GridSampler)."""
-    return folded(df, keys, order, lambda: GridSampler(fps), lambda m, r: () if m.update(r[t]) else None)
+    return folded(df, keys, order, lambda: GridSampler(fps), lambda m, r: () if m.update(r[t]) else None, reads=[t])
 
 
 def emitted_on_change(df: DataFrame, keys: list[str], order: list[str], t: str, state: str, every: float) -> DataFrame:
     """Rows worth printing (see machines.Printer)."""
-    return folded(df, keys, order, lambda: Printer(every), lambda m, r: () if m.update(r[t], r[state]) else None)
+    return folded(df, keys, order, lambda: Printer(every), lambda m, r: () if m.update(r[t], r[state]) else None, reads=[t, state])
 
 
 def closures(df: DataFrame, keys: list[str], order: list[str], t: str, closed: str, max_gap: float, blink: float, long: float) -> DataFrame:
     """Rows that end a run of closed eyes, with ``duration`` and ``kind`` (see machines.Closures)."""
-    return folded(df, keys, order, lambda: Closures(max_gap, blink, long), lambda m, r: e[1:] if (e := m.update(r[t], r[closed])) else None, "duration double, kind string")
+    return marked_closures(df, keys, order, t, closed, max_gap, blink, long).filter("kind IS NOT NULL")
+
+
+def marked_closures(df: DataFrame, keys: list[str], order: list[str], t: str, closed: str, max_gap: float, blink: float, long: float) -> DataFrame:
+    """Every row, with ``duration`` and ``kind`` where it ends a run of closed eyes."""
+    return folded(df, keys, order, lambda: Closures(max_gap, blink, long), lambda m, r: e[1:] if (e := m.update(r[t], r[closed])) else (None, None), "duration double, kind string", [t, closed])
 
 
 def debounced(df: DataFrame, keys: list[str], order: list[str], state: str, need: int, unknown: str = "UNKNOWN") -> DataFrame:

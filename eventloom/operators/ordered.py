@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from eventloom.config import EPS, LEVELS
 from eventloom.functions.columns import col, level_name, rank
+from eventloom.sources.storage import stored
 
 
 def ordered(keys: list[str], order: list) -> "Window":
@@ -179,3 +180,19 @@ def placed(df: DataFrame, keys: list[str], order: list, bucket: str) -> DataFram
     inner = F.row_number().over(Window.partitionBy(*own).orderBy(*order))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(own)])
     return df.withColumn("_i", inner).join(o, same).withColumn("_r", F.col("_i") + F.col("_o")).drop("_i", "_o", bucket, *[f"_p{i}" for i in range(len(own))])
+
+
+def numbered_places(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Adds the 0-based place of each row in its group, whatever the group's size.
+
+    Rows are range-sorted by group and order; a place is the one within a range plus
+    the counts of the group's earlier ranges.  ``order`` should tell rows apart.
+    """
+    d = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = d.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_in")).agg(F.count("*").alias("_n"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*own).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    o = sizes.select(*own, "_in", before.alias("_before"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_range") == F.col("_in"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    return d.withColumn(name, inner).join(o, same).withColumn(name, F.col(name) + F.col("_before")).drop(*own, "_in", "_before", "_range")

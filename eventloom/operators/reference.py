@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import RiskSettings
 from eventloom.functions.columns import col
+from eventloom.operators.ordered import numbered_places
+from eventloom.operators.stats import places_of
 from eventloom.schemas import REAL_SOURCES
+from eventloom.sources.storage import stored
 
 #: A person below this share of the image is distant; metres a degree of latitude.
 DISTANT, METRES = 0.005, 111_320.0
@@ -47,7 +50,11 @@ def pool_ranges(candidates: DataFrame) -> DataFrame:
     """(pool, field, n, min, median, max) of the values that seed parameters; fields without a value have no row."""
     values = F.when(F.col("pool") == "drowsy", F.array(_named("drowsiness_score"))).otherwise(F.array(*[_named(c) for c in RANGES]))
     v = candidates.select("pool", F.inline(values)).filter("value is not null")
-    return v.groupBy("pool", "field").agg(F.count("*").alias("n"), *[F.round(f("value"), 4).alias(k) for k, f in (("min", F.min), ("median", F.median), ("max", F.max))])
+    own = stored(v.groupBy("pool", "field", "value").agg(F.count("*").alias("_c")), "values")
+    half = (F.col("n") - 1) / 2
+    mid = places_of(own, ["pool", "field"], {"low": F.floor(half), "high": F.ceil(half)}).groupBy("pool", "field").agg(F.round(F.avg("value"), 4).alias("median"))
+    rest = own.groupBy("pool", "field").agg(F.sum("_c").alias("n"), F.round(F.min("value"), 4).alias("min"), F.round(F.max("value"), 4).alias("max"))
+    return rest.join(mid, ["pool", "field"]).select("pool", "field", "n", "min", "median", "max")
 
 
 def _named(c: str) -> Column:
@@ -65,7 +72,7 @@ def linked(rows: DataFrame, item: str, pool: str, candidates: DataFrame, seed: s
     Candidates are one run's events; they are numbered in the order of their ids.
     """
     c = candidates.select(F.col("pool").alias("_pool"), F.col("event_id").alias("parent_event_id"))
-    c = c.withColumn("_at", F.row_number().over(Window.partitionBy("_pool").orderBy("parent_event_id")) - 1)
+    c = numbered_places(c, ["_pool"], ["parent_event_id"], "_at")
     sizes = F.broadcast(c.groupBy("_pool").agg(F.count("*").alias("_n")))
     r = rows.join(sizes, F.col(pool) == F.col("_pool"), "left").drop("_pool").withColumn("_pick", draw(seed, item, "_n"))
     return r.join(c, (F.col(pool) == F.col("_pool")) & (F.col("_pick") == F.col("_at")), "left").drop("_pool", "_at", "_n", "_pick")

@@ -16,6 +16,7 @@ from eventloom.functions.columns import fixed, or_else
 from eventloom.operators.ordered import elevated_episodes
 from eventloom.operators.risk import optional
 from eventloom.operators.stats import advice_text, aggregate_recommendations, by_level, describe_patterns, event_overview, find_patterns, five_by, is_significant, long_counts, real_positions, recommendation, summary_text, time_bins, tri_state
+from eventloom.sources.storage import stored
 from eventloom.sources.writers import markdown_table, write_text
 
 #: What stands for a missing path, and the label of a persistent hazard's reason.
@@ -76,7 +77,12 @@ def _figures(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def statistics(e: DataFrame, scope: str = "REAL") -> DataFrame:
-    """(scope, category, key, value): every count and figure of the report in long form."""
+    """(scope, category, key, value): every count and figure of the report in long form; the events are worked out once, into the shared folder."""
+    e = stored(e, "events")
+    return _statistics(e, scope)
+
+
+def _statistics(e: DataFrame, scope: str = "REAL") -> DataFrame:
     sessions = F.countDistinct(F.struct(F.coalesce("run_id", F.lit("None")), F.coalesce(F.col("session_id").cast("string"), F.lit("None"))))
     change = F.when(F.col("event_type") == "DRIVER_STATE_CHANGE", F.concat_ws(": ", "change_kind", "transition"))
     level_change = F.when(F.col("event_type").isin("RISK_ESCALATED", "RISK_DEESCALATED"), F.col("transition"))
@@ -133,7 +139,7 @@ def render(e: DataFrame, figures: DataFrame | None = None) -> str:
     out = ["# Post-event safety summary", "", "## 1. Event summary", ""]
     if not o["total_events"]:
         return "\n".join([*out, "No events found.", ""])
-    out += [f"- Total events: {o['total_events']} (runs {', '.join(o['runs'])}; {o['sessions']} sessions).", f"- Persistent hazards: {o['persistent']}.", f"- Driver-state events: {o['driver_changes']}.", "", markdown_table((statistics(e) if figures is None else figures).orderBy("category", "key").drop("scope")), ""]
+    out += [f"- Total events: {o['total_events']} (runs {', '.join(o['runs'])}; {o['sessions']} sessions).", f"- Persistent hazards: {o['persistent']}.", f"- Driver-state events: {o['driver_changes']}.", "", markdown_table((_statistics(e) if figures is None else figures).orderBy("category", "key").drop("scope")), ""]
     out += ["## 2. Hazard patterns (descriptive)", "", *[f"- {r['text']}" for r in describe_patterns(find_patterns(e)).orderBy("pattern").collect()], ""]
     busiest = time_bins(e, "timestamp").groupBy("lo").agg(F.sum("n").alias("events")).orderBy(F.desc("events"), "lo")
     out += ["## 3. Busiest stream-time bins", "", markdown_table(busiest, limit=20), ""]
@@ -146,7 +152,9 @@ def write_report(e: DataFrame, folder: str, prefix: str = "") -> dict[str, str]:
     """Writes the summary (Markdown, JSON), the statistics (CSV), the significant entries (Markdown, JSON lines) and the events of each recommendation."""
     spark = e.sparkSession
     paths = {k: f"{folder.rstrip('/')}/{k}" for k in ("summary_md", "summary_json", "statistics_csv", "entries_md", "entries_json", "recommended_events")}
-    stats = statistics(e)
+    # Worked out once for all files.
+    e = stored(e, "events")
+    stats = _statistics(e)
     stats.coalesce(1).write.mode("overwrite").option("header", True).csv(paths["statistics_csv"])
     figures = spark.read.schema(stats.schema).option("header", True).csv(paths["statistics_csv"])
     write_text(spark, render(e, figures), paths["summary_md"])

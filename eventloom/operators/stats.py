@@ -12,6 +12,7 @@ from pyspark.sql.types import NumericType
 from eventloom.config import LEVELS
 from eventloom.functions.columns import finite, or_else, rank
 from eventloom.operators.ordered import placed
+from eventloom.sources.storage import stored
 
 RISING, FALLING = "RISK_ESCALATED", "RISK_DEESCALATED"
 
@@ -176,11 +177,16 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, places: dict[str,
     number of rows never meets in one task.  Null values do not count; rows with a
     null key belong to none.
     """
-    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
-    ends = d.groupBy(*keys).agg(F.min("value").cast("double").alias("_lo"), F.max("value").cast("double").alias("_hi"), F.count("*").alias("n"))
+    # The input is worked out once, into its distinct values; everything else reads those.
+    own = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value")).groupBy(*keys, "value").agg(F.count("*").alias("_c"))
+    return places_of(stored(own, "values"), keys, places, buckets)
+
+
+def places_of(own: DataFrame, keys: list[str], places: dict[str, Column], buckets: int = 4096) -> DataFrame:
+    """``ranked_values`` of a stored table (keys, value, _c) of distinct values and their counts."""
+    ends = own.groupBy(*keys).agg(F.min("value").cast("double").alias("_lo"), F.max("value").cast("double").alias("_hi"), F.sum("_c").alias("n"))
     place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("value").cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0)
-    d = d.join(ends, keys).withColumn("_b", F.least(place, F.lit(buckets - 1)))
-    counts = d.groupBy(*keys, "_b", "value").agg(F.count("*").alias("_c"), F.first("n").alias("n"))
+    counts = own.join(ends, keys).withColumn("_b", F.least(place, F.lit(buckets - 1))).select(*keys, "_b", "value", "_c", "n")
     upto = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, 0)
     hist = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"), F.first("n").alias("n")).withColumn("_at", F.sum("_m").over(upto(*keys).orderBy("_b")))
     wanted = F.array(*[F.struct(F.lit(k).alias("_name"), c.cast("double").alias("_t")) for k, c in places.items()])
@@ -198,9 +204,10 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float = 0.95) ->
 def five_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median, max, min of each key's finite values, rounded to 3; the median by ``ranked_values``.  Keys without a finite value have no row."""
     d = df.select(*keys, finite(value).alias("value")).filter(F.col("value").isNotNull())
+    own = stored(d.groupBy(*keys, "value").agg(F.count("*").alias("_c")), "values")
     half = (F.col("n") - 1) / 2
-    mid = ranked_values(d, keys, "value", {"low": F.floor(half), "high": F.ceil(half)}).groupBy(*keys).agg(F.round(F.avg("value"), 3).alias("median"))
-    rest = d.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.max("value"), 3).alias("max"), F.round(F.min("value"), 3).alias("min"))
+    mid = places_of(own, keys, {"low": F.floor(half), "high": F.ceil(half)}).groupBy(*keys).agg(F.round(F.avg("value"), 3).alias("median"))
+    rest = own.groupBy(*keys).agg(F.sum("_c").alias("n"), F.round(F.sum(F.col("value") * F.col("_c")) / F.sum("_c"), 3).alias("mean"), F.round(F.max("value"), 3).alias("max"), F.round(F.min("value"), 3).alias("min"))
     return rest.join(mid, keys).select(*keys, "n", "mean", "median", "max", "min")
 
 

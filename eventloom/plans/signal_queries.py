@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.config import DriverSettings
 from eventloom.functions import columns
-from eventloom.operators import audit, driver, geometry, ordered, report, risk, stats
+from eventloom.operators import audit, driver, files, geometry, ordered, report, risk, stats
 from eventloom.plans.adapter import BOXES_SQL, LOG_SQL, STEPS_SQL, boxes, full_log, steps, table
 from eventloom.plans.registry import query
 from eventloom.schemas import event_rules, field_checks
@@ -206,3 +206,25 @@ def audit_issues(spark, d):
     """Issues of the listing; expected are the sources 0 to 17 of every language."""
     want = table(spark, d, "documents").select(F.col("lang").alias("camera")).distinct().withColumn("label", F.explode(F.array(*[F.lit(f"src{k}") for k in range(18)])))
     return audit.audit_issues(listing(spark, d), want)
+
+
+# ---------------------------------------------------------------- split plans
+
+_PLAN = """p AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END AS split, CASE WHEN doc_id % 89 = 0 THEN '' ELSE lang END AS label, CASE WHEN doc_id % 83 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents)"""
+
+
+@query("split_plan_problems", f"""WITH {_PLAN}, a AS (SELECT 'other content' AS problem, doc_id::VARCHAR AS item, 1 AS n FROM p WHERE doc_id % 83 = 0 UNION ALL SELECT 'unknown split', doc_id::VARCHAR, 1 FROM p WHERE split IS NULL UNION ALL SELECT 'no label', doc_id::VARCHAR, 1 FROM p WHERE label = ''),
+c AS (SELECT h, count(DISTINCT split) AS s, count(DISTINCT label) AS l, min(doc_id)::VARCHAR AS item FROM p GROUP BY h), f AS (SELECT s.split, l.label, count(p.doc_id) AS n FROM (SELECT unnest(['train', 'val', 'test']) AS split) s CROSS JOIN (SELECT DISTINCT label FROM p WHERE label <> '') l LEFT JOIN p ON p.split = s.split AND p.label = l.label GROUP BY 1, 2)
+SELECT problem, item, n::BIGINT AS n FROM a UNION ALL SELECT 'content in several splits', item, s FROM c WHERE s > 1 UNION ALL SELECT 'content under several labels', item, l FROM c WHERE l > 1 UNION ALL SELECT 'too few', split || '/' || label, n FROM f WHERE n < 60""")
+def split_plan_problems(spark, d):
+    """A plan over all documents in which some rows are broken, held against the documents."""
+    n, docs = F.col("doc_id"), table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
+    plan = docs.select("doc_id", F.when(n % 97 == 0, None).when(n % 10 < 7, "train").when(n % 10 < 9, "val").otherwise("test").alias("split"), F.when(n % 89 == 0, "").otherwise(F.col("lang")).alias("label"), F.when(n % 83 == 0, "x").otherwise(F.col("h")).alias("h"))
+    return files.plan_problems(plan, docs, "doc_id", "h", "split", "label", ["train", "val", "test"], 60)
+
+
+@query("table_fingerprints", """WITH t AS (SELECT lang, sha256('{"doc_id":' || doc_id || ',"source":"' || source || '"}') AS h FROM documents), s AS (SELECT lang, count(*) AS rows, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) AS a, sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT) AS b, sum(('0x' || substr(h, 31, 15))::BIGINT::HUGEINT) AS c, sum(('0x' || substr(h, 46, 15))::BIGINT::HUGEINT) AS d FROM t GROUP BY lang)
+SELECT lang, rows, sha256(a || ':' || b || ':' || c || ':' || d) AS fingerprint FROM s""")
+def table_fingerprints(spark, d):
+    """The fingerprint of each language's ids and sources."""
+    return files.fingerprint(table(spark, d, "documents"), ["doc_id", "source"], ["lang"])

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from eventloom.config import EventSettings
 from eventloom.operators import driver
 from eventloom.operators.tracker import described
-from eventloom.plans.adapter import BOXES_SQL, STEPS_SQL, boxes, table
+from eventloom.functions.columns import level_for_score
+from eventloom.plans.adapter import BOXES_SQL, HOURS, STEPS_SQL, boxes, table
 from eventloom.plans.registry import query
 from eventloom.plans.risk_queries import HAZARDS_SQL, TRACKS_SELECT, risk_levels, track_columns, tracks_sql, with_car_names
-from eventloom.plans.sequence_queries import EYE_SQL, EYES
+from eventloom.plans.sequence_queries import EYE_SQL, EYES, HYST_SQL
 from eventloom.schemas import validated
 from eventloom.streaming.evidence import release_evidence
 from eventloom.streaming.eyes import eye_stream
 from eventloom.streaming.joins import backward_tail, backward_within
 from eventloom.streaming.replay import END, replay, run_to_table
-from eventloom.streaming.sessions import run_sessions
+from eventloom.sources.storage import new_path
+from eventloom.streaming.sessions import run_sessions, smoothed_levels
+from eventloom.streaming.sinks import Bell, alert_rows, fan_out, json_sink
 from eventloom.streaming.tracks import match_stream
 
 #: Slices that a replay is cut into.
@@ -164,3 +167,21 @@ def stream_sessions(spark, d):
     out = validated(run_to_table(e, "events").filter(F.col("session_id") != str(END)))
     kept = ["session_id", "event_type", "change_kind", "transition", "risk_level", "previous_risk_level", "raw_risk_score", "smoothed_risk_score", "observation_type"]
     return out.select(*kept, F.round("timestamp", 6).alias("timestamp"), F.size("problems").alias("problems"))
+
+
+_ALERTS_SQL = HYST_SQL.rsplit("SELECT session_id, event_id, raw, level FROM h", 1)[0] + f""", l AS (SELECT h.session_id, h.event_id, h.level, lag(h.level, 1, 0) OVER (PARTITION BY h.session_id ORDER BY s.t, h.event_id) AS prev FROM h JOIN steps s USING (event_id))
+SELECT session_id, event_id, {_NAME("prev")} AS previous, {_NAME("level")} AS level, CASE level WHEN 0 THEN 'INFO' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' ELSE 'HIGH' END AS severity, level > prev AS escalation, level > prev AND level >= 2 AS sound FROM l WHERE level <> prev"""
+
+
+@query("stream_alerts", _ALERTS_SQL)
+def stream_alerts(spark, d):
+    """Alerts of every session's smoothed level, handed to a table sink and a bell batch by batch."""
+    score = F.least("value", F.lit(100.0))
+    rows = sessions(spark, d).select("session_id", "ts", "event_id", score.alias("raw_score"))
+    s, late = replay(rows, "ts", "session_id", SLICES, "40 days")
+    s = s.withColumn("raw_score", F.coalesce("raw_score", F.lit(0.0)))
+    levels = smoothed_levels(s.withColumn("raw_rank", level_for_score("raw_score")), "session_id", "ts", "event_id", HOUR, 31 * 24 * HOUR, late, HOURS)
+    told, folder = alert_rows(levels, "session_id", "seconds", ["event_id"]), new_path(spark, "alerts")
+    fan_out(told, {"json": json_sink(folder), "bell": Bell()}, new_path(spark, "ledger"), new_path(spark, "alerts-checkpoint")).awaitTermination()
+    out = spark.read.schema(told.schema).json(folder)
+    return out.select("session_id", "event_id", "previous", "level", "severity", "escalation", F.array_contains("channels", "sound").alias("sound"))

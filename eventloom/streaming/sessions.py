@@ -214,6 +214,15 @@ def assessed_frames(dets: DataFrame, driver: DataFrame, session: str, unit: int,
     return risk.assess(f.select("*", *[F.col(f"p.{c}").alias(f"p_{c}") for c in own]), s)
 
 
+def smoothed_levels(rows: DataFrame, session: str, ts: str, tie: str, unit: int, timeout: int, lateness: str, s: RiskSettings = RiskSettings()) -> DataFrame:
+    """Level changes (seconds, previous, level, score) of a stream of assessments (session, ts, tie, raw_rank, raw_score)."""
+    t = F.col(ts).cast("timestamp")
+    d = rows.select(session, t.alias("time"), F.unix_micros(t).alias("us"), (F.unix_micros(t) / F.lit(float(unit))).alias("ts"), F.col(tie).cast("long").alias("tie"), F.col("raw_rank").cast("int").alias("raw_rank"), "raw_score")
+    own = d.drop(session)
+    told = in_order(d, [session], "time", Levels(own.schema, s, timeout), f"{_ddl(own.schema)}, previous_rank int, rank int, smoothed_score double", lateness)
+    return told.select(session, F.col("ts").alias("seconds"), F.col("tie").alias(tie), level_name("previous_rank").alias("previous"), level_name("rank").alias("level"), F.col("smoothed_score").alias("score"))
+
+
 def run_sessions(
     dets: DataFrame, driver: DataFrame, session: str, unit: int, timeout: int, lateness: str, size: tuple[float, float], kinds: list[str], risk_settings: RiskSettings = RiskSettings(), track_settings: TrackSettings = TrackSettings(), event_settings: EventSettings = EventSettings(), rename=lambda tracks: tracks, **fixed_values
 ) -> DataFrame:

@@ -106,11 +106,11 @@ def fan_out(stream: DataFrame, sinks: dict[str, Sink], ledger: str, checkpoint:
     return (w.queryName(name) if name else w).start()
 
 
-def alert_rows(levels: DataFrame, session: str, t: str) -> DataFrame:
-    """Alerts of level events (``previous``, ``level``) of a stream: severity, channels and headline of each, with an id made of session and time."""
+def alert_rows(levels: DataFrame, session: str, t: str, also: list[str] = []) -> DataFrame:  # noqa: B006
+    """Alerts of level events (``previous``, ``level``) of a stream: severity, channels and headline of each, with an id made of session and time; ``also`` names columns to keep."""
     d = levels.withColumn("escalation", rank("level") > rank("previous"))
     loud = F.col("escalation") & (rank("level") >= 2)
     return d.select(
         F.concat_ws("_", F.lit("alert"), F.col(session), F.col(t)).alias("alert_id"), F.col(session).alias("session_id"), F.col(t).cast("double").alias("t"), "previous", "level", lookup(SEVERITY, "level").alias("severity"), "escalation",
-        F.when(loud, F.array(F.lit("console"), F.lit("sound"))).otherwise(F.array(F.lit("console"))).alias("channels"), F.concat(F.when(F.col("escalation"), "Risk up: ").otherwise("Risk down: "), "previous", F.lit(" to "), F.col("level")).alias("headline"),
+        F.when(loud, F.array(F.lit("console"), F.lit("sound"))).otherwise(F.array(F.lit("console"))).alias("channels"), F.concat(F.when(F.col("escalation"), "Risk up: ").otherwise("Risk down: "), "previous", F.lit(" to "), F.col("level")).alias("headline"), *also,
     )

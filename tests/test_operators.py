@@ -369,25 +369,6 @@ def test_sources(spark, tmp_path):
 # ---------------------------------------------------------------- streaming
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from eventloom.streaming import stateful
-
-    rng = random.Random(4)
-    rows = [(s, i, float(i), rng.randrange(4), rng.choice("AABB")) for s in range(4) for i in range(40)]
-    kind = "session_id int, i int, t double, raw int, v string"
-    df = spark.createDataFrame(rows, kind)
-    for k, part in enumerate((df.filter("i < 15"), df.filter("i >= 15 and i < 28"), df.filter("i >= 28"))):
-        part.coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-    stream = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
-    got = stateful.run_once(stateful.hysteresis_stream(stream(), "session_id", "t", "raw", "i"), "h", f"{tmp_path}/c1")
-    want = folds.hysteresis(df.select("session_id", "i", "t", "raw"), S, ["t", "i"], "t", "raw")
-    assert sorted(rows_of(got, "session_id", "i", "level")) == sorted(rows_of(want, "session_id", "i", "level"))
-    got = stateful.run_once(stateful.cooldown_stream(stream(), S, "t", "i", 7.0), "c", f"{tmp_path}/c2")
-    assert sorted(rows_of(got, "session_id", "i")) == sorted(rows_of(folds.cooldown(df.select("session_id", "i", "t"), S, ["t", "i"], "t", 7.0), "session_id", "i"))
-    got = stateful.run_once(stateful.debounce_stream(stream(), "session_id", "t", "i", "v"), "d", f"{tmp_path}/c3")
-    assert sorted(rows_of(got, "session_id", "i", "previous", "value")) == sorted(rows_of(folds.debounced(df, S, ["t", "i"], "v", 3), "session_id", "i", "previous", "v"))
-
-
 def test_summary_text(spark, events):
     text = stats.summary_text(events)
     assert text.startswith("8 events in 3 session(s).") and "pedestrian hazards (3 in 1 session(s))" in text

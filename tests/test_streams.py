@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.config import DriverSettings, TrackSettings
-from eventloom.operators import driver, tracker
+from eventloom.operators import driver, folds, tracker
+from eventloom.streaming import stateful
 from eventloom.streaming.evidence import release_evidence
 from eventloom.streaming.eyes import eye_stream
 from eventloom.streaming.joins import backward_tail, backward_within
@@ -197,3 +198,28 @@ def test_eye_windows_are_those_of_the_batch(spark, slices):
     cols = ["session_id", "event_id", "blinks", "long_closures", *[F.round(c, 6) for c in ("observed_seconds", "positive_seconds", "closed_seconds", "missing_seconds")]]
     assert rows_of(got.select(*cols)) == rows_of(want.select(*cols))
     assert got.agg(F.sum("blinks")).head()[0] > 0 and got.agg(F.sum("long_closures")).head()[0] > 0
+
+
+@pytest.mark.parametrize("slices", [1, 4])
+def test_folds_are_those_of_the_batch(spark, slices):
+    """Hysteresis, cooldown, sampling, printing and debounce for any cut; unknown, null and empty states among the values."""
+    rng = random.Random(4)
+    rows, t = [], 0.0
+    for s in range(3):
+        for i in range(60):
+            t = round(t + rng.choice([0.25, 0.5, 1.0, 3.0]), 3)
+            rows.append((s, i, t, rng.randrange(4), rng.choice(["A", "A", "B", "B", "", None, "UNKNOWN"])))
+    d = spark.createDataFrame(rows, "session_id long, i long, t double, raw int, v string").withColumn("ts", at("t"))
+    keys, order, far = ["session_id"], ["t", "i"], 10_000 * S
+    stream, late = replay(d, "ts", "session_id", slices, "4 hours")
+    live = stream.fillna({"raw": 0, "t": 0.0})
+    done = lambda x, name: run_to_table(x, name).filter(F.col("session_id") != END)
+    pairs = [
+        (stateful.hysteresis_stream(live, keys, "ts", "t", "raw", "i", far, late), folds.hysteresis(d.select("session_id", "i", "t", "raw"), keys, order, "t", "raw"), ["session_id", "i", "level"]),
+        (stateful.cooldown_stream(live, keys, "ts", "t", "i", 7.0, far, late), folds.cooldown(d.select("session_id", "i", "t"), keys, order, "t", 7.0), ["session_id", "i"]),
+        (stateful.sampled_stream(live, keys, "ts", "t", "i", 0.4, far, late), folds.sampled(d.select("session_id", "i", "t"), keys, order, "t", 0.4), ["session_id", "i"]),
+        (stateful.emitted_stream(live, keys, "ts", "t", "v", "i", 4.0, far, late), folds.emitted_on_change(d.select("session_id", "i", "t", "v"), keys, order, "t", "v", 4.0), ["session_id", "i"]),
+        (stateful.debounce_stream(live, keys, "ts", "v", "i", far, late), folds.debounced(d, keys, order, "v", 3).withColumn("value", F.col("v")), ["session_id", "i", "previous", "value"]),
+    ]
+    for k, (got, want, cols) in enumerate(pairs):
+        assert rows_of(done(got, f"fold{k}").select(*cols)) == rows_of(want.select(*cols)) and want.count()
