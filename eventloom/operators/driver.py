@@ -59,7 +59,7 @@ def activity(observed, hand, seconds, s: DriverSettings = DriverSettings()) -> C
 
 def observation_quality(*available) -> Column:
     """Share of the signals that are there."""
-    return sum((F.coalesce(col(a), F.lit(False)).cast("int") for a in available), F.lit(0)) / float(len(available))
+    return sum((F.coalesce(col(a), F.lit(False)).cast("int") for a in available), F.lit(0)) / F.lit(float(len(available)))
 
 
 def distraction_seconds(df: DataFrame, keys: list[str], order: list[str], t: str, state: str, distracting: list[str]) -> DataFrame:

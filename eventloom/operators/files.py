@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.ordered import placed
+from eventloom.operators.ordered import numbered_places, placed
 
 #: Suffixes by kind.
 IMAGE, VIDEO, TEXT = (".jpg", ".jpeg", ".png", ".bmp", ".webp"), (".mp4", ".avi", ".mov", ".mkv"), (".json", ".jsonl", ".csv", ".txt", ".md")
@@ -28,6 +28,40 @@ def located(df: DataFrame, path: str, cameras: list[str]) -> DataFrame:
     return d.withColumns({"camera": F.when(F.col("_at").isNotNull(), F.element_at("_low", F.col("_at"))), "label": F.when(has(1), F.element_at("_p", F.when(has(1), F.col("_at") + 1).otherwise(1))), "subfolder": F.when(has(2), F.array_join(F.slice("_p", F.col("_at") + 2, F.greatest(F.lit(0), F.col("_n") - F.col("_at") - 2)), "/"))}).drop("_p", "_low", "_at", "_n")
 
 
+def class_files(files: DataFrame, classes: list[str], suffixes: tuple = IMAGE, strict: bool = True) -> DataFrame:
+    """Files of class folders (path, label), with their class's number and ``place``: by class, path without case, path.
+
+    System files are passed over, other suffixes are kept with ``ignored`` true and no place.
+    A class without a folder is an error, or with ``strict`` off a row of its own whose path is null.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    known = files.sparkSession.createDataFrame([(c, i) for i, c in enumerate(classes)], "label string, class_index int")
+    d = files.select("path", "label").join(F.broadcast(known), "label").filter(~name.startswith(".") & ~name.isin("desktop.ini", "thumbs.db"))
+    d = d.withColumn("ignored", ~F.lower(F.concat(F.lit("."), F.element_at(F.split("path", r"\."), -1))).isin(*suffixes))
+    gone = known.join(files.select("label").distinct(), "label", "left_anti")
+    if strict and (missing := [r["label"] for r in gone.orderBy("class_index").collect()]):
+        raise ValueError(f"class folders that are not there: {', '.join(missing)}")
+    good = numbered_places(d.filter("not ignored"), ["class_index", "label"], [F.lower("path"), "path"], "place")
+    sizes = good.groupBy(F.col("class_index").alias("c")).agg(F.count("*").alias("n"))
+    # As many rows as there are classes.
+    before = sizes.select("c", F.coalesce(F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    good = good.join(before, F.col("class_index") == F.col("c")).select("path", "label", "class_index", "ignored", (F.col("place") + F.col("before")).alias("place"))
+    out = good.unionByName(d.filter("ignored").withColumn("place", F.lit(None).cast("long")))
+    return out if strict else out.unionByName(gone.withColumns({"path": F.lit(None).cast("string"), "ignored": F.lit(False), "place": F.lit(None).cast("long")}))
+
+
+def missing_files(named: DataFrame, found: DataFrame, path: str = "path") -> DataFrame:
+    """Paths that a table names (arrays or single ones are exploded before) and no listing has."""
+    return named.select(path).filter(F.col(path).isNotNull()).distinct().join(found.select(F.col("path").alias(path)), path, "left_anti")
+
+
+def cross_table(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
+    """Counts of ``values`` of a column in each row group and in all (null group), zeros included, with their sum and each one's percentage."""
+    counts = [F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values]
+    d = df.rollup(row).agg(*counts, F.count("*").alias("n"))
+    return d.select("*", *[F.round(F.try_divide(100.0 * F.col(f"n_{v}"), F.col("n")), 1).alias(f"pct_{v}") for v in values])
+
+
 def content_groups(df: DataFrame, path: str, size: str, content: str) -> DataFrame:
     """Groups of equal content: only files that share a size are hashed."""
     same = df.groupBy(size).agg(F.count("*").alias("_c")).filter("_c > 1").select(size)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from eventloom.config import DriverSettings
 from eventloom.functions import columns
-from eventloom.operators import audit, driver, files, geometry, ordered, report, risk, stats
+from eventloom.operators import audit, driver, files, geometry, ordered, perception, report, risk, stats
 from eventloom.plans.adapter import BOXES_SQL, LOG_SQL, STEPS_SQL, boxes, full_log, steps, table
 from eventloom.plans.registry import query
+from eventloom.plans.sequence_queries import EYE_SQL
 from eventloom.schemas import event_rules, field_checks
 from eventloom.sources import progress
 from eventloom.sources.readers import event_order
@@ -228,3 +229,83 @@ SELECT lang, rows, sha256(a || ':' || b || ':' || c || ':' || d) AS fingerprint
 def table_fingerprints(spark, d):
     """The fingerprint of each language's ids and sources."""
     return files.fingerprint(table(spark, d, "documents"), ["doc_id", "source"], ["lang"])
+
+
+# ---------------------------------------------------------------- the driver's pipeline
+
+_STATES_ROWS = f"""{STEPS_SQL}, obs AS (SELECT session_id, event_id, t - 240 * floor(t / 240) AS t, floor(t / 240) AS part, CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN 'NO_FACE' ELSE 'OK' END AS face, value / 100 AS lo, CASE WHEN event_id % 11 <> 0 THEN x / 100 END AS ro,
+  CASE WHEN event_id % 6 <> 0 THEN value END AS yaw, {_HANDS} AS hand0, CASE WHEN event_id % 17 = 0 THEN 'PHONE' END AS act, event_id % 13 = 0 AS broken FROM steps),
+m AS (SELECT session_id, event_id, part, t, coalesce(face, 'PROVIDER_ERROR') AS face, CASE WHEN face = 'OK' THEN lo END AS lo, CASE WHEN face = 'OK' THEN ro END AS ro, CASE WHEN face = 'OK' THEN yaw END AS yaw, CASE WHEN broken THEN 'UNKNOWN' ELSE hand0 END AS hand, act FROM obs),
+steps2 AS (SELECT *, CASE WHEN lo IS NOT NULL AND ro IS NOT NULL THEN (lo + ro) / 2 ELSE coalesce(lo, ro) END < 0.2 AS closed, coalesce(act, hand) AS manual, dense_rank() OVER (PARTITION BY session_id ORDER BY part) AS nth FROM m)"""
+_EYES_TAIL = EYE_SQL[EYE_SQL.index("\na AS (SELECT *, lag(t)") :].replace("PARTITION BY session_id", "PARTITION BY session_id, part").replace("FROM s)", "FROM steps2)")
+_EYES_TAIL = _EYES_TAIL[: _EYES_TAIL.rindex("SELECT session_id, event_id, closure_ratio")]
+
+
+@query("driver_states", f"""WITH {_STATES_ROWS}, {_EYES_TAIL},
+lv AS (SELECT *, CASE WHEN score IS NULL THEN 'UNKNOWN' WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.5 THEN 'HIGH' WHEN win IS NULL THEN 'UNKNOWN' ELSE 'LOW' END AS level FROM k),
+r1 AS (SELECT *, (lag(manual) OVER q IS DISTINCT FROM manual)::INT AS fresh2, manual IN ('NO_HANDS', 'PHONE', 'OTHER_MANUAL_DISTRACTION') AS away FROM lv WINDOW q AS (PARTITION BY session_id, part ORDER BY t, event_id)),
+r2 AS (SELECT *, sum(fresh2) OVER (PARTITION BY session_id, part ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run2, (away AND NOT coalesce(lag(away) OVER (PARTITION BY session_id, part ORDER BY t, event_id), false))::INT AS turn0 FROM r1),
+r3 AS (SELECT *, min(t) OVER (PARTITION BY session_id, part, run2) AS began2, sum(turn0) OVER (PARTITION BY session_id, part ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM r2),
+r4 AS (SELECT *, t - began2 AS held, lag(began2) OVER (PARTITION BY session_id, part ORDER BY t, event_id) AS lb, lag(manual) OVER (PARTITION BY session_id, part ORDER BY t, event_id) AS lm, min(CASE WHEN away THEN t END) OVER (PARTITION BY session_id, part, turn) AS since FROM r3),
+r5 AS (SELECT *, max(greatest(CASE WHEN manual = 'ONE_HAND' THEN held END, CASE WHEN fresh2 = 1 AND lm = 'ONE_HAND' THEN t - lb END, 0)) OVER (PARTITION BY session_id, part ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS long_one, run2 - 1 AS changes,
+  CASE WHEN act IS NOT NULL THEN act WHEN hand = 'UNKNOWN' THEN 'UNKNOWN' WHEN hand = 'NO_HANDS' AND held >= 12 THEN 'HANDS_OFF_WHEEL' ELSE 'NORMAL' END AS activity FROM r4)
+SELECT session_id, event_id, nth::INT AS timeline, nth > 1 AND event_id = min(event_id) OVER (PARTITION BY session_id, part) AS timeline_reset, face AS face_status, closure_ratio, blinks, level AS drowsiness_level, manual AS manual_state, round(held, 6) AS state_seconds, changes::INT AS state_changes, round(long_one, 6) AS longest_one_hand,
+  activity AS driver_activity, CASE WHEN activity IN ('PHONE', 'OTHER_MANUAL_DISTRACTION', 'HANDS_OFF_WHEEL') THEN round(t - since, 6) WHEN activity <> 'UNKNOWN' THEN 0 END AS distraction_seconds, ((face = 'OK')::INT + (yaw IS NOT NULL)::INT + (lo IS NOT NULL)::INT + (ro IS NOT NULL)::INT) / 4 AS observation_quality FROM r5""")
+def driver_states(spark, d):
+    """States of a clock that goes back every ten days; some providers fail, some rows have no face."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    hand = F.when(F.col("value") < 15, "BOTH_HANDS").when(F.col("value") < 35, "ONE_HAND").when(F.col("value") < 80, "NO_HANDS").otherwise("UNKNOWN")
+    obs = steps(spark, d).select(
+        "session_id", "event_id", (F.col("t") - 240 * F.floor(F.col("t") / 240)).alias("t"), F.when(kind == "error", None).when(kind == "signup", "NO_FACE").otherwise("OK").alias("face_status"), (F.col("value") / 100).alias("left_open"), F.when(n % 11 != 0, F.col("x") / 100).alias("right_open"),
+        F.when(n % 6 != 0, F.col("value")).alias("yaw"), F.lit(0.0).alias("pitch"), F.when(n % 13 != 0, hand).alias("hand_state"), F.when(n % 17 == 0, "PHONE").alias("hand_activity"),
+    )
+    cfg = DriverSettings(window=72.0, max_gap=16.0, blink=8.0, long=16.0, sustained=24.0, min_observed=12.0, no_hands=12.0)
+    out = perception.driver_states(obs, S, "event_id", "t", cfg)
+    six = lambda c: F.round(c, 6).alias(c)
+    first = F.min("timeline").over(Window.partitionBy("session_id"))
+    return out.select("session_id", "event_id", (F.col("timeline") - first + 1).cast("int").alias("timeline"), "timeline_reset", "face_status", "closure_ratio", "blinks", "drowsiness_level", "manual_state", six("state_seconds"), "state_changes", six("longest_one_hand"), "driver_activity", six("distraction_seconds"), "observation_quality")
+
+
+@query("detection_checks", f"""WITH {STEPS_SQL}, {BOXES_SQL}, p AS (SELECT CASE WHEN event_id % 19 = 0 THEN 'timestamp' END AS a, CASE WHEN event_id % 23 = 0 THEN 'class_name' END AS b, CASE WHEN event_id % 29 = 0 THEN 'class_id' END AS c, CASE WHEN (event_id % 113) / 100.0 > 1 THEN 'confidence' END AS d, CASE WHEN event_id % 31 = 0 THEN 'bbox: not finite' END AS e,
+CASE WHEN event_id % 31 <> 0 AND x2 - 100 < x1 THEN 'bbox: order' END AS f, CASE WHEN event_id % 37 = 0 THEN 'source' END AS g FROM boxes) SELECT problem, count(*) AS n FROM (SELECT unnest([a, b, c, d, e, f, g]) AS problem FROM p) WHERE problem IS NOT NULL GROUP BY 1""")
+def detection_checks(spark, d):
+    """Rules of a detection, some rows broken."""
+    n, nan = F.col("event_id"), F.lit(float("nan"))
+    b = boxes(spark, d).withColumns({"ts": F.when(n % 19 == 0, nan).otherwise(F.col("t")), "class_name": F.when(n % 23 == 0, " ").otherwise(F.col("class_name")), "class_id": F.when(n % 29 == 0, -1).otherwise(1), "confidence": n % 113 / F.lit(100.0), "x1": F.when(n % 31 == 0, nan).otherwise(F.col("x1")), "x2": F.col("x2") - 100, "source": F.when(n % 37 != 0, "model")})
+    checked = progress.Checked(b, perception.detection_problems())
+    checked.df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, c) for k, (c, _) in checked.problems().items()], "problem string, n long")
+
+
+@query("gps_positions", f"""WITH {STEPS_SQL}, f AS (SELECT session_id, t AS ft, event_id, (value % 80) AS lat, (value % 170) AS lon FROM steps WHERE event_type = 'view'), p AS (SELECT * FROM steps WHERE event_type <> 'view'),
+c AS (SELECT p.session_id, p.event_id, p.t, f.ft, f.lat, f.lon, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.t - f.ft), f.ft) AS k FROM p LEFT JOIN f ON f.session_id = p.session_id AND abs(p.t - f.ft) <= 6 + 1e-9)
+SELECT session_id, event_id, lat AS gps_lat, lon AS gps_lon, CASE WHEN ft IS NULL THEN 'UNAVAILABLE' ELSE 'GPS_LOG' END AS gps_source FROM c WHERE k = 1""")
+def gps_positions(spark, d):
+    """The nearest position within six hours of every other event, the views being fixes."""
+    s = steps(spark, d)
+    fixes = s.filter("event_type = 'view'").select("session_id", F.col("t").alias("timestamp"), (F.col("value") % 80).alias("lat"), (F.col("value") % 170).alias("lon"), F.lit(None).cast("double").alias("accuracy_m"))
+    return perception.with_position(s.filter("event_type <> 'view'").select("session_id", "event_id", "t"), fixes, S, "t", 6.0).select("session_id", "event_id", "gps_lat", "gps_lon", "gps_source")
+
+
+@query("class_files", """WITH f AS (SELECT lang || '/' || CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE source END || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.txt' ELSE '.JPG' END AS path, source AS label FROM documents WHERE source IN ('src1', 'src12', 'src0')), k AS (SELECT * FROM (VALUES ('src12', 0), ('src0', 1), ('src1', 2)) t(label, class_index)),
+g AS (SELECT path, row_number() OVER (ORDER BY class_index, lower(path), path) - 1 AS place FROM f JOIN k USING (label) WHERE path NOT LIKE '%.txt')
+SELECT f.path, label, class_index, place IS NULL AS ignored, place FROM f JOIN k USING (label) LEFT JOIN g USING (path) UNION ALL SELECT NULL, 'none', 3, false, NULL""")
+def class_files(spark, d):
+    """Files of the named sources in class order; a class that is not there is reported."""
+    n = F.col("doc_id")
+    path = F.concat("lang", F.lit("/"), F.when(n % 3 == 0, F.upper("source")).otherwise(F.col("source")), F.lit("/"), n.cast("string"), F.when(n % 5 == 0, ".txt").otherwise(".JPG"))
+    listing = table(spark, d, "documents").select(path.alias("path"), F.col("source").alias("label"))
+    return files.class_files(listing, ["src12", "src0", "src1", "none"], strict=False)
+
+
+@query("missing_files", """SELECT 'doc/' || doc_id AS path FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 200)""")
+def missing_files(spark, d):
+    """Labelled documents that a listing without the short ones does not have."""
+    path = lambda t: t.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
+    return files.missing_files(path(table(spark, d, "labels")), path(table(spark, d, "documents").filter("n_chars > 200")))
+
+
+@query("cross_table", f"""WITH {STEPS_SQL} SELECT event_type, count(*) FILTER (raw = 0) AS n_0, count(*) FILTER (raw = 1) AS n_1, count(*) FILTER (raw = 2) AS n_2, count(*) FILTER (raw = 3) AS n_3, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (raw = 0) / count(*), 1) AS pct_0, round(100.0::DOUBLE * count(*) FILTER (raw = 1) / count(*), 1) AS pct_1,
+round(100.0::DOUBLE * count(*) FILTER (raw = 2) / count(*), 1) AS pct_2, round(100.0::DOUBLE * count(*) FILTER (raw = 3) / count(*), 1) AS pct_3 FROM steps GROUP BY ROLLUP (event_type)""")
+def cross_table(spark, d):
+    return files.cross_table(steps(spark, d), "event_type", "raw", [0, 1, 2, 3])
