@@ -190,24 +190,77 @@ def _suffixes(docs: DataFrame, shared, window: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "key long, doc_id long, pos int, words binary, cover int")
 
 
+def _sorted_suffixes(words: np.ndarray) -> np.ndarray:
+    """Places of ``words`` in the order of the suffixes that begin there: ranks of 1, 2, 4, ... words until all differ.
+
+    Places are sorted, never copies of suffixes, so a run of equal words costs no more than any other.
+    """
+    rank, k = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
+    while k < len(words) and rank.max() < len(words) - 1:
+        after = np.full(len(words), -1, np.int64)
+        after[:-k] = rank[k:]
+        order = np.lexsort((after, rank))
+        new = (rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]])
+        rank[order] = np.concatenate([[0], np.cumsum(new)])
+        k *= 2
+    return np.argsort(rank, kind="stable")
+
+
+def _deep_nodes(group: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int]]:
+    """(doc_id, pos) of a group's suffixes below an internal node of depth ``window`` or more whose least document is another."""
+    flat, doc, pos = [], [], []
+    for i, (d, p, data) in enumerate(group):
+        n = len(data) // WORD_BYTES
+        w = np.zeros((n + 1, 8), np.uint8)
+        w[:n, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(n, WORD_BYTES)
+        w = w.reshape(-1).view(np.int64)
+        w[n] = -1 - i  # a run ends in a word of its own
+        flat.append(w)
+        doc.append(np.full(n + 1, d, np.int64))
+        pos.append(np.arange(p, p + n + 1))
+        # Fewer words than a window are left from here on: no suffix of the group.
+        pos[-1][max(0, n - window + 1) :] = -1
+    words, doc, pos = (np.concatenate(x) for x in (flat, doc, pos))
+    at = _sorted_suffixes(words)
+    at = at[pos[at] >= 0]
+    if len(at) < 2:
+        return []
+    # Common words of neighbours, up to the window: their lowest common node is at least as deep.
+    common = np.ones(len(at) - 1, bool)
+    for k in range(window):
+        common &= words[at[1:] + k] == words[at[:-1] + k]
+    node = np.concatenate([[0], np.cumsum(~common)])
+    least = np.full(node[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, node, doc[at])
+    late = at[doc[at] > least[node]]
+    return list(zip(doc[late].tolist(), pos[late].tolist(), strict=True))
+
+
+#: Runs up to this many words are sorted as copies of their suffixes, which is faster for few words.
+SHORT_RUN = 256
+
+
 def _repeats(group: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
     """Spans (doc_id, a, b) of a group's runs (doc_id, pos, words) that an earlier document has too."""
     one = group[0][0]
     if all(doc == one for doc, _, _ in group):
         return []
-    depth = WORD_BYTES * window
-    suffixes = [(words[k:], doc, pos + k // WORD_BYTES) for doc, pos, words in group for k in range(0, len(words) - depth + 1, WORD_BYTES)]
-    suffixes.sort()
-    found, i, n = [], 0, len(suffixes)
-    while i < n - 1:
-        # Suffixes below one node of at least the window's depth follow each other.
-        head, j = suffixes[i][0][:depth], i + 1
-        while j < n and suffixes[j][0].startswith(head):
-            j += 1
-        if j > i + 1:
-            least = min(x[1] for x in suffixes[i:j])
-            found += [(doc, pos) for _, doc, pos in suffixes[i:j] if doc > least]
-        i = j
+    if max(len(words) for _, _, words in group) > WORD_BYTES * SHORT_RUN:
+        found = _deep_nodes(group, window)
+    else:
+        depth = WORD_BYTES * window
+        suffixes = [(words[k:], doc, pos + k // WORD_BYTES) for doc, pos, words in group for k in range(0, len(words) - depth + 1, WORD_BYTES)]
+        suffixes.sort()
+        found, i, n = [], 0, len(suffixes)
+        while i < n - 1:
+            # Suffixes below one node of at least the window's depth follow each other.
+            head, j = suffixes[i][0][:depth], i + 1
+            while j < n and suffixes[j][0].startswith(head):
+                j += 1
+            if j > i + 1:
+                least = min(x[1] for x in suffixes[i:j])
+                found += [(doc, pos) for _, doc, pos in suffixes[i:j] if doc > least]
+            i = j
     found.sort()
     spans: list[tuple[int, int, int]] = []
     for doc, pos in found:

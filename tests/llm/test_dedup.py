@@ -185,3 +185,35 @@ def test_components_of_a_path(spark):
     got = {r.id: r.comp for r in connected_components(e).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 90: 90, 95: 90, 100: 90}
     assert math.isclose(len(got), 54)
+
+
+def test_long_runs_sort_places_not_copies(monkeypatch):
+    """The two ways of laying out a group agree, and 20,000 equal words stay far below a copy of every suffix."""
+    import tracemalloc
+
+    from eventloom.llm import substring_dedup as sd
+
+    rng = random.Random(12)
+    word = lambda x: x.to_bytes(sd.WORD_BYTES, "little")
+    for _ in range(60):
+        k = rng.randrange(1, 4)
+        group = [(rng.randrange(4), rng.randrange(50), b"".join(word(rng.randrange(k)) for _ in range(rng.randrange(5, 60)))) for _ in range(rng.randrange(2, 6))]
+        monkeypatch.setattr(sd, "SHORT_RUN", 10**9)
+        want = sd._repeats(group, 5)
+        monkeypatch.setattr(sd, "SHORT_RUN", 0)
+        assert sd._repeats(group, 5) == want
+    monkeypatch.undo()
+    group = [(1, 0, word(7) * 20_000), (2, 3, word(7) * 20_000)]
+    tracemalloc.start()
+    assert sd._repeats(group, 13) == [(2, 3, 20_003)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+
+
+def test_substring_dedup_of_texts_of_few_words(spark):
+    from eventloom.llm.substring_dedup import digests
+
+    texts = ["word " * 20_000, "word " * 12, "a b " * 4000, "b a " * 3000, "word " * 15_000, "x " + "word " * 300]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in digests(spark.createDataFrame([(i, t, "", "", 0, "") for i, t in enumerate(texts)], DOC)).collect()}
+    assert got == {0: (20_000, 0), 1: (12, 0), 2: (8000, 0), 3: (6000, 6000), 4: (15_000, 15_000), 5: (301, 300)}
