@@ -23,6 +23,24 @@ NAMES = {
 }
 
 
+#: Places to which the stored form of each kind of row is rounded, by the columns' names here.
+PLACES = {
+    "track": {"confidence": 4, "mean_confidence": 4, **dict.fromkeys(("first_seen", "last_seen", "ts", "age", "missed", "persistence"), 3), **dict.fromkeys(("x1", "y1", "x2", "y2", "cx", "cy", "box_w", "box_h", "previous_cx", "previous_cy"), 2), **dict.fromkeys(("area", "previous_area", "vx", "vy", "speed", "area_rate"), 1), "relative_area_rate": 4},
+    "hazard": {"points": 1, **dict.fromkeys(("growth", "toward", "x_norm", "bottom", "quality"), 3), "area_share": 4},
+    "assessment": {"ts": 3, **dict.fromkeys(("raw_score", "smoothed_score", "driver_points", "road_points"), 1), "evidence_quality": 3},
+    "detection": {"confidence": 4, **dict.fromkeys(("x1", "y1", "x2", "y2", "cx", "cy", "box_w", "box_h"), 2)},
+    "alert": {"t": 3, "score": 1},
+}
+
+
+def rounded(df: DataFrame, kind: str) -> DataFrame:
+    """Rows of a kind as they are stored: numbers to their places (half-even), factors' points to one place; the other columns as they are."""
+    d = df.withColumns({c: F.bround(F.col(c).cast("double"), n) for c, n in PLACES[kind].items() if c in df.columns})
+    if "factors" in df.columns:
+        d = d.withColumn("factors", F.transform("factors", lambda f: f.withField("points", F.bround(f["points"], 1))))
+    return d
+
+
 def factors_json(factors: str) -> Column:
     """Factors as JSON, points to one place."""
     named = F.transform(factors, lambda f: F.struct(f["name"].alias("name"), F.bround(f["points"], 1).alias("points"), f["source"].alias("source"), f["detail"].alias("detail"), f["track_id"].alias("track_id")))

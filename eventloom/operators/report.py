@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from eventloom.config import LEVELS
 from eventloom.functions.columns import fixed, or_else
+from eventloom.operators import audit
 from eventloom.operators.ordered import elevated_episodes
 from eventloom.operators.risk import optional
 from eventloom.operators.stats import advice_text, aggregate_recommendations, by_level, describe_patterns, event_overview, find_patterns, five_by, is_significant, long_counts, real_positions, recommendation, summary_text, time_bins, tri_state
 from eventloom.sources.storage import stored
-from eventloom.sources.writers import markdown_table, write_text
+from eventloom.sources.writers import markdown_table, write_long, write_text
 
 #: What stands for a missing path, and the label of a persistent hazard's reason.
 NO_EVIDENCE = "none recorded"
@@ -165,3 +166,22 @@ def write_report(e: DataFrame, folder: str, prefix: str = "") -> dict[str, str]:
     entry_lines(entries).write.mode("overwrite").text(paths["entries_md"])
     recommended_events(e).write.mode("overwrite").partitionBy("key").parquet(paths["recommended_events"])
     return paths
+
+
+def write_audit(files: DataFrame, expected: DataFrame, folder: str) -> dict[str, str]:
+    """Writes an audit: counts of every folder, shares and figures as CSV, and the issues as Markdown and JSON.
+
+    The listing is worked out once; only issues and totals reach the driver.
+    """
+    spark, f = files.sparkSession, stored(files, "listing")
+    paths = {k: f"{folder.rstrip('/')}/{k}" for k in ("folders_csv", "shares_csv", "numbers_csv", "issues_md", "issues_json")}
+    named = lambda kind, d: d.select(F.lit(kind).alias("kind"), "*")
+    write_long(audit.folder_counts(f, ["camera", "label"]).orderBy(F.desc("level"), "camera", "label"), paths["folders_csv"])
+    write_long(named("image", audit.image_shares(f)).unionByName(named("video", audit.video_shares(f))).orderBy("kind", "category", F.desc("n"), "first_seen"), paths["shares_csv"])
+    write_long(named("image", audit.image_numbers(f)).unionByName(named("video", audit.video_numbers(f))).orderBy("kind", "name"), paths["numbers_csv"])
+    issues = stored(audit.audit_issues(f, expected), "issues").orderBy("issue", "place")
+    totals = {**audit.image_figures(f).first().asDict(), **{f"video_{k}": v for k, v in audit.video_figures(f).first().asDict().items()}, **audit.duplicate_figures(f).first().asDict()}
+    write_text(spark, json.dumps({"totals": totals, "issues": [r.asDict() for r in issues.collect()]}), paths["issues_json"])
+    lines = ["# Audit", "", *[f"- {k.replace('_', ' ')}: {'not recorded' if v is None else v}" for k, v in totals.items()], "", "## Issues", "", markdown_table(issues), "", "Labels are folder names; contents were not looked at.", ""]
+    write_text(spark, "\n".join(lines), paths["issues_md"])
+    return paths

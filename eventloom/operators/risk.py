@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import EPS, RiskSettings
-from eventloom.functions.columns import fixed, level_for_score, ramp
+from eventloom.functions.columns import fixed, level_for_score, level_name, ramp
 from eventloom.operators.ordered import trailing_slope
 
 FACTOR = "struct<name:string,points:double,source:string,detail:string,track_id:bigint>"
@@ -246,3 +246,14 @@ def reason_text() -> Column:
         .when(shown, F.concat(F.lit("Persistent "), name, F.lit(" is visible but shows no approach or conflict evidence in image space.")))
         .otherwise(NO_SIGNAL)
     )
+
+
+def risk_counts(assessed: DataFrame) -> DataFrame:
+    """(category, key, n): assessments by raw level, by level where they have been smoothed, by hazard, by factor and by gate, in one pass."""
+    pair = lambda k, c: F.struct(F.lit(k).alias("category"), c.cast("string").alias("key"))
+    one = [pair("raw_level", level_name("raw_rank")), pair("hazard", F.col("hazard"))]
+    if "level" in assessed.columns:
+        one.append(pair("level", F.col("level")))
+    # A factor counts once an assessment however often it occurs there.
+    many = [F.transform(F.array_distinct(F.transform("factors", lambda f: f["name"])), lambda x: pair("factor", x)), F.transform("gates", lambda x: pair("gate", x))]
+    return assessed.select(F.inline(F.concat(F.array(*one), *many))).filter("key IS NOT NULL").groupBy("category", "key").agg(F.count("*").alias("n"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from eventloom.config import DriverSettings
 from eventloom.functions import columns
-from eventloom.operators import audit, driver, files, geometry, ordered, perception, report, risk, stats
-from eventloom.plans.adapter import BOXES_SQL, LOG_SQL, STEPS_SQL, boxes, full_log, steps, table
+from eventloom.operators import audit, driver, files, geometry, ordered, perception, records, report, risk, stats, tracker
+from eventloom.plans.adapter import BOXES_SQL, LEVEL, LOG_SQL, STEPS_SQL, boxes, full_log, steps, table
 from eventloom.plans.registry import query
+from eventloom.plans.risk_queries import ASSESS_SQL, FRAMES_SQL, _detections, assessed, tracks_sql
 from eventloom.plans.sequence_queries import EYE_SQL
 from eventloom.schemas import event_rules, field_checks
 from eventloom.sources import progress
@@ -309,3 +310,29 @@ def missing_files(spark, d):
 round(100.0::DOUBLE * count(*) FILTER (raw = 2) / count(*), 1) AS pct_2, round(100.0::DOUBLE * count(*) FILTER (raw = 3) / count(*), 1) AS pct_3 FROM steps GROUP BY ROLLUP (event_type)""")
 def cross_table(spark, d):
     return files.cross_table(steps(spark, d), "event_type", "raw", [0, 1, 2, 3])
+
+
+# ---------------------------------------------------------------- assessments and tracks as they are stored
+
+_G = ASSESS_SQL[: ASSESS_SQL.rindex("SELECT session_id, frame, round(score, 9)")]
+_GATES = [risk.GATE_CRITICAL, risk.GATE_HIGH]
+
+
+@query("risk_counts", _G + f""", pg AS (SELECT g.*, h.off, h.approaching, h.moving_in, h.share, h.quality, h.total, h.qualifies AS q, CASE WHEN r1 >= 2 AND groups < 2 THEN 1 ELSE r1 END AS shown_level FROM g LEFT JOIN rk h ON h.session_id = g.session_id AND h.frame = g.frame AND h.k = 1),
+cnt AS (SELECT 'raw_level' AS category, {LEVEL.format("shown_level")} AS key FROM pg UNION ALL SELECT 'gate', '{_GATES[0]}' FROM pg WHERE r0 = 3 AND r1 = 2 UNION ALL SELECT 'gate', '{_GATES[1]}' FROM pg WHERE r1 >= 2 AND groups < 2
+UNION ALL SELECT 'hazard', CASE WHEN nd > 0 AND rq THEN 'COMBINED_DRIVER_HAZARD' WHEN rq THEN hazard_type WHEN nd > 0 THEN CASE WHEN d1 > 0 THEN 'DRIVER_DROWSINESS' WHEN d2 > 0 THEN 'HANDS_OFF_WHEEL' ELSE 'DRIVER_HEAD_AWAY' END WHEN pp >= 20 THEN 'ROAD_USER_PRESENT' ELSE 'NONE' END FROM pg
+UNION ALL SELECT 'factor', unnest(list_filter([CASE WHEN d1 > 0 THEN 'drowsiness' END, CASE WHEN d2 > 0 THEN 'hands_off_wheel' END, CASE WHEN d3 > 0 THEN 'head_away' END, CASE WHEN total IS NOT NULL THEN 'persistence' END, CASE WHEN off <= 0.35 THEN 'centrality' END, CASE WHEN approaching THEN 'approach' END, CASE WHEN moving_in THEN 'trajectory' END,
+  CASE WHEN share > 0.01 THEN 'image_size' END, CASE WHEN quality < 1 AND total > 0 THEN 'evidence_quality' END, CASE WHEN NOT q AND total * least(1, quality) > 20 THEN 'presence_cap' END, CASE WHEN nq >= 2 AND pp IS NOT NULL THEN 'multiple_hazards' END, CASE WHEN coalesce(pp, 0) + CASE WHEN nq >= 2 THEN 5 ELSE 0 END > 70 THEN 'road_cap' END,
+  CASE WHEN d1 + d2 + d3 > 60 THEN 'driver_cap' END, CASE WHEN nd > 0 AND rq THEN 'driver_road_combination' END, CASE WHEN road + drv + CASE WHEN nd > 0 AND rq THEN 15 * least(1, road / 30.0::DOUBLE) ELSE 0 END > 100 THEN 'score_clamp' END], lambda x: x IS NOT NULL)) FROM pg)
+SELECT category, key, count(*) AS n FROM cnt GROUP BY 1, 2""")
+def risk_counts(spark, d):
+    """Every frame's assessment by level, hazard, factor and gate."""
+    return risk.risk_counts(assessed(spark, d))
+
+
+@query("stored_tracks", tracks_sql(FRAMES_SQL, """SELECT session_id, a.id AS track_id, round_even(ts, 3) AS ts, round_even(a.conf / len(a.cs), 4) AS mean_confidence, round_even(a.seen - a.first, 3) AS persistence, round_even(ts - a.seen, 3) AS missed, round_even((a.x1 + a.x2) / 2, 2) AS cx, round_even((a.y1 + a.y2) / 2, 2) AS cy,
+  round_even(a.x2 - a.x1, 2) AS box_w, round_even((a.x2 - a.x1) * (a.y2 - a.y1), 1) AS area FROM (SELECT session_id, ts, unnest(tracks) AS a FROM k)"""))
+def stored_tracks(spark, d):
+    """Track rows rounded as they are stored."""
+    t = records.rounded(tracker.track(_detections(spark, d)).filter("not ended"), "track")
+    return t.select("session_id", "track_id", "ts", "mean_confidence", "persistence", "missed", "cx", "cy", "box_w", "area")

@@ -119,7 +119,7 @@ def read_gps(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None, content: bool = False) -> DataFrame:
-    """(path relative to root, length[, content]) of all files under a folder; contents are read only if asked for."""
+    """(path relative to root, length[, content]) of all files under a folder but empty ones, which Spark's source passes over; contents are read only if asked for."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     d = (r.option("pathGlobFilter", pattern) if pattern else r).load(root)
     base = root.rstrip("/").split("://")[-1] + "/"
@@ -127,6 +127,11 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None, conte
     return d.select(rel.alias("path"), "length", *(["content"] if content else []))
 
 
+def file_digests(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """(path, length, sha256) of the files under a folder; each file is read by one task and only its digest leaves it."""
+    return list_files(spark, root, pattern, content=True).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def camera_folders(files: DataFrame, names: list[str], depth: int = 4) -> DataFrame:
     """First folders, down to ``depth`` and outside dot-folders, that have a camera's name."""
     parts = F.split("path", "/")

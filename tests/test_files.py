@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from eventloom.functions import columns
-from eventloom.operators import audit, files, ordered, reference
+from eventloom.operators import audit, files, ordered, records, reference, report
+from eventloom.sources import readers
 
 
 def test_plan_problems(spark):
@@ -54,7 +57,7 @@ def test_pool_ranges_have_exact_medians(spark):
 FILE = "path string, camera string, label string, kind string, extension string, size_bytes long, readable boolean, width int, height int, format string, exif_orientation int, duration_s double, fps double, codec string, rotation_meta int, frame_count long, sha256 string"
 
 
-def test_audit(spark):
+def test_audit(spark, tmp_path):
     image = lambda path, label, w, h, sha, readable=True, exif=1, size=10, camera="driver_cam": (path, camera, label, "image", ".jpg", size, readable, w, h, "JPEG", exif, None, None, None, None, None, sha)
     film = lambda path, label, secs, rot=0, w=640: (path, "driver_cam", label, "video", ".mp4", 99, True, w, 480, None, None, secs, 25.0, "H264", rot, 10, path)
     rows = [
@@ -78,6 +81,24 @@ def test_audit(spark):
         ("several resolutions", None): 2, ("turned films", None): 1, ("films without duration", None): 1,
     }
     assert audit.audit_issues(f.limit(0), want.limit(0)).count() == 0
+    paths = report.write_audit(f, want, str(tmp_path))
+    text = "\n".join(r.value for r in spark.read.text(paths["issues_md"]).collect())
+    assert "| missing folder | driver_cam/one_hand | 1 |" in text and "- max dimensions: 1920x1080" in text
+    assert len(json.loads(spark.read.text(paths["issues_json"]).first().value)["issues"]) == len(got)
+    assert spark.read.option("header", True).csv(paths["folders_csv"]).filter("level = 3").first()["files"] == "10"
+
+
+def test_file_digests(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, data in (("a/x.bin", b"1" * 10_000), ("y.bin", b"2")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.path: (r.length, r.sha256) for r in readers.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {"a/x.bin": (10_000, hashlib.sha256(b"1" * 10_000).hexdigest()), "y.bin": (1, hashlib.sha256(b"2").hexdigest())}
+
+
+def test_rounding_of_stored_rows(spark):
+    d = spark.createDataFrame([(0.12345, 1.0005, 2.675, "k"), (None, 0.5, 0.125, "k")], "mean_confidence double, ts double, cx double, other string")
+    assert [tuple(r) for r in records.rounded(d, "track").collect()] == [(0.1234, 1.0, 2.68, "k"), (None, 0.5, 0.12, "k")]
 
 
 def test_codes_and_aspects(spark):
