@@ -127,6 +127,10 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, kind))
 
 
+#: Names from here on are numbers of classes; no number of a row reaches it.
+BEYOND = 1 << 62
+
+
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     with np.errstate(over="ignore"):
@@ -157,9 +161,9 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
-    """Sets and the other orders' prefixes of the classes in ``ids(id, rep, s1, s2, n)`` (one text scan behind a fixed-size filter).
+    """Sets and the other orders' prefixes of the classes in ``ids(id, rep, s1)`` (one text scan behind a fixed-size filter).
 
-    A class's set is that of the document ``rep`` which has its hash: an id may have several texts.
+    A class's set is that of the document ``rep`` whose set has the hash ``s1``: an id may have several texts.
     """
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(id_filter(ids, "rep"))
@@ -176,18 +180,17 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level)
             sets, hashes, other = [], [], [[] for _ in _ORDERS]
             for _, s in _sets(b, k):
                 sets.append(s.tobytes())
-                hashes.append((len(s), *_set_hash(s)))
+                hashes.append(_set_hash(s)[0])
                 for x, y in zip(other, _prefixes(s, lv, num, den)[1], strict=True):
                     x.append(y)
             yield pa.record_batch(
-                {"doc_id": b.column("doc_id"), **{c: pa.array([h[i] for h in hashes], pa.int64()) for i, c in enumerate(("m", "h1", "h2"))}, "items": pa.array(sets, pa.binary()), **{f"o{i}": _lists(x, pa.int32()) for i, x in enumerate(other)}}
+                {"rep": b.column("doc_id"), "s1": pa.array(hashes, pa.int64()), "items": pa.array(sets, pa.binary()), **{f"o{i}": _lists(x, pa.int32()) for i, x in enumerate(other)}}
             )
 
     kinds = ", ".join(f"o{i} array<int>" for i in range(len(_ORDERS)))
     tagged = docs.filter("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    found = tagged.mapInArrow(lean(run), f"doc_id long, m long, h1 long, h2 long, items binary, {kinds}")
-    own = (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("m") == F.col("n"))
-    out = materialize(found.join(ids, own).select("id", "items", *[f"o{i}" for i in range(len(_ORDERS))]).dropDuplicates(["id"]), "sets")
+    found = tagged.mapInArrow(lean(run), f"rep long, s1 long, items binary, {kinds}")
+    out = materialize(found.join(ids, ["rep", "s1"]).select("id", "items", *[f"o{i}" for i in range(len(_ORDERS))]).dropDuplicates(["id"]), "sets")
     bits.destroy()
     return out
 
@@ -195,7 +198,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level)
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
     """Links (src, dst) among candidate ``pairs(a, b)`` of classes: other orders' filters, then exact comparison."""
     spark = pairs.sparkSession
-    ids = materialize(classes.join(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "id", "left_semi"), "ids")
+    ids = materialize(classes.select("id", "rep", "s1").join(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "id", "left_semi"), "ids")
     sets = _sets_of(docs, ids, k, num, den, level)
     meets = [f"arrays_overlap(a{i}, b{i})" for i in range(len(_ORDERS))]
     side = lambda c: sets.select(F.col("id").alias(c), *[F.col(f"o{i}").alias(f"{c}{i}") for i in range(len(_ORDERS))])
@@ -245,10 +248,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     level = spark.sparkContext.broadcast(token_counts(docs, k))
     prof = materialize(profiles(docs, k, num, den, level), "profiles")
 
-    # A class is a set, whatever ids its documents have: it gets a number of its own, as two sets may share their least id.
-    classes = prof.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id())
+    # A class is a set, whatever ids its documents have.  It is named by its least id, so that pivots are the documents
+    # that came first; of sets that share their least id all but one get numbers beyond all such names.
+    classes = prof.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).withColumn("nr", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")
-    reps = prof.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2", "n"]).select("id", "n", "toks").dropDuplicates(["id"])
+    first = classes.groupBy(F.col("rep").alias("r")).agg(F.min("nr").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    own = F.col("first").isNull() | (F.col("first") == F.col("nr"))
+    named = classes.join(first, F.col("rep") == F.col("r"), "left").withColumn("id", F.when(own & (F.col("rep") < BEYOND), F.col("rep")).otherwise(F.col("nr") + BEYOND))
+    last, classes = classes, materialize(named.select("s1", "s2", "n", "rep", "id"), "classes")
+    forget(last)
+    # Ids with several sets, few or none: only their rows have to be told apart by their sets.
+    several = prof.filter("doc_id is not null and n > 0").groupBy(F.col("doc_id").alias("r")).agg(F.min("s1").alias("a"), F.max("s1").alias("z")).filter("a != z").select("r")
+    several = materialize(several, "several")
+    own = prof.filter("n > 0").select("doc_id", "s1", "s2", "n", "toks")
+    plain = own.join(several, F.col("doc_id") == F.col("r"), "left_anti").join(classes.select(F.col("rep").alias("r")), F.col("doc_id") == F.col("r"), "left_semi")
+    plain = plain.select(F.when(F.col("doc_id") < BEYOND, F.col("doc_id")).alias("id"), "doc_id", "s1", "n", "toks")
+    odd = own.join(several, F.col("doc_id") == F.col("r"), "left_semi").unionAll(own.filter(F.col("doc_id") >= BEYOND).join(several, F.col("doc_id") == F.col("r"), "left_anti"))
+    odd = odd.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n", "id"), ["doc_id", "s1", "s2", "n"])
+    reps = plain.filter("id is not null").select("id", "n", "toks").unionAll(odd.select("id", "n", "toks")).dropDuplicates(["id"])
     post = reps.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
 
     # Tokens of one class alone meet nothing; of the others the smallest and the largest class are pivots.
@@ -284,7 +301,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs2")
     more = _verify(second, classes, docs, k, num, den, level)
     comp = connected_components(links.unionAll(more))
-    forget(met, first, at, second, links, more)
+    forget(met, first, at, second, links, more, several)
     level.destroy()
     trim()
 
