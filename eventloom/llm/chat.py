@@ -11,7 +11,7 @@ A conversation is kept as one row per turn (with its offset), never as one
 array, so a conversation of any length fits.
 
 Defined results: null text or role is empty; a null turn comes first, ties are
-ordered by role and text; a null conv_id is a conversation of its own; rows are
+ordered by role and the hash of the text; a null conv_id is a conversation of its own; rows are
 kept as often as they came in; other columns are ignored.
 """
 

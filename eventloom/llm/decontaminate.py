@@ -122,10 +122,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
     windows = windows.select("doc_id", "h", "ih", "len", "start", F.expr("slice(rs, start - lo + 1, size)").alias("sh")).dropDuplicates(["doc_id", "h", "ih", "start"])
     windows = materialize(windows.drop("h"), "windows").withColumn("fp", F.expr(_simhash("sh")))
 
-    w = windows.withColumn("b", F.explode(F.expr(_block_keys("fp")))).select("doc_id", "ih", "len", "start", "sh", "fp", "b.k", "b.v")
-    i = items.withColumn("b", F.explode(F.expr(_block_keys("fp")))).select("item_id", "ih", F.col("sh").alias("ish"), F.col("fp").alias("ifp"), "b.k", "b.v")
-    near = w.join(i, ["ih", "k", "v"]).withColumn("distance", F.expr("bit_count(fp ^ ifp)")).filter(F.col("distance") <= RADIUS)
-    near = near.dropDuplicates(["doc_id", "start", "item_id"])
+    # Fingerprints alone are listed under their blocks; shingles join the pairs within the radius, not the blocks.
+    w = windows.select("doc_id", "ih", "start", "fp", F.explode(F.expr(_block_keys("fp"))).alias("b")).select("doc_id", "ih", "start", "fp", "b.k", "b.v")
+    i = items.select("item_id", "ih", F.col("fp").alias("ifp"), F.explode(F.expr(_block_keys("fp"))).alias("b")).select("item_id", "ih", "ifp", "b.k", "b.v")
+    met = w.join(i, ["ih", "k", "v"]).withColumn("distance", F.expr("bit_count(fp ^ ifp)")).filter(F.col("distance") <= RADIUS)
+    met = met.groupBy("doc_id", "ih", "start", "item_id").agg(F.min("distance").alias("distance"))
+    near = met.join(windows.select("doc_id", "ih", "start", "len", "sh"), ["doc_id", "ih", "start"]).join(items.select("item_id", "ih", F.col("sh").alias("ish")), ["item_id", "ih"])
     # Sum over distinct shingles of the smaller and of the larger multiplicity.
     count = lambda a: f"size(filter({a}, y -> y = s))"
     same = F.expr(f"aggregate(array_intersect(sh, ish), 0, (n, s) -> n + least({count('sh')}, {count('ish')}))")

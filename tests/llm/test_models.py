@@ -250,6 +250,24 @@ def test_decontamination_finds_short_items_in_longer_documents(spark):
     assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == dict.fromkeys([(0, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 2), (8, 0), (8, 1), (9, 3)], 1.0)
 
 
+def test_decontamination_at_the_edge_of_similarity(spark):
+    """Items of 15, 30 and 60 words, each edited at one end to the least similarity that still counts: all are found, well inside the radius."""
+    from eventloom.llm.decontaminate import RADIUS, find_leaks
+
+    rng = random.Random(21)
+    items, docs = [], []
+    for i in range(60):
+        n = (15, 30, 60)[i % 3]
+        w = [f"{x}{rng.randrange(10_000)}" for x in prose(rng, n).split()]
+        items.append((i, " ".join(w)))
+        cut = (n - 4) // 9
+        w[:cut] = [f"odd{rng.randrange(10**6)}" for _ in range(cut)]
+        docs.append((i, " ".join([*prose(rng, 30).split(), *w, *prose(rng, 30).split()]), "", "", 0, ""))
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(i, i) for i in range(60)}
+    assert min(r.similarity for r in got.values()) < 0.84 and max(r.distance for r in got.values()) <= RADIUS - 4
+
+
 def test_decontamination_stays_native(spark):
     from eventloom.llm.decontaminate import find_leaks
 
