@@ -2,7 +2,8 @@
 
 ``track_hazards`` scores tracks, ``assess`` folds a frame's tracks and the
 driver's state into one assessment.  The factor list of an assessment always
-sums to its raw score: caps and clamps appear as negative factors.
+sums to its raw score, but for the last bits of a sum of doubles: caps and clamps
+appear as negative factors.
 """
 
 from __future__ import annotations
@@ -203,7 +204,9 @@ def assess(frames: DataFrame, s: RiskSettings = RiskSettings()) -> DataFrame:
             (F.col("_driver") > s.driver_cap, factor("driver_cap", s.driver_cap - F.col("_driver"), "driver", f"driver contribution capped at {s.driver_cap:g}")), (F.col("combined"), factor("driver_road_combination", bonus, "combined", COMBINATION)),
         ),
     )
-    d = d.withColumn("factors", all_of).withColumn("_sum", points_of("factors"))
+    # Of the bounded parts, so that a cap leaves a whole number: the factors' own sum may end a little beside it.
+    total = F.col("road_points") + F.col("driver_points") + F.when(F.col("combined"), bonus).otherwise(0.0)
+    d = d.withColumn("factors", all_of).withColumn("_sum", total)
     d = d.withColumn("raw_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("_sum"))))
     d = d.withColumn("factors", F.concat("factors", present((F.col("raw_score") != F.col("_sum"), factor("score_clamp", F.col("raw_score") - F.col("_sum"), "quality", CLAMPED)))))
     names = F.transform("driver_list", lambda f: f["name"])
