@@ -120,11 +120,14 @@ def trailing(agg: str, keys: list[str], t: str, width: float, last: str = "CURRE
 
 
 def trailing_slope(df: DataFrame, keys: list[str], t: str, values: dict[str, str], window: float, min_samples: int, min_span: float) -> DataFrame:
-    """Least-squares slopes of ``values`` (name -> column) over the trailing ``window``; null with too few samples or too short a span."""
+    """Least-squares slopes of ``values`` (name -> column) over the trailing ``window``; null with too few samples or too short a span.
+
+    Both moments are added up in the same way, as in SQL's regr_slope: Spark's own ends a bit beside a slope that lies on a threshold.
+    """
     d = df.withColumns({f"_y{i}": col(c) for i, c in enumerate(values.values())})
     w = lambda agg: trailing(agg, keys, t, window + EPS)
     ok = (w(f"count({t})") >= min_samples) & (w(f"max({t})") - w(f"min({t})") >= min_span - EPS)
-    d = d.withColumns({name: F.when(ok, F.coalesce(w(f"regr_slope(_y{i}, {t})"), F.lit(0.0))) for i, name in enumerate(values)})
+    d = d.withColumns({name: F.when(ok, F.coalesce(w(f"covar_pop({t}, _y{i})") / F.nullif(w(f"covar_pop({t}, if(_y{i} is null, null, {t}))"), F.lit(0.0)), F.lit(0.0))) for i, name in enumerate(values)})
     return d.drop(*[f"_y{i}" for i in range(len(values))])
 
 

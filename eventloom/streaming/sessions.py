@@ -36,11 +36,13 @@ TRACK = (
 
 
 def slope(points: list[tuple[float, float]]) -> float:
-    """Least-squares slope of (t, y); 0 without spread."""
-    n = len(points)
-    mt, my = sum(t for t, _ in points) / n, sum(y for _, y in points) / n
-    spread = sum((t - mt) ** 2 for t, _ in points)
-    return sum((t - mt) * (y - my) for t, y in points) / spread if spread > 0 else 0.0
+    """Least-squares slope of (t, y); 0 without spread.  Moments are added up as ``ordered.trailing_slope`` does."""
+    n, mt, my, joint, spread = 0, 0.0, 0.0, 0.0, 0.0
+    for t, y in points:
+        n, dt = n + 1, t - mt
+        mt, my = mt + dt / n, my + (y - my) / n
+        joint, spread = joint + dt * (y - my), spread + dt * (t - mt)
+    return (joint / n) / (spread / n) if spread > 0 else 0.0
 
 
 class Motion(InOrder):

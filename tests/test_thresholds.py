@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import risk
+from eventloom.operators import ordered, risk
+from eventloom.streaming.sessions import slope
 
 FACTOR = "array<struct<name:string,points:double,source:string,detail:string,track_id:bigint>>"
 FRAME = f"frame int, n_qualifying int, p_track_id long, p_class_name string, p_hazard_type string, p_qualifies boolean, p_points double, p_quality double, p_factors {FACTOR}, p_groups array<string>, p_phrases array<string>"
@@ -20,3 +21,18 @@ def test_a_capped_track_and_a_driver_reach_the_level_of_their_sum(spark):
     assert "score_clamp" not in [f.name for f in r.factors] and abs(sum(f.points for f in r.factors) - 45.0) < 1e-9
     counts = {(c.category, c.key): c.n for c in risk.risk_counts(risk.assess(frames)).collect()}
     assert counts["gate", risk.GATE_HIGH] == 1
+
+
+#: A track whose sideways slope is a twentieth of a frame a second, no more and no less, as SQL adds it up.
+EDGE = [(0.1 * f, x / 550.0) for f, x in ((22, 88.5), (24, 102.0), (29, 74.0))]
+
+
+def test_a_slope_on_the_threshold_counts(spark):
+    rows = [(1, 0.1 * f, x / 550.0) for f, x in ((5, 117.0), (7, 118.0), (12, 104.5), (15, 89.0), (22, 88.5), (24, 102.0), (29, 74.0))] + [(2, t, None) for t in (0.0, 0.3, 0.6)]
+    d = ordered.trailing_slope(spark.createDataFrame(rows, "k int, t double, y double"), ["k"], "t", {"slope": "y"}, 1.0, 3, 0.3)
+    got = {(r.k, round(r.t, 1)): r.slope for r in d.collect()}
+    assert got[1, 2.9] == -0.05 and got[1, 0.5] is None and got[2, 0.6] == 0.0
+
+
+def test_the_stream_has_the_slope_of_the_batch():
+    assert slope(EDGE) == -0.05 and slope([(1.0, 2.0)]) == 0.0 and slope([(1.0, 2.0), (1.0, 3.0)]) == 0.0
