@@ -11,15 +11,18 @@ from eventloom.functions.columns import finite, iou
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def clean_detections(df: DataFrame, frame: list[str], classes: list[str] | None, threshold: float, width: float, height: float) -> DataFrame:
-    """Confident boxes of allowed classes, clipped to the image, without degenerate ones, numbered by falling confidence."""
+def clean_detections(df: DataFrame, frame: list[str], classes: list[str] | None, threshold: float, width: float, height: float, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Confident boxes of allowed classes, clipped to the image, without degenerate ones, numbered by falling confidence.
+
+    ``tie`` names columns that tell equal boxes apart, so that a rerun numbers them alike.
+    """
     d = df.filter(F.col("confidence") >= threshold - 1e-6)
     if classes is not None:
         d = d.filter(F.col("class_name").isin(classes))
     for c in BOX:
         d = d.withColumn(c, F.greatest(F.lit(0.0), F.least(finite(c), F.lit(float(width if c[0] == "x" else height)))))
     d = d.filter("x2 > x1 and y2 > y1")
-    return d.withColumn("det_ix", F.row_number().over(Window.partitionBy(*frame).orderBy(F.desc("confidence"), *BOX, "class_name")) - 1)
+    return d.withColumn("det_ix", F.row_number().over(Window.partitionBy(*frame).orderBy(F.desc("confidence"), *BOX, "class_name", *tie)) - 1)
 
 
 def with_shape(df: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def duplicate_boxes(spark, d):
 k AS (SELECT * FROM c WHERE conf >= 0.35 - 1e-6 AND class_name IN ('view', 'click', 'error') AND x2 > x1 AND y2 > y1) SELECT event_id, row_number() OVER (PARTITION BY session_id, frame ORDER BY conf DESC, x1, y1, x2, y2, class_name) - 1 AS det_ix FROM k""")
 def clean_detections(spark, d):
     b = boxes(spark, d).withColumn("confidence", (F.col("event_id") % 100) / F.lit(100.0))
-    return geometry.clean_detections(b, ["session_id", "frame"], ["view", "click", "error"], 0.35, 300.0, 250.0).select("event_id", "det_ix")
+    return geometry.clean_detections(b, ["session_id", "frame"], ["view", "click", "error"], 0.35, 300.0, 250.0, ("event_id",)).select("event_id", "det_ix")
 
 
 @query("split_comparison", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders), b AS (SELECT l_orderkey AS k, max(l_linestatus) AS v FROM lineitem GROUP BY 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import ordered, risk
+from eventloom.operators import geometry, ordered, risk
 from eventloom.streaming.sessions import slope
 
 FACTOR = "array<struct<name:string,points:double,source:string,detail:string,track_id:bigint>>"
@@ -36,3 +36,12 @@ def test_a_slope_on_the_threshold_counts(spark):
 
 def test_the_stream_has_the_slope_of_the_batch():
     assert slope(EDGE) == -0.05 and slope([(1.0, 2.0)]) == 0.0 and slope([(1.0, 2.0), (1.0, 3.0)]) == 0.0
+
+
+def test_equal_boxes_are_numbered_alike_in_every_run(spark):
+    rows = [(1, i, "dog", 0.5, 0.0, 0.0, 400.0 + i, 10.0) for i in range(40)]
+    told = []
+    for order in (rows, rows[::-1], rows[20:] + rows[:20]):
+        d = spark.createDataFrame(order, "f int, i int, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double").coalesce(1)
+        told.append(sorted((r.i, r.det_ix) for r in geometry.clean_detections(d, ["f"], None, 0.35, 300.0, 250.0, ("i",)).collect()))
+    assert told[0] == told[1] == told[2] == [(i, i) for i in range(40)]
