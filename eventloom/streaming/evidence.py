@@ -24,10 +24,9 @@ class Evidence(InOrder):
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.ring = handle.getListState("ring", "us long, frame_id long")
-        self.pending = handle.getListState("pending", "event_id long, event_us long, frames array<long>, first_us long, last_us long")
 
     def run(self, key, rows):
-        ring, pending, out = [tuple(x) for x in self.ring.get()], [list(x) for x in self.pending.get()], []
+        ring, pending, out = [tuple(x) for x in self.ring.get()], self.own or [], []
         for r in rows:
             ring = [x for x in ring if r.us - x[0] <= self.before]
             ring.append((r.us, r.frame_id))
@@ -41,13 +40,12 @@ class Evidence(InOrder):
             out += [(*p, r.us, False) for p in pending if r.us > p[1] + self.after]
             pending = [p for p in pending if r.us <= p[1] + self.after]
         self.ring.put(ring) if ring else self.ring.clear()
-        self.pending.put([tuple(p) for p in pending]) if pending else self.pending.clear()
+        self.own = pending or None
         return out
 
     def close_session(self, key, last):
-        out = [(*p, last + self.timeout, last < p[1] + self.after) for p in (tuple(x) for x in self.pending.get())]
+        out = [(*p, last + self.timeout, last < p[1] + self.after) for p in self.own or ()]
         self.ring.clear()
-        self.pending.clear()
         return out
 
 

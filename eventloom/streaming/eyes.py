@@ -1,4 +1,4 @@
-"""Eye-closure windows on a stream: a sliding deque of observed intervals and closures in list state."""
+"""Eye-closure windows on a stream: a sliding deque of observed intervals and closures in a session's state."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from eventloom.config import DriverSettings
@@ -29,14 +28,8 @@ class Eyes(InOrder):
         super().__init__(schema, "us", "tie", timeout)
         self.window, self.rules = window, (max_gap, blink, long)
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.intervals = handle.getListState("intervals", "a long, z long, positive boolean")
-        self.ends = handle.getListState("ends", "us long, blink boolean, long boolean")
-        self.now = handle.getValueState("now", "first long, us long, closed boolean, began long, seen long")
-
     def run(self, key, rows):
-        spans, ends = deque(tuple(x) for x in self.intervals.get()), deque(tuple(x) for x in self.ends.get())
-        first, us, closed, began, seen = self.now.get() or (None,) * 5
+        spans, ends, first, us, closed, began, seen = self.own or (deque(), deque(), *(None,) * 5)
         eyes, out = Closures(*self.rules, began, seen), []
         observed = sum(z - a for a, z, _ in spans)
         positive = sum(z - a for a, z, p in spans if p)
@@ -61,16 +54,9 @@ class Eyes(InOrder):
             over = max(0, low - spans[0][0]) if spans else 0
             mine = over if spans and spans[0][2] else 0
             out += [(t, tie, observed - over, positive - mine, c, m, sum(e[1] for e in ends), sum(e[2] for e in ends)) for tie, c, m in told]
-        self.intervals.put(list(spans)) if spans else self.intervals.clear()
-        self.ends.put(list(ends)) if ends else self.ends.clear()
-        self.now.update((first, us, closed, eyes.began, eyes.seen))
+        self.own = spans, ends, first, us, closed, eyes.began, eyes.seen
         return out
 
-    def close_session(self, key, last):
-        for state in (self.intervals, self.ends, self.now):
-            state.clear()
-        return ()
-
 
 def eye_stream(rows: DataFrame, session: str, ts: str, tie: str, closed: str, unit: int, timeout: int, lateness: str, s: DriverSettings = DriverSettings()) -> DataFrame:
     """(session, tie, features) of a stream; ``unit`` is what the settings count in, as microseconds."""

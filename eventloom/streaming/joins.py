@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from eventloom.streaming.in_order import InOrder, in_order
@@ -37,13 +36,9 @@ class Backward(InOrder):
         super().__init__(schema, "us", "tie", timeout)
         self.take, self.tail = take, tail
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        kinds = [self.schema[c] for c in self.take]
-        self.right = handle.getValueState("right", StructType([self.schema["us"], *kinds]))
-        self.held = handle.getListState("held", "left_id long, us long")
-
     def run(self, key, rows):
-        right, held, out = self.right.get(), [tuple(x) for x in self.held.get()], []
+        right, held = self.own or (None, [])
+        out = []
         none = (None,) * len(self.take)
         for r in rows:
             if r.left_id is None:
@@ -56,16 +51,11 @@ class Backward(InOrder):
                 out.append((r.left_id, r.us, *right[1:]))
             else:
                 held.append((r.left_id, r.us))
-        if right is not None:
-            self.right.update(tuple(right))
-        self.held.put(held) if held else self.held.clear()
+        self.own = right, held
         return out
 
     def close_session(self, key, last):
-        out = [(i, us, *(None,) * len(self.take)) for i, us in (tuple(x) for x in self.held.get())]
-        self.right.clear()
-        self.held.clear()
-        return out
+        return [(i, us, *(None,) * len(self.take)) for i, us in (self.own or (None, []))[1]]
 
 
 def backward_tail(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lt: str, rt: str, take: list[str], tail: int, timeout: int, lateness: str = "1 second") -> DataFrame:

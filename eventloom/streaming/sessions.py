@@ -17,7 +17,6 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from eventloom.config import EPS, LEVELS, EventSettings, RiskSettings, TrackSettings
@@ -52,12 +51,9 @@ class Motion(InOrder):
         super().__init__(schema, "us", "at", timeout)
         self.width, self.s = width, settings
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getListState("window", "ts double, la double, cx double")
-        self.sums = handle.getValueState("sums", "first double, total double, n int, changes int, label string, ts double, x1 double, y1 double, x2 double, y2 double, vx double, vy double, ar double, growth double, lateral double")
-
     def run(self, key, rows):
-        recent, kept, out, s = deque(tuple(x) for x in self.window.get()), self.sums.get(), [], self.s
+        recent, kept = self.own or (deque(), None)
+        out, s = [], self.s
         first, total, n, changes, label, last, *box = kept[:10] if kept is not None else (None, 0.0, 0, 0, None, None, *(None,) * 4)
         vx, vy, ar, growth, lateral = kept[10:] if kept is not None else (None,) * 5
         for r in rows:
@@ -81,17 +77,11 @@ class Motion(InOrder):
             w, h = box[2] - box[0], box[3] - box[1]
             out.append((r.time, r.us, r.ts, r.at, r.class_name, label, total / n, last - first, n, r.ts - last, changes, (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, box[3], w, h, w * h, vx, vy, ar, growth, lateral))
         if rows[-1].ended:
-            self.close_session(key, rows[-1].us)
+            self.own, self.over = None, True
         elif n:
-            self.window.put(list(recent))
-            self.sums.update((first, total, n, changes, label, last, *box, vx, vy, ar, growth, lateral))
+            self.own = recent, (first, total, n, changes, label, last, *box, vx, vy, ar, growth, lateral)
         return out
 
-    def close_session(self, key, last):
-        self.window.clear()
-        self.sums.clear()
-        return ()
-
 
 class Carry(InOrder):
     """Frames with the latest driver row: its columns, and how old it is in seconds (null before the first)."""
@@ -100,25 +90,17 @@ class Carry(InOrder):
         super().__init__(schema, "us", "tie", timeout)
         self.frame, self.states, self.unit = frame, states, unit
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.driver = handle.getValueState("driver", StructType([self.schema["us"], *[self.schema[c] for c in self.states]]))
-
     def run(self, key, rows):
-        driver, out = self.driver.get(), []
+        driver, out = self.own, []
         for r in rows:
             if r.is_frame:
                 age = None if driver is None else (r.us - driver[0]) / self.unit
                 out.append((*(r[c] for c in self.frame), *(driver[1:] if driver is not None else (None,) * len(self.states)), age))
             else:
                 driver = (r.us, *(r[c] for c in self.states))
-        if driver is not None:
-            self.driver.update(tuple(driver))
+        self.own = driver
         return out
 
-    def close_session(self, key, last):
-        self.driver.clear()
-        return ()
-
 
 class Levels(InOrder):
     """Level events: smoothed level and score of each frame, told where the level changes."""
@@ -127,12 +109,9 @@ class Levels(InOrder):
         super().__init__(schema, "us", "tie", timeout)
         self.s = settings
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "last double, level int, below int, s1 int, s2 int, s3 int, score double")
-
     def run(self, key, rows):
         m, score, out = Hysteresis(self.s), None, []
-        if (kept := self.state.get()) is not None:
+        if (kept := self.own) is not None:
             m.last, m.level, m.below, m.streaks, score = kept[0], kept[1], kept[2], list(kept[3:6]), kept[6]
         for r in rows:
             before, last = m.level, m.last
@@ -141,13 +120,9 @@ class Levels(InOrder):
             level = m.update(r.ts, r.raw_rank)
             if level != before:
                 out.append((*(r[c] for c in self.schema.names), before, level, score))
-        self.state.update((m.last, m.level, m.below, *m.streaks, score))
+        self.own = m.last, m.level, m.below, *m.streaks, score
         return out
 
-    def close_session(self, key, last):
-        self.state.clear()
-        return ()
-
 
 class Stable(InOrder):
     """Changes of a driver's stable states, each (kind, from, to) at most once in its cooldown."""
@@ -156,32 +131,24 @@ class Stable(InOrder):
         super().__init__(schema, "us", "tie", timeout)
         self.kinds, self.s, self.unit = kinds, settings, unit
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.states = handle.getMapState("states", "kind string", "stable string, candidate string, count int")
-        self.told = handle.getMapState("told", "kind string, before string, after string", "us double")
-
     def run(self, key, rows):
-        out = []
+        (states, told), out = self.own or ({}, {}), []
         for kind in self.kinds:
             m = Debounce(self.s.change_observations)
-            if self.states.containsKey((kind,)):
-                m.stable, m.candidate, m.count = self.states.getValue((kind,))
+            if kind in states:
+                m.stable, m.candidate, m.count = states[kind]
             for r in rows:
                 if (change := m.update(r[kind])) is None:
                     continue
                 k = (kind, *change)
-                c = Cooldown(self.s.change_cooldown * self.unit, self.told.getValue(k)[0] if self.told.containsKey(k) else None)
+                c = Cooldown(self.s.change_cooldown * self.unit, told.get(k))
                 if c.update(float(r.us)):
-                    self.told.updateValue(k, (c.last,))
+                    told[k] = c.last
                     out.append((r.time, r.us, r.tie, kind, *change))
-            self.states.updateValue((kind,), (m.stable, m.candidate, m.count))
+            states[kind] = m.stable, m.candidate, m.count
+        self.own = states, told
         return sorted(out, key=lambda x: x[1:4])
 
-    def close_session(self, key, last):
-        self.states.clear()
-        self.told.clear()
-        return ()
-
 
 def _step(rows: DataFrame, keys: list[str], processor: InOrder, adds: str, lateness: str | None = None) -> DataFrame:
     return in_order(rows, keys, "time", processor, adds, lateness, emits="time")

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from eventloom.config import EventSettings, RiskSettings
@@ -38,23 +37,16 @@ class Fold(InOrder):
         super().__init__(schema, "us", "tie", timeout)
         self.kind, self.keep = kind, keep
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("machine", self.kind.state)
-
     def run(self, key, rows):
-        m, kept, out = self.kind.make(), self.state.get(), []
+        m, kept, out = self.kind.make(), self.own, []
         if kept is not None:
             self.kind.load(m, kept)
         for r in rows:
             if (said := self.kind.step(m, r)) is not None:
                 out.append((*(r[c] for c in self.keep), *said))
-        self.state.update(self.kind.dump(m))
+        self.own = self.kind.dump(m)
         return out
 
-    def close_session(self, key, last):
-        self.state.clear()
-        return ()
-
 
 def fold_stream(rows: DataFrame, keys: list[str], ts: str, tie: str, kind: Kind, columns: list[str], adds: str, timeout: int, lateness: str) -> DataFrame:
     """(keys, ts, tie, columns, adds) of the rows that the machine keeps; ``timeout`` in microseconds."""

@@ -1,4 +1,4 @@
-"""The overlap tracker on a stream: live tracks in map state, one entry a track, dropped as they end."""
+"""The overlap tracker on a stream: live tracks in list state, one entry a track, dropped as they end."""
 
 from __future__ import annotations
 
@@ -23,14 +23,14 @@ class Tracks(InOrder):
         self.settings, self.timed = settings, timed
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getMapState("live", "track_id int", "box array<double>, seen double, idle int, classes array<string>")
-        self.clock = handle.getValueState("clock", "clock double, born int, at int")
+        self.live = handle.getListState("live", "track_id int, box array<double>, seen double, idle int, classes array<string>")
 
     def _load(self) -> tuple[Matcher, int]:
-        m, kept, at = Matcher(self.settings), self.clock.get(), 0
-        if kept is not None:
-            m.clock, m.born, at = kept
-        for (i,), (box, seen, idle, classes) in sorted(self.live.iterator(), key=lambda x: x[0][0]):
+        m, at = Matcher(self.settings), 0
+        if self.own is None:
+            return m, at
+        m.clock, m.born, at = self.own
+        for i, box, seen, idle, classes in sorted(self.live.get(), key=lambda x: x[0]):
             m.box[i], m.seen[i], m.idle[i], m.classes[i], m.votes[i] = tuple(box), seen, idle, list(classes), {}
             for c in classes:
                 m.votes[i][c] = m.votes[i].get(c, 0) + 1
@@ -44,23 +44,20 @@ class Tracks(InOrder):
 
     def run(self, key, rows):
         m, at = self._load()
-        was, out = set(m.box), []
+        out = []
         for (us, t, index), frame in groupby(rows, key=lambda r: (r.us, r.ts, r.frame_index)):
             dets = [r for r in frame if r.class_name is not None]
             out += self._tell(m.frame([(r.class_name, tuple(r[c] for c in BOX)) for r in dets], t), dets, index, at, us)
             at += 1
-        for i in was - set(m.box):
-            self.live.removeKey((i,))
-        for i, box in m.box.items():
-            self.live.updateValue((i,), (list(box), m.seen[i], m.idle[i], m.classes[i]))
-        self.clock.update((m.clock, m.born, at))
+        live = [(i, list(box), m.seen[i], m.idle[i], m.classes[i]) for i, box in m.box.items()]
+        self.live.put(live) if live else self.live.clear()
+        self.own = m.clock, m.born, at
         return out
 
     def close_session(self, key, last):
         m, at = self._load()
         out = list(self._tell(m.finish(), [], None, at, last + self.timeout))
         self.live.clear()
-        self.clock.clear()
         return out
 
 
