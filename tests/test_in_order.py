@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Row
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import LongType, StructType
 
+from eventloom.config import RiskSettings
 from eventloom.streaming.in_order import InOrder
+from eventloom.streaming.sessions import Motion
 
 
 class Value:
@@ -68,7 +70,7 @@ class Counted(InOrder):
 
 def test_one_value_and_one_timer_a_session():
     handle = Handle()
-    op = Counted(_parse_datatype_string("us long, tie long"), "us", "tie", 10_000_000)
+    op = Counted(StructType().add("us", LongType()).add("tie", LongType()), "us", "tie", 10_000_000)
     op.names = ["k", "us", "n"]
     op.init(handle)
     mk = lambda *rows: iter([Row(k=1, us=u, tie=t) for u, t in rows])
@@ -80,3 +82,17 @@ def test_one_value_and_one_timer_a_session():
     assert len(handle.values) == 1 and handle.values[0].calls == 4
     assert [tuple(r) for r in op.handleInputRows((1,), mk((6_000_000, 9)), Mark(7000))] == [(1, 5_000_000, 3), (1, 6_000_000, 4)]
     assert handle.timers == set() and handle.values[0].kept is None
+
+
+def test_motion_keeps_all_tracks_of_a_session_apart():
+    names = ["track_id", "us", "time", "ts", "at", "active", "ended", "class_name", "observed_class", "confidence", "x1", "y1", "x2", "y2"]
+    m = Motion(StructType(), 100.0, RiskSettings(), 1)
+    m.own = None
+    row = lambda i, at, x, ended=False: Row(*names)(i, at, None, at / 10, at, not ended, ended, "dog", "dog", 0.5, x, 0.0, x + 10.0, 10.0)
+    out = m.run((1,), [row(i, at, 10.0 * i + i * at) for at in range(4) for i in (1, 2)])
+    last = {r[0]: r for r in out}
+    assert len(out) == 8 and [last[i][9] for i in (1, 2)] == [4, 4] and [round(last[i][-1], 9) for i in (1, 2)] == [0.1, 0.2]
+    m.run((1,), [row(1, 4, 0.0, True)])
+    assert list(m.own) == [2] and not m.over
+    m.run((1,), [row(2, 5, 0.0, True)])
+    assert not m.own and m.over
