@@ -9,11 +9,13 @@ a pair has to pass all of them before its sets are compared:
    levels (any total order is correct, so the sketch only decides how few
    candidates there are).
 2. Exact copies (equal sets) fold into one class before any posting is shipped.
-3. Postings of order A meet by token.  A lossless bound thins the pairs: both
-   sizes say how much a pair has to share, so its first shared token stands at most
-   so far from the start of either set, and so many prefix tokens agree.
-4. The survivors must also share a prefix token under orders B and C; the
-   filters are intersected natively before any set travels.
+3. Postings of order A meet by token, and only those stay whose token has another
+   class of a size that fits.  A lossless bound thins the pairs: both sizes say how
+   much a pair has to share, so its first shared token stands at most so far from
+   the start of either set, and so many prefix tokens agree.
+4. The survivors must also share a prefix token under orders B and C, and their
+   parity bits (a 32nd of a set at most) must not differ in more places than two
+   linked sets in tokens; both are tested natively before any set travels.
 5. Sets are compared in full.  A first pass compares each class with the likeliest
    of its buckets' smallest and of their largest classes; the second takes *all*
    remaining pairs whose members are not yet in one component.  In a bucket the
@@ -28,11 +30,12 @@ often as they came in; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
@@ -120,6 +123,31 @@ def _prefixes(s: np.ndarray, sketch: tuple[np.ndarray, np.ndarray], num: int, de
     return first(mix(s), sketch[0][cell]), [np.unique((x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)) for x in rest]
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Words of m bits, m the power of two from twice the set's size on: bit i tells whether an odd number of tokens is i modulo m.
+
+    Two sets' bits differ in at most as many places as the sets in tokens, also after the longer one's halves are laid over each other.
+    """
+    m = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _need(num: int, den: int, na: str, nb: str) -> str:
+    """Fewest tokens that a linked pair shares, given both sizes."""
+    return f"(({num}L * ({na} + {nb}) + {num + den - 1}L) div {num + den}L)"
+
+
+def _near(num: int, den: int) -> str:
+    """Whether the parity bits `ap` and `bp` of sets of `an` and `bn` tokens leave a link possible; lengths of more than 2 : 1 are let pass."""
+
+    def half(x: str, y: str) -> str:
+        return f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+
+    differ = f"aggregate(zip_with({half('ap', 'bp')}, {half('bp', 'ap')}, (p, q) -> bit_count(p ^ q)), 0L, (s, x) -> s + x)"
+    return f"(greatest(size(ap), size(bp)) > 2 * least(size(ap), size(bp)) or {differ} <= an + bn - 2L * {_need(num, den, 'an', 'bn')})"
+
+
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     off = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=off[1:])
@@ -160,8 +188,8 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, toks array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
-    """Sets and the other orders' prefixes of the classes in ``ids(id, rep, s1)`` (one text scan behind a fixed-size filter).
+def _of_classes(docs: DataFrame, ids: DataFrame, k: int, describe, kinds: dict[str, tuple[str, pa.DataType]], name: str) -> DataFrame:
+    """``id`` and the columns ``kinds`` that ``describe`` makes of the sets of the classes in ``ids(id, rep, s1)`` (one text scan behind a fixed-size filter).
 
     A class's set is that of the document ``rep`` whose set has the hash ``s1``: an id may have several texts.
     """
@@ -170,39 +198,45 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, num: int, den: int, level)
     size = len(bits.value) * 64
 
     def run(batches):
-        words, lv = bits.value, level.value
+        words = bits.value
         for b in batches:
             bit = b.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.flatnonzero((words[bit >> 6] >> (bit & 63)) & 1)
             if not len(keep):
                 continue
             b = b.take(pa.array(keep))
-            sets, hashes, other = [], [], [[] for _ in _ORDERS]
+            hashes, out = [], []
             for _, s in _sets(b, k):
-                sets.append(s.tobytes())
                 hashes.append(_set_hash(s)[0])
-                for x, y in zip(other, _prefixes(s, lv, num, den)[1], strict=True):
-                    x.append(y)
-            yield pa.record_batch(
-                {"rep": b.column("doc_id"), "s1": pa.array(hashes, pa.int64()), "items": pa.array(sets, pa.binary()), **{f"o{i}": _lists(x, pa.int32()) for i, x in enumerate(other)}}
-            )
+                out.append(describe(s))
+            columns = {c: pa.array(x, kind) for (c, (_, kind)), x in zip(kinds.items(), zip(*out, strict=True), strict=True)}
+            yield pa.record_batch({"rep": b.column("doc_id"), "s1": pa.array(hashes, pa.int64()), **columns})
 
-    kinds = ", ".join(f"o{i} array<int>" for i in range(len(_ORDERS)))
     tagged = docs.filter("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    found = tagged.mapInArrow(lean(run), f"rep long, s1 long, items binary, {kinds}")
-    out = materialize(found.join(ids, ["rep", "s1"]).select("id", "items", *[f"o{i}" for i in range(len(_ORDERS))]).dropDuplicates(["id"]), "sets")
+    found = tagged.mapInArrow(lean(run), ", ".join(["rep long", "s1 long", *(f"{c} {kind}" for c, (kind, _) in kinds.items())]))
+    # Repeated rows go where the join has brought them.
+    out = materialize(found.join(ids, ["rep", "s1"]).dropDuplicates(["rep", "s1", "id"]).drop("rep", "s1"), name)
     bits.destroy()
     return out
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
-    """Links (src, dst) among candidate ``pairs(a, b)`` of classes: other orders' filters, then exact comparison."""
+    """Links (src, dst) among candidate ``pairs(a, b)`` of classes: other orders' and parity filters, then exact comparison of what they leave."""
     spark = pairs.sparkSession
-    ids = materialize(classes.select("id", "rep", "s1").join(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "id", "left_semi"), "ids")
-    sets = _sets_of(docs, ids, k, num, den, level)
-    meets = [f"arrays_overlap(a{i}, b{i})" for i in range(len(_ORDERS))]
-    side = lambda c: sets.select(F.col("id").alias(c), *[F.col(f"o{i}").alias(f"{c}{i}") for i in range(len(_ORDERS))])
+
+    def named(by: DataFrame, pairs: DataFrame) -> DataFrame:
+        return materialize(by.select("id", "rep", "s1").join(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "id", "left_semi"), "ids")
+
+    ids = named(classes, pairs)
+    orders = [f"o{i}" for i in range(len(_ORDERS))]
+    kinds = {"n": ("long", pa.int64()), **{o: ("array<int>", pa.list_(pa.int32())) for o in orders}, "p": ("array<long>", pa.list_(pa.int64()))}
+    filters = _of_classes(docs, ids, k, lambda s: (len(s), *_prefixes(s, level.value, num, den)[1], _parity(s)), kinds, "filters")
+    meets = [*(f"arrays_overlap(a{o}, b{o})" for o in orders), _near(num, den)]
+    side = lambda c: filters.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}{x}") for x in ("n", *orders, "p")])
     kept = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(" and ".join(meets)).select("a", "b"), "kept")
+    left = named(ids, kept)
+    sets = _of_classes(docs, left, k, lambda s: (s.tobytes(),), {"items": ("binary", pa.binary())}, "sets")
+    forget(ids, filters, left)
 
     # One row for the set of `a` in each of its groups, then the sets it is compared with: groups of at most about 512 members.
     per = kept.groupBy("a").count().select("a", F.ceil(F.col("count") / 512).cast("int").alias("salts"))
@@ -232,7 +266,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "rank")
     links = materialize(dealt.mapInArrow(lean(compare), "src long, dst long"), "links")
-    forget(ids, sets, kept)
+    forget(sets, kept)
     return links
 
 
@@ -247,10 +281,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     level = spark.sparkContext.broadcast(token_counts(docs, k))
     prof = materialize(profiles(docs, k, num, den, level), "profiles")
+    rows = materialize(prof.select("doc_id", "n", "s1", "s2"), "rows")
 
     # A class is a set, whatever ids its documents have.  It is named by its least id, so that pivots are the documents
     # that came first; of sets that share their least id all but one get numbers beyond all such names.
-    classes = prof.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).withColumn("nr", F.monotonically_increasing_id())
+    classes = rows.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).withColumn("nr", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")
     first = classes.groupBy(F.col("rep").alias("r")).agg(F.min("nr").alias("first"), F.count("*").alias("c")).filter("c > 1")
     own = F.col("first").isNull() | (F.col("first") == F.col("nr"))
@@ -258,23 +293,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     last, classes = classes, materialize(named.select("s1", "s2", "n", "rep", "id"), "classes")
     forget(last)
     # Ids with several sets, few or none: only their rows have to be told apart by their sets.
-    several = prof.filter("doc_id is not null and n > 0").groupBy(F.col("doc_id").alias("r")).agg(F.min("s1").alias("a"), F.max("s1").alias("z")).filter("a != z").select("r")
+    several = rows.filter("doc_id is not null and n > 0").groupBy(F.col("doc_id").alias("r")).agg(F.min("s1").alias("a"), F.max("s1").alias("z")).filter("a != z").select("r")
     several = materialize(several, "several")
     own = prof.filter("n > 0").select("doc_id", "s1", "s2", "n", "toks")
-    plain = own.join(several, F.col("doc_id") == F.col("r"), "left_anti").join(classes.select(F.col("rep").alias("r")), F.col("doc_id") == F.col("r"), "left_semi")
-    plain = plain.select(F.when(F.col("doc_id") < BEYOND, F.col("doc_id")).alias("id"), "doc_id", "s1", "n", "toks")
+    plain = own.filter(F.col("doc_id") < BEYOND).join(several, F.col("doc_id") == F.col("r"), "left_anti").join(classes.select(F.col("rep").alias("r")), F.col("doc_id") == F.col("r"), "left_semi")
     odd = own.join(several, F.col("doc_id") == F.col("r"), "left_semi").unionAll(own.filter(F.col("doc_id") >= BEYOND).join(several, F.col("doc_id") == F.col("r"), "left_anti"))
     odd = odd.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n", "id"), ["doc_id", "s1", "s2", "n"])
-    reps = plain.filter("id is not null").select("id", "n", "toks").unionAll(odd.select("id", "n", "toks")).dropDuplicates(["id"])
+    reps = plain.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "toks").unionAll(odd.select("id", "n", "toks").dropDuplicates(["id"]))
     post = reps.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
 
-    # Tokens of one class alone meet nothing; of the others the smallest and the largest class are pivots.
-    pivots = post.groupBy("tok").agg(F.min(F.struct("id", "n")).alias("p"), F.max(F.struct("id", "n")).alias("q"), F.count("*").alias("c")).filter("c > 1")
-    met = materialize(post.join(pivots.select("tok", "p", "q"), "tok").select("tok", "id", "n", "pos", "p", "q"), "met")
-
-    def need(na: str, nb: str) -> str:
-        """Fewest tokens that a linked pair shares, given both sizes."""
-        return f"(({num}L * ({na} + {nb}) + {num + den - 1}L) div {num + den}L)"
+    # A posting meets something only if the next smaller or larger class of its token has a size that fits; of those that do
+    # the smallest and the largest class are pivots.  All that in one shuffle.
+    of, by_size = Window.partitionBy("tok"), Window.partitionBy("tok").orderBy("n")
+    post = post.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
+    met = post.filter(f"{den}L * smaller >= {num}L * n or {den}L * n >= {num}L * larger")
+    met = met.select("tok", "id", "n", "pos", F.min(F.struct("id", "n")).over(of).alias("p"), F.max(F.struct("id", "n")).over(of).alias("q"))
+    met = materialize(met, "met")
+    forget(prof)
+    need = functools.partial(_need, num, den)
 
     def fit(na: str, nb: str) -> str:
         return f"{den}L * least({na}, {nb}) >= {num}L * greatest({na}, {nb})"
@@ -309,4 +345,4 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = joined.join(least, "comp").select("s1", "s2", "n", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return prof.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rows.join(named, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

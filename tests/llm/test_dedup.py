@@ -77,6 +77,73 @@ def test_ngram_join_hot_group(spark):
     assert got == components(sets, links)
 
 
+def _kept_tables(monkeypatch):
+    """Ids in every table of these names that the join writes."""
+    from eventloom.llm import ngram_join
+
+    seen, write = {"met": [], "sets": []}, ngram_join.materialize
+
+    def keep(df, name):
+        out = write(df, name)
+        if name in seen:
+            seen[name] += [r.id for r in out.select("id").distinct().collect()]
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", keep)
+    return seen
+
+
+def test_ngram_join_ships_sets_of_likely_links_only(spark, monkeypatch):
+    """Pairs a little below the threshold share prefix tokens under every order; their sets stay where they are."""
+    from eventloom.llm.ngram_join import jaccard_components
+
+    seen, rows = _kept_tables(monkeypatch), []
+    for i in range(20):
+        w = [f"w{i}x{j}" for j in range(400)]
+        near = list(w)
+        for j in range(12 if i % 4 else 3):  # similarity 0.83, every fourth 0.96
+            near[j * 30 + 5] = f"odd{i}x{j}"
+        rows += [(2 * i, " ".join(w), "", "", 0, ""), (2 * i + 1, " ".join(near), "", "", 0, "")]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, DOC), 3, 90, 100).collect()}
+    assert got == {i: i - 1 if i % 8 == 1 else i for i in range(40)}
+    assert set(seen["met"]) == set(range(40))
+    assert sorted(seen["sets"]) == [i for i in range(40) if i % 8 < 2]
+
+
+def test_ngram_join_postings_need_a_class_of_a_size_that_fits(spark, monkeypatch):
+    """A short text that a long one quotes meets nothing, though both prefixes hold its rarest tokens."""
+    from eventloom.llm.ngram_join import jaccard_components
+
+    seen = _kept_tables(monkeypatch)
+    short, common = " ".join(f"s{j}" for j in range(100)), " ".join(f"c{j}" for j in range(200))
+    texts = [short, f"{short} {common}", *(f"{common} " + " ".join(f"m{i}x{j}" for j in range(100)) for i in range(5))]
+    got = jaccard_components(spark.createDataFrame([(i, t, "", "", 0, "") for i, t in enumerate(texts)], DOC), 3, 90, 100).collect()
+    assert all(r.doc_id == r.component_id for r in got)
+    assert not {0, 1} & set(seen["met"])
+
+
+@pytest.mark.parametrize("num", [40, 80, 90])
+def test_parity_bits_lose_no_link(spark, num):
+    """Sets at the threshold pass, also where their bits have unequal lengths; most well below it do not."""
+    from eventloom.llm.ngram_join import _near, _parity
+
+    rng, rows = np.random.default_rng(num), []
+    for n in (1, 2, 31, 32, 33, 64, 65, 100, 127, 128, 129, 500, 512, 513, 900):
+        for _ in range(6):
+            pool = np.unique(rng.integers(0, 1 << 64, 4 * n + 8, dtype=np.uint64))
+            rng.shuffle(pool)
+            least = -(-num * n // 100)
+            small = int(rng.integers(least, n + 1))  # of the longer set's n
+            for a, b in ((pool[:n], pool[:small]), (pool[:n], pool[n - -(-num * (n + small) // (100 + num)) :][:small]), (pool[:n], pool[n // 2 :][:small])):
+                both = len(np.intersect1d(a, b))
+                rows.append((100 * both >= num * (len(a) + len(b) - both), n, *((len(x), _parity(x).tolist()) for x in (a, b))))
+    rows = [(link, n, *a, *b) for link, n, a, b in rows] + [(link, n, *b, *a) for link, n, a, b in rows]
+    got = spark.createDataFrame(rows, "link boolean, n int, an long, ap array<long>, bn long, bp array<long>").selectExpr("link", "n", f"{_near(num, 100)} as near").collect()
+    assert all(r.near for r in got if r.link) and sum(r.link for r in got) > len(got) / 4
+    apart = [r.near for r in got if not r.link and r.n >= 100]
+    assert num < 80 or sum(apart) < len(apart) / 4
+
+
 def test_embeddings_recall_and_edges(spark):
     from eventloom.llm.embedding_dedup import near_duplicates
 
