@@ -32,9 +32,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = ngram_join.jaccard_components(docs, SHINGLE, NUM, DEN)
     own = unused("id", docs)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(own)).distinct()
+    # Both lists are read twice below; written once, what they come from is planned once.
+    gone = materialize(gone, "gone")
     kept = docs.join(gone, docs["doc_id"] == gone[own], "left_anti")
     # Only texts of ids that occur again travel.
     again = docs.groupBy(F.col("doc_id").alias(own)).count().filter(F.col("count") > 1).filter(F.col(own).isNotNull()).select(own)
+    again = materialize(again, "again")
     once = kept.join(again, kept["doc_id"] == again[own], "left_anti")
     return once.unionAll(kept.join(again, kept["doc_id"] == again[own], "left_semi").dropDuplicates([docs.columns[i] for i in _places(docs, "doc_id", "text")]))
 

@@ -353,23 +353,27 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], amount: st
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(id, comp) for every id of ``edges(src, dst)``: comp is the smallest id reachable.
 
-    Alternating large-star / small-star rounds; every round is written to the
-    shared folder.  Groups are reduced by partial aggregation before each
-    shuffle, and the joins may be split by adaptive execution.
+    Alternating large-star / small-star rounds; each half of a round is written
+    to the shared folder, and reads what is before it twice at most: the driver
+    plans a stage anew as often as its plan holds it.  Groups are reduced by
+    partial aggregation before each shuffle, and the joins may be split by
+    adaptive execution.
     """
-    spark = edges.sparkSession
 
     def tidy(e: DataFrame) -> DataFrame:
         return e.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
+    def ends(e: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+        return e.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("x")).select("x.u", "x.v")
+
     def large(e: DataFrame) -> DataFrame:
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = ends(e, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     def small(e: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        return e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        return ends(e.join(low, "u"), ("v", "m"), ("u", "m"))
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
@@ -380,12 +384,13 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     for _ in range(max_rounds):
         if not was[0]:
             break
-        last, e = e, materialize(tidy(small(tidy(large(e)))), name)
-        forget(last)
+        for half in (large, small):
+            last, e = e, materialize(tidy(half(e)), name)
+            forget(last)
         now = mark(e)
         if now == was:
             break
         was = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("comp"))).distinct()
+    return ends(e, ("u", "v"), ("v", "v")).select(F.col("u").alias("id"), F.col("v").alias("comp")).distinct()

@@ -333,15 +333,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     a = at.filter("aside").select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
     b = at.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "aside")
     meets = f"ca != cb and (ca < cb or not aside) and {fit('na', 'nb')} and pa <= na - {need('na', 'nb')} and pb <= nb - {need('na', 'nb')}"
-    second = a.join(b, "tok").filter(F.expr(meets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = a.join(b, "tok").filter(F.expr(meets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs2")
-    more = _verify(second, classes, docs, k, num, den, level)
-    comp = connected_components(links.unionAll(more))
-    forget(met, first, at, second, links, more, several)
+    joined = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    if not second.isEmpty():
+        # What the second pass links are whole components of the first, each named by its least class.
+        more = _verify(second, classes, docs, k, num, den, level)
+        met_again = more.join(second, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")))
+        grown = connected_components(met_again.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))).select(F.col("id").alias("was"), F.col("comp").alias("now"))
+        joined = joined.join(grown, F.col("comp") == F.col("was"), "left").withColumn("comp", F.coalesce("now", "comp")).drop("was", "now")
+        forget(more)
+    joined = materialize(joined, "members")
+    forget(met, first, at, second, links, several, classes)
     level.destroy()
     trim()
 
-    joined = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = joined.join(least, "comp").select("s1", "s2", "n", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -258,6 +259,42 @@ def test_components_of_a_path(spark):
     assert math.isclose(len(got), 54)
 
 
+def _exchanges(spark, run) -> list[int]:
+    """Exchanges in the plans, first and last, of each SQL execution that ``run`` starts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def wait():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return store.executionsList().size()
+
+    before = wait()
+    run()
+    n, every = wait(), store.executionsList()
+    return [len(re.findall(r"^\(\d+\) (?:Broadcast|Reused)?Exchange", every.apply(i).physicalPlanDescription(), re.M)) for i in range(before, n)]
+
+
+def test_components_plan_no_stage_many_times(spark):
+    """The driver's memory goes with what it plans: no half of a round holds the half before it several times."""
+    from eventloom.llm.common import connected_components
+
+    e = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
+    found = _exchanges(spark, lambda: connected_components(e).collect())
+    assert found and max(found) <= 8, found
+
+
+def test_no_second_pass_without_pairs(spark, monkeypatch):
+    """Copies alone leave no pairs for the second pass, so nothing of it is planned."""
+    from eventloom.llm import ngram_join
+
+    passes, verify = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda *a: passes.append(1) or verify(*a))
+    rng = random.Random(5)
+    texts = [prose(rng, 40) for _ in range(6)]
+    docs = spark.createDataFrame([(i, texts[i % 6]) for i in range(12)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, 3, 90, 100).collect()} == {i: i % 6 for i in range(12)}
+    assert len(passes) == 1
+
+
 def test_long_runs_sort_places_not_copies(monkeypatch):
     """The two ways of laying out a group agree, and 20,000 equal words stay far below a copy of every suffix."""
     import tracemalloc
