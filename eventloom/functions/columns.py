@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,3 +109,22 @@ def frame_at(fraction, n) -> Column:
 def iso_after(base: str, seconds) -> Column:
     """Base time plus seconds, in ISO form to the microsecond."""
     return F.date_format(F.timestamp_micros(F.unix_micros(F.to_timestamp(F.lit(base))) + F.round(col(seconds) * 1e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: product and sum with their rounding errors (Dekker, Knuth)."""
+
+    def parts(x: Column) -> Column:
+        return let(x * 134217729.0, lambda big: let(big - (big - x), lambda hi: F.struct(hi.alias("hi"), (x - hi).alias("lo"))))
+
+    def added(v: Column) -> Column:
+        p, x, y = v["p"], v["x"], v["y"]
+        lost = ((x["hi"] * y["hi"] - p) + x["hi"] * y["lo"] + x["lo"] * y["hi"]) + x["lo"] * y["lo"]
+        return let(p + c, lambda s: let(s - p, lambda r: s + (((p - (s - r)) + (c - r)) + lost)))
+
+    return let(F.struct((a * b).alias("p"), parts(a).alias("x"), parts(b).alias("y")), added)

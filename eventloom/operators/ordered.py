@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.config import EPS, LEVELS
-from eventloom.functions.columns import col, level_name, rank
+from eventloom.functions.columns import col, fused, let, level_name, rank
 from eventloom.sources.storage import stored
 
 
@@ -119,16 +119,30 @@ def trailing(agg: str, keys: list[str], t: str, width: float, last: str = "CURRE
     return F.expr(f"{agg} OVER (PARTITION BY {', '.join(keys)} ORDER BY {t} RANGE BETWEEN {width!r}D PRECEDING AND {last})")
 
 
+def slope_of(points: Column) -> Column:
+    """Least-squares slope of an array of (t, y), taken in its order; null without spread."""
+
+    def step(m: Column, p: Column) -> Column:
+        n, dt = m["n"] + 1, p["t"] - m["t"]
+        return let(F.struct((m["t"] + dt / n).alias("t"), (m["y"] + (p["y"] - m["y"]) / n).alias("y")), lambda k: F.struct(
+            n.alias("n"), k["t"].alias("t"), k["y"].alias("y"), fused(dt, p["y"] - k["y"], m["joint"]).alias("joint"), (m["spread"] + dt * (p["t"] - k["t"])).alias("spread"),
+        ))
+
+    zero = F.struct(F.lit(0.0).alias("n"), *[F.lit(0.0).alias(c) for c in ("t", "y", "joint", "spread")])
+    return F.aggregate(points, zero, step, lambda m: F.when(m["spread"] > 0, (m["joint"] / m["n"]) / (m["spread"] / m["n"])))
+
+
 def trailing_slope(df: DataFrame, keys: list[str], t: str, values: dict[str, str], window: float, min_samples: int, min_span: float) -> DataFrame:
     """Least-squares slopes of ``values`` (name -> column) over the trailing ``window``; null with too few samples or too short a span.
 
-    Both moments are added up in the same way, as in SQL's regr_slope: Spark's own ends a bit beside a slope that lies on a threshold.
+    Moments are added up bit by bit as in SQL's regr_slope, which rounds a step of the joint one once: any other sum ends beside some slopes that lie on a threshold.
     """
-    d = df.withColumns({f"_y{i}": col(c) for i, c in enumerate(values.values())})
+    d = df.withColumns({f"_y{i}": col(c).cast("double") for i, c in enumerate(values.values())})
     w = lambda agg: trailing(agg, keys, t, window + EPS)
     ok = (w(f"count({t})") >= min_samples) & (w(f"max({t})") - w(f"min({t})") >= min_span - EPS)
-    d = d.withColumns({name: F.when(ok, F.coalesce(w(f"covar_pop({t}, _y{i})") / F.nullif(w(f"covar_pop({t}, if(_y{i} is null, null, {t}))"), F.lit(0.0)), F.lit(0.0))) for i, name in enumerate(values)})
-    return d.drop(*[f"_y{i}" for i in range(len(values))])
+    d = d.withColumns({"_ok": ok, **{f"_p{i}": w(f"collect_list(if(_y{i} is null, null, struct({t} as t, _y{i} as y)))") for i in range(len(values))}})
+    d = d.withColumns({name: F.when(F.col("_ok"), F.coalesce(slope_of(F.col(f"_p{i}")), F.lit(0.0))) for i, name in enumerate(values)})
+    return d.drop("_ok", *[f"_{c}{i}" for c in "yp" for i in range(len(values))])
 
 
 def trailing_ratio(df: DataFrame, keys: list[str], order: list, t: str, state: str, window: float, max_gap: float) -> DataFrame:

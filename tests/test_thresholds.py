@@ -45,3 +45,30 @@ def test_equal_boxes_are_numbered_alike_in_every_run(spark):
         d = spark.createDataFrame(order, "f int, i int, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double").coalesce(1)
         told.append(sorted((r.i, r.det_ix) for r in geometry.clean_detections(d, ["f"], None, 0.35, 300.0, 250.0, ("i",)).collect()))
     assert told[0] == told[1] == told[2] == [(i, i) for i in range(40)]
+
+
+#: Tracks on the threshold whose slope, with every product rounded, ends on the other side of it: (frames, centres, regr_slope of the SQL).
+BESIDE = [((24, 26, 28), (169.5, 162.0, 180.5), 0.049999999999999996), ((14, 17, 20), (468.5, 494.5, 485.0), 0.05), ((24, 26, 28), (153.5, 134.5, 142.5), -0.049999999999999996), ((15, 19, 24), (108.0, 79.5, 82.0), -0.05)]
+
+
+def test_slopes_on_the_threshold_fall_as_in_sql(spark):
+    import duckdb
+
+    points = [[(0.1 * f, x / 550.0) for f, x in zip(fs, xs, strict=True)] for fs, xs, _ in BESIDE]
+    rows = [(k, *p) for k, ps in enumerate(points) for p in ps]
+    d = ordered.trailing_slope(spark.createDataFrame(rows, "k int, t double, y double"), ["k"], "t", {"slope": "y"}, 1.0, 3, 0.3)
+    got = {r.k: r.slope for r in d.collect() if r.slope is not None}
+    sql = [duckdb.execute("SELECT regr_slope(y, t) FROM (SELECT unnest(?::DOUBLE[]) AS t, unnest(?::DOUBLE[]) AS y)", [list(c) for c in zip(*ps, strict=True)]).fetchone()[0] for ps in points]
+    assert [got[k] for k in range(len(BESIDE))] == [slope(ps) for ps in points] == sql == [want for *_, want in BESIDE]
+
+
+def test_a_fused_product_and_sum_is_rounded_once(spark):
+    import math
+    import random
+
+    from eventloom.functions.columns import fused
+
+    r = random.Random(7)
+    rows = [tuple(r.uniform(-1, 1) * 10.0 ** r.randrange(-6, 3) for _ in "abc") for _ in range(2000)] + [(0.1, 0.1, -0.01), (1e-9, 3.0, 1.0), (0.0, 2.0, 5.0)]
+    d = spark.createDataFrame(rows, "a double, b double, c double").select("a", "b", "c", fused(*map(F.col, "abc")).alias("x"))
+    assert all(x.x == math.fma(x.a, x.b, x.c) for x in d.collect())
