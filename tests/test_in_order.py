@@ -96,3 +96,31 @@ def test_motion_keeps_all_tracks_of_a_session_apart():
     assert list(m.own) == [2] and not m.over
     m.run((1,), [row(2, 5, 0.0, True)])
     assert not m.own and m.over
+
+
+def test_tracks_and_motion_in_one_step_tell_evident_tracks_and_bare_frames(spark):
+    from eventloom.config import TrackSettings
+    from eventloom.streaming.sessions import TRACK, Motion, Moving
+    from eventloom.streaming.tracks import Tracks
+    from pyspark.sql.types import _parse_datatype_string
+
+    s, names = RiskSettings(), _parse_datatype_string(TRACK).names
+    schema = _parse_datatype_string("us long, ts double, frame_index int, det_ix long, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    det = lambda f, j, x: Row(*schema.names)(f * 100_000, f / 10, f, j, "dog", 0.5, x, 0.0, x + 50.0, 50.0)
+    # One track stays, the others last for a frame each; the second part comes in a later batch.
+    rows = [det(f, j, x) for f in range(12) for j, x in enumerate((100.0 + f, 1000.0 + 100 * f))]
+    moving, tracks, motion = Moving(schema, Motion(schema, 550.0, s, 10**9), TrackSettings(), 10**9), Tracks(schema, TrackSettings(), 10**9, True), Motion(schema, 550.0, s, 10**9)
+    handle = Handle()
+    moving.open(handle)
+    assert not handle.values
+    tracks.live = type("List", (), {"kept": (), "put": lambda self, x: setattr(self, "kept", x), "get": lambda self: self.kept, "clear": lambda self: setattr(self, "kept", ())})()
+    moving.own = tracks.own = motion.own = None
+    got, want = [], []
+    for part in (rows[:14], rows[14:]):
+        got += moving.run((1,), part)
+        want += motion.run((1,), [moving.step(*x) for x in tracks.run((1,), part)])
+    at = {c: i for i, c in enumerate(names)}
+    evident = [r for r in want if r[at["persistence"]] >= 0.5 - 1e-9 and r[at["detections"]] >= 3 and r[at["missed"]] <= 0.3 + 1e-9]
+    assert [r for r in got if r[0] is not None] == evident and len(evident) == 7 < len(want)
+    bare = [r for r in got if r[0] is None]
+    assert sorted(r[at["us"]] for r in bare) == [f * 100_000 for f in range(5)] and all(len(r) == len(names) for r in bare)
